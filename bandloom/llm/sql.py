@@ -1,3 +1,70 @@
 """SQL that gives the same rows as the queries of this subpackage, where SQL can."""
 
-ORACLE_SQL: dict[str, str] = {}
+OP3 = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY html) AS first_id FROM p
+), b AS (
+  SELECT *, list_reduce(list_transform(range(0, 40), lambda i:
+    ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111']
+      [strpos('0123456789abcdef', substr(digest, (i + 1)::INT, 1))]), lambda x, y: x || y) AS bits FROM f
+)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+  list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1
+    + 16 * substr(bits, (5 * i + 1)::INT, 1)::INT + 8 * substr(bits, (5 * i + 2)::INT, 1)::INT
+    + 4 * substr(bits, (5 * i + 3)::INT, 1)::INT + 2 * substr(bits, (5 * i + 4)::INT, 1)::INT
+    + substr(bits, (5 * i + 5)::INT, 1)::INT)::INT, 1)), lambda x, y: x || y) AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN NULL ELSE first_id END AS refers_to
+FROM b
+"""
+
+OP5 = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n_chars,
+    regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
+), w AS (
+  SELECT *, first_value(doc_id) OVER g AS keep_id, first_value(n_chars) OVER g AS keep_chars,
+    count(*) OVER (PARTITION BY norm) AS group_size
+  FROM d WINDOW g AS (PARTITION BY norm ORDER BY n_chars DESC, doc_id NULLS LAST)
+)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND n_chars = keep_chars AS kept,
+  sha256(norm) AS text_sha256
+FROM w
+"""
+
+OP9 = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS h, coalesce(doc_id, -1) AS id FROM documents
+), r AS (
+  SELECT source, s, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w
+  FROM (SELECT source, sum(size)::BIGINT AS s FROM d GROUP BY source)
+), f AS (
+  SELECT *, (sum(s) OVER () - 3 * coalesce(sum(s) OVER b, 0))::DOUBLE
+    / (sum(w) OVER () - coalesce(sum(w) OVER b, 0))::DOUBLE * w > (3 * s)::DOUBLE AS stops
+  FROM r WINDOW b AS (ORDER BY s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT source, s, CASE WHEN stops THEN (3 * s)::DOUBLE ELSE
+    (sum(s - CASE WHEN stops THEN 3 * s ELSE 0 END) OVER ())::DOUBLE
+      / (sum(CASE WHEN stops THEN 0 ELSE w END) OVER ())::DOUBLE * w END AS target FROM f
+), c AS (
+  SELECT d.*, t.s, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY h, id, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum, row_number() OVER () AS row
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), q AS (
+  SELECT row, size, sum(size) OVER (ORDER BY (pass * s + cum)::DOUBLE / target, h, id, pass, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+  FROM c, (SELECT unnest(range(3)) AS pass)
+  WHERE size > 0 AND (pass * s + cum - size)::DOUBLE < target
+), k AS (
+  SELECT row, sum(size)::BIGINT AS taken FROM q WHERE run <= (SELECT sum(size) FROM d) GROUP BY row
+)
+SELECT doc_id, size, s AS source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM c LEFT JOIN k USING (row)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_exact_dedup": OP5,
+    "op9_source_mixing": OP9,
+}

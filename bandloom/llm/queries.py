@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandloom.llm import exact, mixing, simhash
+from bandloom.llm import exact, language, mixing, secrets, simhash, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,18 +19,34 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact.exact_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("_keep_id").alias("keep_id"), F.col("_group_size").alias("group_size"), F.col("_kept").alias("kept"), F.col("_digest").alias("text_sha256"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.predict(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken")
 
 
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.search(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_secret_scan": op2_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_language_id": op8_language_id,
     "op9_source_mixing": op9_source_mixing,
+    "op10_exact_topk": op10_exact_topk,
 }

@@ -80,6 +80,7 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc_round_trip": OP3,
     "op5_exact_dedup": OP5,
     "op9_source_mixing": OP9,
     "op10_exact_topk": OP10,

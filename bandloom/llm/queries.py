@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandloom.llm import bpe, exact, language, mixing, secrets, simhash, tokenfile, vectors, warc
+from bandloom.llm import bpe, exact, language, mixing, pii, secrets, simhash, tokenfile, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("_keep_id").alias("keep_id"), F.col("_group_size").alias("group_size"), F.col("_kept").alias("kept"), F.col("_digest").alias("text_sha256"))
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", F.size("_kinds").alias("n_entities"), F.array_join("_kinds", ",").alias("kinds"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_round_trip": op3_warc_round_trip,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_pii_surrogates": op6_pii_surrogates,
     "op7_token_files": op7_token_files,
     "op8_language_id": op8_language_id,
     "op9_source_mixing": op9_source_mixing,

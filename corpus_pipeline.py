@@ -1,13 +1,73 @@
-"""A corpus pipeline of chained stages over ``documents``."""
+"""A corpus pipeline of chained stages over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Nulls,
+empty texts, repeated rows and empty tables are handled as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bandloom.llm import bpe, exact, language, mixing, simhash
+from bandloom.llm.shared import materialize
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; those without letters, or that no language fits clearly, go."""
+    found = language.predict(docs)
+    return found.where((F.col("_lang_pred") != language.UNKNOWN) & (F.col("_score") >= language.MIN_SCORE)).select(*_same(docs))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact.deduplicated(docs)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each component of near-duplicates."""
+    found = simhash.near_duplicates(docs)
+    keep = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_n")), "near-kept")
+    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")))
+    one, more = kept.where("_n = 1"), kept.where("_n > 1")
+    if keep.where("_n > 1").isEmpty():
+        return kept.select(*_same(docs))
+    return one.select(*_same(docs)).unionByName(more.dropDuplicates(["_keep"]).select(*_same(docs)))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    mixed = mixing.mix(docs).where("_mix.times > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_mix.times").cast("int")))).select(*_same(docs))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded text of every document taken."""
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def _same(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("exact dedup", exact_dedup),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("source mixing", source_mixing),
+    ("byte-level BPE", byte_bpe),
+]
+
+#: Language identification has no SQL form; the tests compare the pipeline with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``, each over the table that the stage before wrote."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, f"stage-{k}")
     return docs

@@ -29,7 +29,7 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _IP = rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\w)"
 _HEX = r"(?<![\w:\-])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}|(?:[0-9A-Fa-f]{2}-){5}[0-9A-Fa-f]{2})(?![\w:\-])"
 _IBAN = r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
-_CARD = r"(?<![\w.+\-])[3-6](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z]|[.\-][0-9])"
+_CARD = r"(?<![\w.+\-])[2-6](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z]|[.\-][0-9])"
 _SSN = r"(?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-])"
 _PHONE = r"(?<![\w+.\-])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[\-. ][0-9]{4}|[0-9]{3}([\-.])[0-9]{3}\1[0-9]{4})(?!\w)"
 _NAME = r"(?<![\w\-])(?:TITLES)\.? (?:\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)? )?\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?(?!\w)".replace("TITLES", "|".join(MALE_TITLES + FEMALE_TITLES + OPEN_TITLES))
@@ -51,13 +51,27 @@ def _case(key: str, of: dict[str, str], other: str) -> str:
     return f"CASE {key} " + " ".join(f"WHEN {_text(k)} THEN {v}" for k, v in of.items()) + f" ELSE {other} END"
 
 
-#: Type of a mention.
+def _with(expression: str, **bound: str) -> str:
+    """An expression with names bound to values that are computed once, by nested one-element transforms."""
+    for name, value in reversed(bound.items()):
+        expression = f"element_at(transform(array({value}), {name} -> {expression}), 1)"
+    return expression
+
+
+def _luhn(digits: str, upto: str) -> str:
+    """Sum of the digits at places 1 .. upto, those at an odd distance from the last place of all doubled."""
+    d = f"cast(substring({digits}, i, 1) AS int)"
+    return f"aggregate(sequence(1, {upto}), 0L, (a, i) -> a + CASE WHEN (length({digits}) - i) % 2 = 0 THEN {d} ELSE ({d} * 2) div 10 + ({d} * 2) % 10 END)"
+
+
+#: Type of a mention; numbers that only look like a card's, as their check digit is wrong, are none.
 _KIND = f"""CASE WHEN e LIKE '%@%' THEN 'email'
   WHEN e RLIKE '^[A-Z]{{2}}[0-9]{{2}}' THEN 'iban'
   WHEN e RLIKE '^[0-9]+([.][0-9]+){{3}}$' THEN 'ip'
   WHEN e RLIKE '^[0-9A-Fa-f]+(:[0-9A-Fa-f]+){{5,7}}$' OR e RLIKE '^[0-9A-Fa-f]{{2}}(-[0-9A-Fa-f]{{2}}){{5}}$' THEN 'hex'
   WHEN e RLIKE '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' THEN 'ssn'
-  WHEN e RLIKE '^[3-6]([ -]?[0-9]){{12,18}}$' THEN 'card'
+  WHEN e RLIKE '^[2-6]([ -]?[0-9]){{12,18}}$' 
+    THEN CASE WHEN {_with(_luhn("n", "length(n)") + " % 10 = 0", n="regexp_replace(e, '[^0-9]', '')")} THEN 'card' ELSE 'none' END
   WHEN e RLIKE '^[+(0-9]' THEN 'phone' ELSE 'name' END"""
 _SURNAME = "regexp_extract(e, '([^ ]+)$', 1)"
 _SCRIPT = "CASE WHEN s RLIKE '[\\\\u0400-\\\\u04FF]' THEN 'cyrillic' ELSE 'latin' END"
@@ -85,12 +99,6 @@ def _mapped(source: str, digit: str = f"{_BYTE} % 10") -> str:
       WHEN {c} RLIKE '[a-z]' THEN chr(97 + {_BYTE} % 26) WHEN {c} RLIKE '[A-Z]' THEN chr(65 + {_BYTE} % 26) ELSE {c} END), '')"""
 
 
-def _luhn(digits: str, upto: str) -> str:
-    """Sum of the digits at places 1 .. upto, those at an odd distance from the last place of all doubled."""
-    d = f"cast(substring({digits}, i, 1) AS int)"
-    return f"aggregate(sequence(1, {upto}), 0L, (a, i) -> a + CASE WHEN (length({digits}) - i) % 2 = 0 THEN {d} ELSE ({d} * 2) div 10 + ({d} * 2) % 10 END)"
-
-
 def _mod97(source: str) -> str:
     c = f"substring({source}, i, 1)"
     return f"aggregate(sequence(1, length({source})), 0, (a, i) -> CASE WHEN {c} RLIKE '[0-9]' THEN (a * 10 + cast({c} AS int)) % 97 ELSE (a * 100 + ascii({c}) - 55) % 97 END)"
@@ -107,11 +115,8 @@ _EMAIL_CORE = f"""concat({_mapped("split_part(c, '@', 1)")}, '@', {_mapped("spli
   '.example.', CASE WHEN split_part(c, '.', -1) IN ('com', 'net', 'org') THEN split_part(c, '.', -1) ELSE 'com' END)"""
 _HEXED = "array_join(transform(sequence(1, length(c)), i -> CASE WHEN substring(c, i, 1) RLIKE '[0-9a-f]' THEN substring('0123456789abcdef', 1 + " + _BYTE + " % 16, 1) ELSE substring(c, i, 1) END), '')"
 _CARD_DRAFT = "concat(substring(c, 1, 1), substring(" + _mapped("c") + ", 2, length(c) - 2))"
-_CARD_CORE = f"""CASE WHEN {_luhn("c", "length(c)")} % 10 = 0
-  THEN element_at(transform(array({_CARD_DRAFT}), d -> concat(d, cast((10 - ({_luhn("concat(d, '0')", "length(d)")}) % 10) % 10 AS string))), 1)
-  ELSE concat(substring(c, 1, 1), substring({_mapped("c")}, 2)) END"""
-_IBAN_CORE = f"""element_at(transform(array(substring({_mapped("c")}, 5)), b -> concat(substring(c, 1, 2),
-  lpad(cast(98 - {_mod97("concat(b, substring(c, 1, 2), '00')")} AS string), 2, '0'), b)), 1)"""
+_CARD_CORE = _with(f"""concat(d, cast((10 - ({_luhn("concat(d, '0')", "length(d)")}) % 10) % 10 AS string))""", d=_CARD_DRAFT)
+_IBAN_CORE = _with(f"""concat(substring(c, 1, 2), lpad(cast(98 - {_mod97("concat(b, substring(c, 1, 2), '00')")} AS string), 2, '0'), b)""", b=f"substring({_mapped('c')}, 5)")
 _CORE = _case(
     "kind",
     {
@@ -144,6 +149,7 @@ _RENDERED = _case(
         "hex": "CASE WHEN e = upper(e) THEN upper(core) ELSE core END",
         "ip": "core",
         "ssn": "core",
+        "none": "e",
         "iban": "array_join(transform(sequence(1, length(e)), i -> CASE WHEN substring(e, i, 1) = ' ' THEN ' ' ELSE substring(core, length(replace(substring(e, 1, i), ' ', '')), 1) END), '')",
         "card": f"array_join(transform(sequence(1, length(e)), i -> CASE WHEN substring(e, i, 1) RLIKE '[0-9]' THEN substring(core, {_DIGITS_BEFORE}, 1) ELSE substring(e, i, 1) END), '')",
         "phone": f"""array_join(transform(sequence(1, length(e)), i -> CASE WHEN substring(e, i, 1) RLIKE '[0-9]' AND {_DIGITS_BEFORE} > {_DIGITS} - length(core)
@@ -154,13 +160,6 @@ _RENDERED = _case(
 )
 
 
-def _with(expression: str, **bound: str) -> str:
-    """An expression with names bound to values that are computed once, by nested one-element transforms."""
-    for name, value in reversed(bound.items()):
-        expression = f"element_at(transform(array({value}), {name} -> {expression}), 1)"
-    return expression
-
-
 def _core(key: str, attempt: str) -> str:
     return _with(_CORE, h=f"sha2(concat_ws('|', {_text(key)}, kind, c, cast({attempt} AS string)), 512)")
 
@@ -171,7 +170,8 @@ def mentions(text: Column) -> Column:
 
 
 def _entities(found: Column | str) -> Column:
-    return F.expr(f"transform({found}, e -> " + _with(f"struct(kind AS kind, {_CANON} AS c)", kind=_KIND) + ")")
+    named = f"transform({found}, e -> " + _with(f"struct(kind AS kind, {_CANON} AS c)", kind=_KIND) + ")"
+    return F.expr(f"filter({named}, n -> n.kind <> 'none')")
 
 
 def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
@@ -203,7 +203,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
 
     E-mail addresses, IPv4, IPv6 and MAC addresses, IBANs, cards, social security and phone numbers, and names after a
     title get surrogates that a keyed SHA-512 picks: of the same type, format, script, gender (of titled names) and
-    check digits. All mentions of an entity, whatever their case or separators, get the same one, and distinct entities
+    check digits. A card's number counts as one only if its check digit is right. All mentions of an entity, whatever their case or separators, get the same one, and distinct entities
     distinct ones (``surrogates``; given names, of which there are few, are exempt). Whole texts are read. A text
     without personal data, or null, stays as it is; rows that repeat are treated alike.
 
@@ -231,5 +231,5 @@ def _rewritten(rows: DataFrame, columns: list[str], key: str) -> DataFrame:
     new = F.expr(f"concat(array_join(zip_with(slice(_gaps, 1, size(_found)), transform(_found, e -> {one}), (g, r) -> concat(g, r)), ''), element_at(_gaps, -1))")
     rows = rows.withColumn("_gaps", F.when(F.size("_found") > 0, F.split("text", PATTERN, -1)))
     text = F.when(F.size("_found") > 0, new).otherwise(F.col("text"))
-    kinds = F.expr(f"transform(_found, e -> {_KIND})")
+    kinds = F.expr(f"filter(transform(_found, e -> {_KIND}), kind -> kind <> 'none')")
     return rows.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in columns), kinds.alias("_kinds"))

@@ -8,6 +8,7 @@ import heapq
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -17,11 +18,13 @@ LEAF_CHARS = 1 << 14
 LEAF_BYTES = 32
 #: Entries of a worker's cache; when it is full, those that weren't used since the last time go.
 CACHE = 300_000
+ID_TYPE = "<u4"
 #: More than any rank.
 NEVER = 1 << 62
 
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-_MARK = "\x1e"  # white space to Python, so no text with single gaps only holds it
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+_MARK = "\x1e"  # other white space to Python, so no text without such holds it
 
 
 def chunks(text: str) -> list[str]:
@@ -32,37 +35,36 @@ def chunks(text: str) -> list[str]:
     """
     if not text:
         return []
-    words = text.split()
-    gaps = len(words) - 1
-    if sum(map(len, words)) + gaps != len(text) or text.count(" ") + text.count("\n") != gaps:  # other gaps than single ones
+    single = not any(gap in text for gap in ("  ", " \n", "\n ", "\n\n")) and text[0] not in " \n" and text[-1] not in " \n"
+    if not single or _OTHER_SPACE.search(text):
         return _CUT.split(text)
     return text.replace(" ", _MARK + " ").replace("\n", _MARK + "\n").split(_MARK)
 
 
 class ChunkIds:
-    """Ids of chunks, kept by chunk; what isn't known yet is encoded in one call of ``encode_all``."""
-
-    def __init__(self, encode_all: Callable[[list[str]], list[list[int]]]):
-        self.encode_all, self.known, self.older = encode_all, {}, {}
-
-    def of(self, parts: list[str]) -> list[list[int]]:
-        known, older = self.known, self.older
-        found = list(map(known.get, parts))
-        if None not in found:
-            return found
-        gaps = [k for k, ids in enumerate(found) if ids is None]
-        lost = [k for k in gaps if parts[k] not in older]
-        pieces = [self._pieces(parts[k]) for k in lost]
-        new = list({p for own in pieces for p in own if p not in known and p not in older})
-        fresh = dict(zip(new, self.encode_all(new)))
-        for k, own in zip(lost, pieces):
-            fresh[parts[k]] = [i for p in own for i in (fresh.get(p) or known.get(p) or older[p])]
-        for k in gaps:
-            found[k] = fresh.get(parts[k]) or older[parts[k]]
-        if len(known) > CACHE:
-            self.older, self.known = known, {}
-        self.known.update((parts[k], found[k]) for k in gaps if len(parts[k]) < 64)
-        self.known.update((p, fresh[p]) for p in new if len(p) < 64)
+    """Ids of chunks, as bytes of ID_TYPE and kept by chunk; what isn't known yet is encoded in one call of ``encode_all``."""
+
+    def __init__(self, encode_all: Callable[[list[str]], list[bytes]], size: int = CACHE):
+        self.encode_all, self.size, self.known, self.older = encode_all, size, {}, {}
+
+    def of(self, parts: list[str]) -> list[bytes]:
+        if len(self.known) > self.size:
+            self.older, self.known = self.known, {}
+        known, older, lost = self.known, self.older, []
+        for part in set(parts).difference(known):
+            if part in older:
+                known[part] = older[part]
+            else:
+                lost.append(part)
+        split = {part: own for part in lost if len(own := self._pieces(part)) > 1}
+        new = list({p for part in lost for p in split.get(part, (part,)) if p not in known and p not in older})
+        known.update(zip(new, self.encode_all(new)))
+        for part, own in split.items():
+            known[part] = b"".join([known.get(p) or older[p] for p in own])
+        found = list(map(known.__getitem__, parts))
+        for part in [*lost, *new]:
+            if len(part) >= 64:
+                known.pop(part, None)
         return found
 
     @staticmethod
@@ -86,13 +88,13 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.bytes = ranks, {rank: token for token, rank in ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.chunk_ids = ChunkIds(lambda new: [[i for m in self.pattern.findall(c) for i in self._match(m)] for c in new])
+        self.chunk_ids = ChunkIds(lambda new: [np.array([i for m in self.pattern.findall(c) for i in self._match(m)], ID_TYPE).tobytes() for c in new])
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def encode(self, text: str) -> list[int]:
-        return [i for part in self._tree(text)[1] for i in part]
+        return np.frombuffer(b"".join(self._tree(text)[1]), ID_TYPE).tolist()
 
-    def _tree(self, text: str) -> tuple[list[str], list[list[int]]]:
+    def _tree(self, text: str) -> tuple[list[str], list[bytes]]:
         """Chunks and their ids. Halves are encoded apart; at their border the window of one chunk of each is encoded anew.
 
         The window grows while its outer ends are no cuts that hold in any surroundings; cuts beyond are such.

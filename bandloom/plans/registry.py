@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bandloom.functions import kernels
 from bandloom.operators import bandstats, dependence, evaluate, pairwise, partition, select, spatial
-from bandloom.plans import oracle
+from bandloom.plans import experiment, oracle
 from bandloom.plans.oracle import BANDS, bin_of, cells, moments
 from bandloom.sources import cubes, sinks
 
@@ -413,6 +414,13 @@ def first_per_subset(spark, sf_dir):
     return select.first_of_subsets(ranking, _uniform(spark), 6)
 
 
+@query()
+def selection_grid(spark, sf_dir):
+    """All methods for three numbers of bands."""
+    catalog = experiment.Catalog(_kept(_dn(spark, sf_dir)), f"{sinks.shared_folder(spark)}/catalog-{uuid.uuid4().hex}")
+    return experiment.selection_grid(catalog, (5, 10, 15))
+
+
 # ---- evaluation -------------------------------------------------------------------------------------------------------
 
 

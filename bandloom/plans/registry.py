@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -124,7 +123,7 @@ def band_permute(spark, sf_dir):
 
 @query(cells() + " SELECT band, round(var_pop(v), 8) AS value FROM cells GROUP BY band")
 def cached_statistic(spark, sf_dir):
-    path = f"{sinks.shared_folder(spark)}/statistics/{abs(hash(sf_dir))}/variances"
+    path = sinks.new_path(spark, "variances")
     make = lambda: bandstats.variances(_cells(spark, sf_dir))
     sinks.cached(spark, path, make)
     return _rounded(sinks.cached(spark, path, make))
@@ -417,7 +416,7 @@ def first_per_subset(spark, sf_dir):
 @query()
 def selection_grid(spark, sf_dir):
     """All methods for three numbers of bands."""
-    catalog = experiment.Catalog(_kept(_dn(spark, sf_dir)), f"{sinks.shared_folder(spark)}/catalog-{uuid.uuid4().hex}")
+    catalog = experiment.Catalog(_kept(_dn(spark, sf_dir)), sinks.new_path(spark, "catalog"))
     return experiment.selection_grid(catalog, (5, 10, 15))
 
 

@@ -52,11 +52,16 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def temporary(table: DataFrame) -> DataFrame:
-    """The table written to the folder that the cluster names in spark.checkpoint.dir, and read again."""
-    spark = table.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the shared folder; what is there goes when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def temporary(table: DataFrame, tag: str = "table") -> DataFrame:
+    """The table written to the shared folder and read again, which cuts its lineage and outlives lost executors."""
+    path = new_path(table.sparkSession, tag)
     table.write.parquet(path)
-    return spark.read.schema(table.schema).parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)

@@ -50,19 +50,25 @@ class ChunkIds:
     def of(self, parts: list[str]) -> list[bytes]:
         if len(self.known) > self.size:
             self.older, self.known = self.known, {}
-        known, older, lost = self.known, self.older, []
-        for part in set(parts).difference(known):
-            if part in older:
-                known[part] = older[part]
+        known, older = self.known, self.older
+        found = list(map(known.get, parts))
+        gaps = [k for k, ids in enumerate(found) if ids is None]
+        lost, long = [], []
+        for part in {parts[k] for k in gaps}:
+            if (ids := older.get(part)) is not None:
+                known[part] = ids
             else:
                 lost.append(part)
-        split = {part: own for part in lost if len(own := self._pieces(part)) > 1}
+        split = {part: own for part in lost if (part[-1] in ".," or part[0] == "\n") and len(own := self._pieces(part)) > 1}
         new = list({p for part in lost for p in split.get(part, (part,)) if p not in known and p not in older})
         known.update(zip(new, self.encode_all(new)))
         for part, own in split.items():
             known[part] = b"".join([known.get(p) or older[p] for p in own])
-        found = list(map(known.__getitem__, parts))
-        for part in [*lost, *new]:
+        for k in gaps:
+            found[k] = known[parts[k]]
+            if len(parts[k]) >= 64:
+                long.append(parts[k])
+        for part in [*long, *(p for own in map(split.get, long) if own for p in own)]:
             if len(part) >= 64:
                 known.pop(part, None)
         return found

@@ -53,20 +53,19 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     least = _BY_WIDTH[_bit_lengths(ids)]
     escape = least == 0
-    need = np.where(escape, 16, least).astype(np.int8)
+    widest = np.where(escape, 16, least).astype(np.int8)
     best = np.where(escape, 0, 15).astype(np.int8)
-    room = RUN - np.arange(n) % RUN
-    room = np.minimum(room, n - np.arange(n))
-    widest = need.copy()
+    at = np.arange(n)
+    room = np.minimum(np.minimum(RUN - at % RUN, n - at), COUNTS[1]).astype(np.int8)
     done = 1
-    for s in range(15, 0, -1):
+    for s in range(15, int(widest.min()) - 1, -1):
         count = COUNTS[s]
         while done < count:  # widest[i]: the widest of the ids i .. i + done - 1
             step = min(done, count - done)
             if step < n:
                 widest[: n - step] = np.maximum(widest[: n - step], widest[step:])
             done += step
-        best[(widest <= s) & (room >= count)] = s
+        np.copyto(best, s, where=(widest <= s) & (room >= count))
     counts = np.array(COUNTS)[best]
     starts, at, jump = [], 0, counts.tolist()
     while at < n:
@@ -115,12 +114,12 @@ def unpack(words: np.ndarray) -> np.ndarray:
 
 
 def _bit_lengths(ids: np.ndarray) -> np.ndarray:
-    out, left = np.zeros(len(ids), np.int64), ids.copy()
-    for shift in (32, 16, 8, 4, 2, 1):
-        high = left >> np.uint64(shift) != 0
-        out[high] += shift
-        left[high] >>= np.uint64(shift)
-    return out + (left != 0)
+    low = (ids & np.uint64((1 << 32) - 1)).astype(np.float64)
+    out = np.frexp(low)[1]  # exact, as a double holds 32 bits
+    high = ids >> np.uint64(32)
+    if high.any():
+        out = np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], out)
+    return out
 
 
 def block(file: int, number: int, doc_ids: list, counts: list[int], ids: np.ndarray) -> bytes:

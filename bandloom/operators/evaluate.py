@@ -16,6 +16,8 @@ from bandloom.sources.sinks import temporary
 COST = 1.0
 ITERATIONS = 30
 TOLERANCE = 1e-6
+#: Numbers that come to the driver in one step.
+MAX_NUMBERS = 400_000
 
 
 def stratified_split(pixels: DataFrame, runs: int = 10, share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -56,20 +58,40 @@ def svm_evaluation(pixels: DataFrame, selections: DataFrame, runs: int = 10, sha
     data = known.join(split, "pixel_id").select("spectrum", "label", F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.element_at("tests", r)).alias("tests"))
     data = temporary(data)
     signs = classes[1:] if len(classes) == 2 else classes
+    found = []
+    for part in _batches(chosen, runs * len(signs)):
+        hits = _fitted(data, part, classes, signs, runs, spark)
+        found += [(r, m, len(b), hits[r, s], len(b), b) for r in range(runs) for s, (m, k, b) in enumerate(part) if (r, s) in hits]
+    return spark.createDataFrame(found, "run_id int, method string, n_selected_bands int, test_accuracy double, selected_band_count int, selected_band_idx array<int>")
+
+
+def _batches(chosen: list, models: int) -> Iterator[list]:
+    """Selections whose models are solved together: at most MAX_NUMBERS in their Hessians, or one selection."""
+    part, size = [], 0
+    for item in chosen:
+        own = models * (len(item[2]) + 1) ** 2
+        if part and size + own > MAX_NUMBERS:
+            yield part
+            part, size = [], 0
+        part.append(item)
+        size += own
+    if part:
+        yield part
+
+
+def _fitted(data: DataFrame, chosen: list, classes: list, signs: list, runs: int, spark) -> dict:
+    """Share of right predictions by (run, selection)."""
     models = {(r, s, c): np.zeros(len(chosen[s][2]) + 1) for r in range(runs) for s in range(len(chosen)) for c in range(len(signs))}
     active = set(models)
     for _ in range(ITERATIONS):
         if not active:
             break
-        sums = _derivatives(data, models, active, chosen, signs, spark)
-        for key, (gradient, hessian, loss) in sums.items():
+        for key, (gradient, hessian) in _derivatives(data, models, active, chosen, signs, spark).items():
             step = np.linalg.solve(hessian, gradient)
             models[key] = models[key] - step
             if np.abs(step).max() < TOLERANCE:
                 active.discard(key)
-    hits = _hits(data, models, chosen, classes, signs, runs, spark)
-    found = [(r, m, len(b), hits[r, s], len(b), b) for r in range(runs) for s, (m, k, b) in enumerate(chosen) if (r, s) in hits]
-    return spark.createDataFrame(found, "run_id int, method string, n_selected_bands int, test_accuracy double, selected_band_count int, selected_band_idx array<int>")
+    return _hits(data, models, chosen, classes, signs, runs, spark)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -95,7 +117,7 @@ def _derivatives(data: DataFrame, models: dict, active: set, chosen: list, signs
                     near = ~tests[:, r] & (t * (z @ w) < 1)
                     zi, ti = z[near], t[near]
                     miss = zi @ w - ti
-                    part = np.concatenate((2 * COST * (zi.T @ miss), (2 * COST * (zi.T @ zi)).ravel(), [COST * (miss**2).sum()]))
+                    part = np.concatenate((2 * COST * (zi.T @ miss), (2 * COST * (zi.T @ zi)).ravel()))
                     sums[r, s, c] = part if (r, s, c) not in sums else sums[r, s, c] + part
         for (r, s, c), v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([r] * len(v), pa.int32()), pa.array([s] * len(v), pa.int32()), pa.array([c] * len(v), pa.int32()), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], ["r", "s", "c", "k", "v"])
@@ -105,7 +127,7 @@ def _derivatives(data: DataFrame, models: dict, active: set, chosen: list, signs
     for key, g in table.groupby(["r", "s", "c"]):
         w, v = models[key], g.v.to_numpy()
         d = len(w)
-        out[key] = (v[:d] + w, v[d : d + d * d].reshape(d, d) + np.eye(d), v[-1] + 0.5 * w @ w)
+        out[key] = (v[:d] + w, v[d:].reshape(d, d) + np.eye(d))
     return out
 
 

@@ -35,7 +35,8 @@ def held_out(doc_id: Column) -> Column:
 
 def letters(text: str | None) -> str:
     """The text in lower case with each run of other characters than letters as one space; empty if it has none."""
-    return _OTHER.sub(" ", (text or "").lower()).strip()
+    clean = _OTHER.sub(" ", (text or "").lower()).strip()
+    return clean if any(map(str.isalpha, clean)) else ""
 
 
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ def docs(spark):
         lang = ["en", "fr", "ru"][i % 3]
         bag = words[lang].split()
         rows.append((i, " ".join(bag[(i * k + k) % 6] for k in range(1, 30)), lang if i % 10 else None, "src", 1.0))
-    rows += [(500, None, "en", None, 0.0), (501, " 12 _ ", "fr", None, 0.0), (502, "", None, None, 0.0), (503, "the " * LONG, None, "x", 0.0), (None, "les", None, "x", 0.0), (7, rows[7][1], "fr", None, 0.0)]
+    rows += [(500, None, "en", None, 0.0), (501, " 12 _ ½² ", "fr", None, 0.0), (502, "", None, None, 0.0), (503, "the " * LONG, None, "x", 0.0), (None, "les", None, "x", 0.0), (7, rows[7][1], "fr", None, 0.0)]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score double").repartition(3)
 
 

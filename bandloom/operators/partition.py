@@ -56,6 +56,19 @@ def gpc(similarity: DataFrame, weights: DataFrame, ks: list[int]) -> DataFrame:
     return both.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).groupBy("k").applyInPandas(of, SCHEMA)
 
 
+def coarse_cuts(similarity: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+    """``pos, cut``: the first cuts between the k best peaks, from which ``gpc`` starts; 0 and the number of bands around them."""
+    both = similarity.select("i", "j", "value", F.lit(0).alias("which")).unionByName(weights.select("i", "j", "value", F.lit(1).alias("which")))
+
+    def of(rows: pd.DataFrame) -> pd.DataFrame:
+        score = kernels.peak_scores(matrix_of(rows[rows.which == 0], 1.0))
+        peaks = sorted(sorted(range(len(score)), key=lambda b: (-score[b], b))[:k])
+        cuts = kernels.coarse_cuts(np.abs(matrix_of(rows[rows.which == 1])), peaks)
+        return pd.DataFrame({"pos": range(len(cuts)), "cut": cuts}).astype("int32")
+
+    return both.groupBy().applyInPandas(of, "pos int, cut int")
+
+
 def walumi(pairs: DataFrame, ks: list[int]) -> DataFrame:
     """Clusters by Ward linkage of an information distance; not contiguous, by their first band."""
     return _for_each(pairs, ks, 0.0, kernels.ward_clusters)

@@ -319,6 +319,23 @@ def gpc_score(spark, sf_dir):
     return _rounded(sim.groupBy().applyInPandas(of, "band int, value double"), digits=6)
 
 
+COARSE = oracle.mssim() + f""", sim AS (SELECT i, j, value FROM up UNION ALL SELECT j, i, value FROM up UNION ALL SELECT DISTINCT band, band, 1.0::DOUBLE FROM cells), {oracle.PEAK_SCORES},
+  w0 AS (SELECT a.band AS i, b.band AS j, abs(sum(a.v * b.v)) AS value FROM cells a JOIN cells b ON a.pixel_id = b.pixel_id AND a.band <= b.band GROUP BY 1, 2),
+  top AS (SELECT band FROM (SELECT band, row_number() OVER (ORDER BY value DESC, band) AS n FROM scores) WHERE n <= {K_CUTS}),
+  gap AS (SELECT band AS a, lead(band) OVER (ORDER BY band) AS b, row_number() OVER (ORDER BY band) AS pos FROM top),
+  cost AS (SELECT pos, t, sum(CASE WHEN i < t AND j >= t THEN value END) / (sum(CASE WHEN j < t THEN value END) * sum(CASE WHEN i >= t THEN value END)) AS cost
+    FROM gap, (SELECT unnest(range({BANDS})) AS t) JOIN w0 ON true WHERE b - a > 3 AND t >= a + 2 AND t < b AND i >= a AND i <= b AND j >= a AND j <= b GROUP BY pos, t),
+  best AS (SELECT pos, t FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY cost, t) AS n FROM cost) WHERE n = 1)
+  SELECT pos::INTEGER AS pos, (CASE WHEN b - a <= 2 THEN a + 1 WHEN b - a = 3 THEN a + 2 ELSE t END)::INTEGER AS cut FROM gap LEFT JOIN best USING (pos) WHERE b IS NOT NULL
+  UNION ALL SELECT 0, 0 UNION ALL SELECT {K_CUTS}, {BANDS}"""
+
+
+@query(COARSE)
+def gpc_coarse(spark, sf_dir):
+    pixels = _kept(_dn(spark, sf_dir))
+    return partition.coarse_cuts(spatial.mssim(pixels), pairwise.gram(pixels), K_CUTS)
+
+
 @query()
 def gpc(spark, sf_dir):
     pixels = _kept(_dn(spark, sf_dir))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -43,13 +44,14 @@ def write_csv(results: DataFrame, path: str) -> None:
     results.select(*flat).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="bandloom-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, spark.checkpoint.dir; one of this machine only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="bandloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
 
 
 def new_path(spark: SparkSession, tag: str) -> str:

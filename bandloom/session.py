@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -28,3 +31,16 @@ def local_session(name: str = "bandloom", cores: int = 8, memory: str = "6g", **
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the executors, once for each context, so that their Python can import it.
+
+    Clusters on which it is installed, or submitted with --py-files, don't need this.
+    """
+    context = spark.sparkContext
+    if not getattr(context, "_bandloom_shipped", False):
+        folder = os.path.realpath(tempfile.mkdtemp(prefix="bandloom-"))
+        root = Path(__file__).resolve().parent
+        context.addPyFile(shutil.make_archive(f"{folder}/bandloom", "zip", root.parent, root.name))
+        context._bandloom_shipped = True

@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 #: Characters of text, and bytes of one match, that are encoded without a split into halves.
 LEAF_CHARS = 1 << 14
 LEAF_BYTES = 32
-#: Entries of a worker's cache; when it is full, those that weren't used since the last time go.
-CACHE = 300_000
+#: Entries of a worker's cache, and chunks after which a full one is reviewed.
+CACHE = 500_000
+REVIEW = 4_000_000
 ID_TYPE = "<u4"
 #: More than any rank.
 NEVER = 1 << 62
@@ -42,35 +43,36 @@ def chunks(text: str) -> list[str]:
 
 
 class ChunkIds:
-    """Ids of chunks, as bytes of ID_TYPE and kept by chunk; what isn't known yet is encoded in one call of ``encode_all``."""
+    """Ids of chunks, as bytes of ID_TYPE; what isn't known yet is encoded in one call of ``encode_all``.
+
+    The first ``size`` chunks met are kept, which holds the frequent ones without any turnover. If they serve fewer than
+    half of REVIEW later chunks, as after a change of language, they go and others take their place.
+    """
 
     def __init__(self, encode_all: Callable[[list[str]], list[bytes]], size: int = CACHE):
-        self.encode_all, self.size, self.known, self.older = encode_all, size, {}, {}
+        self.encode_all, self.size, self.known = encode_all, size, {}
+        self.asked = self.missed = 0
 
     def of(self, parts: list[str]) -> list[bytes]:
-        if len(self.known) > self.size:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
+        known = self.known
         found = list(map(known.get, parts))
         gaps = [k for k, ids in enumerate(found) if ids is None]
-        lost, long = [], []
-        for part in {parts[k] for k in gaps}:
-            if (ids := older.get(part)) is not None:
-                known[part] = ids
-            else:
-                lost.append(part)
+        lost = {parts[k] for k in gaps}
         split = {part: own for part in lost if (part[-1] in ".," or part[0] == "\n") and len(own := self._pieces(part)) > 1}
-        new = list({p for part in lost for p in split.get(part, (part,)) if p not in known and p not in older})
-        known.update(zip(new, self.encode_all(new)))
+        new = list({p for part in lost for p in split.get(part, (part,)) if p not in known})
+        fresh = dict(zip(new, self.encode_all(new)))
         for part, own in split.items():
-            known[part] = b"".join([known.get(p) or older[p] for p in own])
+            fresh[part] = b"".join([fresh.get(p) or known[p] for p in own])
         for k in gaps:
-            found[k] = known[parts[k]]
-            if len(parts[k]) >= 64:
-                long.append(parts[k])
-        for part in [*long, *(p for own in map(split.get, long) if own for p in own)]:
-            if len(part) >= 64:
-                known.pop(part, None)
+            found[k] = fresh[parts[k]]
+        if len(known) < self.size:
+            known.update((part, ids) for part, ids in fresh.items() if len(part) < 64)
+            return found
+        self.asked, self.missed = self.asked + len(parts), self.missed + len(gaps)
+        if self.asked >= REVIEW:
+            if 2 * self.missed > self.asked:
+                known.clear()
+            self.asked = self.missed = 0
         return found
 
     @staticmethod

@@ -38,9 +38,8 @@ END = 0
 _END = END.to_bytes(4, "little")
 #: Documents whose unknown chunks are encoded together.
 TOGETHER = 128
-#: Chunks that are encoded in one text, and entries of a worker's cache.
+#: Chunks that are encoded in one text.
 JOINT = 256
-CACHE = 500_000
 #: Bytes of text aimed at in one file.
 FILE_BYTES = 64 << 20
 _BY_WIDTH = np.array([next(s for s in range(1, 16) if WIDTHS[s] >= w) if w <= 60 else 0 for w in range(65)])
@@ -191,7 +190,7 @@ def _encoder(definition: str) -> ChunkIds:
     key = hash(definition)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = ChunkIds(_Library(definition), CACHE)
+        _encoders[key] = ChunkIds(_Library(definition))
     return _encoders[key]
 
 

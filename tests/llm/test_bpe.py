@@ -55,3 +55,12 @@ def test_query_form(spark, library):
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert bpe.encode_documents(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_a_full_cache_that_no_longer_serves_is_emptied(monkeypatch):
+    monkeypatch.setattr(bpe, "REVIEW", 10)
+    calls = []
+    ids = bpe.ChunkIds(lambda new: calls.append(sorted(new)) or [c.encode() for c in new], size=3)
+    for text in ("a b c", "a b c d", "x y z w", "x y z w", "x y z w", "x y z w"):
+        assert ids.of(bpe.chunks(text)) == [c.encode() for c in bpe.chunks(text)]
+    assert calls[-1] == []

@@ -12,6 +12,7 @@ WEIGHTS = (1, 2, 3)
 #: Times that a document may be taken.
 REPEATS = 3
 SEED = "mix"
+NO_SOURCE = "n"
 #: Ranges of the shuffled order, and of virtual time, that windows run over (16**3).
 RANGES = 4096
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -54,14 +55,16 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     holds a third of all rows is spread over RANGES groups. Only the last copy taken, one row, comes to the driver.
     """
     rows = docs.withColumns({"_size": word_count(F.col("text")), "_order": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))})
-    rows = rows.withColumns({"_source": F.col("source"), "_range": F.substring("_order", 1, 3), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))})
+    rows = rows.withColumns({"_source": _key(F.col("source")), "_range": F.substring("_order", 1, 3), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))})
     narrow = materialize(rows.select("_source", "_range", "_order", "_id", "_size"), "mix-sizes")
     sums = materialize(narrow.groupBy("_source", "_range").agg(F.sum("_size").alias("words")), "mix-ranges")
-    goal = targets(sums.groupBy(F.col("_source").alias("source")).agg(F.sum("words").alias("source_size")))
+    sizes = sums.groupBy("_source").agg(F.sum("words").alias("source_size"))
+    source = F.when(F.col("_source") != NO_SOURCE, F.expr("substring(_source, 2)"))
+    goal = targets(sizes.select(source.alias("source"), "source_size"))
     ahead = F.sum("words").over(Window.partitionBy("_source").orderBy("_range")) - F.col("words")
-    starts = sums.select(F.col("_source").alias("_s"), F.col("_range").alias("_r"), ahead.alias("_ahead"))
-    goal = goal.withColumnRenamed("source", "_g")
-    starts = materialize(starts.join(goal, F.col("_s").eqNullSafe(F.col("_g"))).drop("_g", "weight"), "mix-starts")
+    starts = sums.select("_source", "_range", ahead.alias("_ahead"))
+    goal = goal.select(_key(F.col("source")).alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    starts = materialize(starts.join(goal, "_source"), "mix-starts")
     copies = _copies(_queued(narrow, starts)).withColumn("_slot", F.least(F.floor(F.col("finish") * RANGES), F.lit(2 * RANGES)))
     slots = materialize(copies.groupBy("_slot").agg(F.sum("_size").alias("words")), "mix-slots")
     total = F.sum("words").over(Window.orderBy("_slot"))
@@ -83,9 +86,13 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
 def _queued(rows: DataFrame, starts: DataFrame) -> DataFrame:
     """Rows with their source's target and, as ``_cum``, the source's words up to and with the row."""
-    match = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r"))
-    place = Window.partitionBy("_s", "_r").orderBy("_order", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(starts.withColumnsRenamed({"source_size": "_source_size", "target": "_target"}), match).withColumn("_cum", F.col("_ahead") + F.sum("_size").over(place)).drop("_ahead")
+    place = Window.partitionBy("_source", "_range").orderBy("_order", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(starts, ["_source", "_range"]).withColumn("_cum", F.col("_ahead") + F.sum("_size").over(place)).drop("_ahead")
+
+
+def _key(source: Column) -> Column:
+    """A source as a key that is never null, so that the join and the window share one exchange."""
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit(NO_SOURCE))
 
 
 def _finish(p: Column | int) -> Column:

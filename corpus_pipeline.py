@@ -26,14 +26,18 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component of near-duplicates."""
-    found = simhash.near_duplicates(docs)
-    keep = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_n")), "near-kept")
-    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")))
-    one, more = kept.where("_n = 1"), kept.where("_n > 1")
-    if keep.where("_n > 1").isEmpty():
-        return kept.select(*_same(docs))
-    return one.select(*_same(docs)).unionByName(more.dropDuplicates(["_keep"]).select(*_same(docs)))
+    """The document with the smallest doc_id of each component of near-duplicates; of rows that repeat it and its text, one.
+
+    The join is with the ids that go, which are far fewer than those that stay.
+    """
+    stays = F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ids = materialize(simhash.near_duplicates(docs).groupBy(F.col("doc_id").alias("_id")).agg(stays.alias("_stays"), F.count("*").alias("_n")), "near-ids")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    kept = docs.join(ids.where("NOT _stays").select("_id"), same, "left_anti")
+    twins = ids.where("_stays AND _n > 1").select("_id")
+    if twins.isEmpty():
+        return kept
+    return kept.join(twins, same, "left_anti").unionByName(kept.join(twins, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

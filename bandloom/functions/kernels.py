@@ -303,6 +303,8 @@ def _grid_information(x: np.ndarray, y: np.ndarray, size: float, clumps: int) ->
     order = np.argsort(x, kind="stable")
     x, y = x[order], y[order]
     n, out = len(x), {}
+    counts = np.arange(n + 1.0)
+    weighted = counts * np.log(np.maximum(counts, 1))  # c log c of every count that a cell can have
     for r in range(2, int(size // 2) + 1):
         columns = int(size // r)
         if columns < 2:
@@ -311,18 +313,19 @@ def _grid_information(x: np.ndarray, y: np.ndarray, size: float, clumps: int) ->
         count = int(rows.max()) + 1
         ends = _clumps(x, rows, clumps * columns)
         m = len(ends)
-        cum = np.zeros((m + 1, count))
-        cum[1:] = np.cumsum(np.eye(count)[rows], axis=0)[ends - 1]
-        part = cum[None, :, :] - cum[:, None, :]
-        total = part.sum(axis=2)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            inner = np.where(part > 0, part * np.log(part), 0.0).sum(axis=2) - np.where(total > 0, total * np.log(total), 0.0)
+        cum = np.zeros((m + 1, count), np.int64)
+        cum[1:] = np.cumsum(np.eye(count, dtype=np.int64)[rows], axis=0)[ends - 1]
+        total = cum.sum(axis=1)
+        # counts below the diagonal are negative and index from the end; those entries are masked
+        inner = -weighted[total[None, :] - total[:, None]]
+        for of_row in cum.T:
+            inner += weighted[of_row[None, :] - of_row[:, None]]
         cost = np.where(np.arange(m + 1)[:, None] < np.arange(m + 1)[None, :], inner / n, -np.inf)  # minus the entropy of rows given the column
         p = cum[-1] / n
         own = -(p[p > 0] * np.log(p[p > 0])).sum()
-        best = cost[0].copy()
+        best, sums = cost[0].copy(), np.empty_like(cost)
         for c in range(2, columns + 1):
-            best = np.maximum(best, (best[:, None] + cost).max(axis=0))
+            best = np.maximum(best, np.add(best[:, None], cost, out=sums).max(axis=0))
             out[c, r] = max(own + best[-1], 0.0)
     return out
 

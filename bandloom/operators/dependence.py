@@ -17,6 +17,7 @@ from bandloom.functions import kernels
 from bandloom.operators.bandstats import sampled_pairs, sampled_pixels
 from bandloom.operators.pairwise import pair_domain
 from bandloom.sources.cubes import band_count
+from bandloom.sources.sinks import temporary
 
 SAMPLE = 1000
 #: Values that a sample may hold, to be broadcast.
@@ -90,10 +91,25 @@ def _conditional(x: np.ndarray, i: int, j: int) -> float:
 
 
 def conditional_independence(pixels: DataFrame, n: int = SAMPLE) -> DataFrame:
-    """``band, value`` of the inner bands: 1 - mean conditional NMI / mean NMI with all bands two or more away, in 0 .. 1."""
+    """``band, value`` of the inner bands: 1 - mean conditional NMI / mean NMI with all bands two or more away, in 0 .. 1.
+
+    Every pair's information is estimated once, in a table of bands^2 rows from which both terms are made.
+    """
     bands = band_count(pixels)
-    pairs = pair_domain(pixels.sparkSession, bands, "apart").where((F.col("i") > 0) & (F.col("i") < bands - 1))
-    both = conditional_nmi(pixels, pairs, n).withColumnRenamed("value", "given").join(nmi(pixels, pairs, n), ["i", "j"])
+    spark = pixels.sparkSession
+    pairs = pair_domain(spark, bands, "apart").where((F.col("i") > 0) & (F.col("i") < bands - 1))
+    found = _for_pairs(pixels, pair_domain(spark, bands, "every"), lambda x, i, j: kernels.ksg(x[:, i], x[:, j]), n)
+    info = temporary(found.select(F.col("i").alias("a"), F.col("j").alias("b"), "value"), "information")
+    i, j = F.col("i"), F.col("j")
+    for name, a, b in (("xy", i, j), ("xx", i, i), ("yy", j, j), ("zx", i - 1, i), ("zy", i - 1, j)):
+        pairs = pairs.withColumns({"a": a, "b": b}).join(info.withColumnRenamed("value", name), ["a", "b"]).drop("a", "b")
+    xy, xx, yy, zx, zy = map(F.col, ("xy", "xx", "yy", "zx", "zy"))
+    zero = F.lit(0.0)
+    both = pairs.select(
+        "i",
+        (2 * F.greatest(xy - zy, zero) / (F.greatest(xx - zx, zero) + F.greatest(yy - zy, zero) + 1e-8)).alias("given"),
+        F.when(xx + yy == 0, 0.0).otherwise(F.try_divide(2 * xy, xx + yy)).alias("value"),
+    )
     means = both.groupBy("i").agg(F.avg("given").alias("given"), F.avg("value").alias("free"))
     ratio = F.when(F.col("free") == 0, 1.0).otherwise(F.greatest(F.least(F.try_divide("given", "free"), F.lit(1.0)), F.lit(0.0)))
     return means.select(F.col("i").alias("band"), (1 - ratio).alias("value"))

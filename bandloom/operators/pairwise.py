@@ -23,9 +23,9 @@ BATCH = 4096
 
 
 def pair_domain(spark: SparkSession, bands: int, shape: str, lag: int = 1) -> DataFrame:
-    """``i, j``: upper (i < j), adjacent (j = i + 1), lag (j = i + lag), nonadjacent (j >= i + 5) or apart (|j - i| >= 2, both ways)."""
+    """``i, j``: upper (i < j), adjacent (j = i + 1), lag (j = i + lag), nonadjacent (j >= i + 5), apart (|j - i| >= 2, both ways) or every."""
     i, j = F.col("i"), F.col("j")
-    shapes = {"upper": i < j, "adjacent": j == i + 1, "lag": j == i + lag, "nonadjacent": j >= i + 5, "apart": F.abs(i - j) >= 2}
+    shapes = {"upper": i < j, "adjacent": j == i + 1, "lag": j == i + lag, "nonadjacent": j >= i + 5, "apart": F.abs(i - j) >= 2, "every": F.lit(True)}
     if shape not in shapes:
         raise ValueError(f"unknown pair domain {shape!r}")
     ones = spark.range(bands).select(F.col("id").cast("int").alias("i"))

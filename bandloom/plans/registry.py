@@ -494,32 +494,32 @@ def svm_eval(spark, sf_dir):
 
 @query()
 def mic_adj(spark, sf_dir):
-    return _rounded(dependence.mic_adjacent(_smooth(spark, sf_dir), 200))
+    return _rounded(dependence.mic_adjacent(_smooth(spark, sf_dir)))
 
 
 @query()
 def mic_nonadj(spark, sf_dir):
-    return _rounded(dependence.mic_nonadjacent(_smooth(spark, sf_dir), 60, 200))
+    return _rounded(dependence.mic_nonadjacent(_smooth(spark, sf_dir)))
 
 
 @query()
 def mic_vs_lag(spark, sf_dir):
-    return _rounded(dependence.mic_by_lag(_smooth(spark, sf_dir), 50, 2, 200))
+    return _rounded(dependence.mic_by_lag(_smooth(spark, sf_dir)))
 
 
 @query()
 def nmi(spark, sf_dir):
-    return _rounded(dependence.nmi(_smooth(spark, sf_dir), pairwise.pair_domain(spark, BANDS, "adjacent"), 200))
+    return _rounded(dependence.nmi(_smooth(spark, sf_dir), pairwise.pair_domain(spark, BANDS, "adjacent")))
 
 
 @query()
 def cnmi(spark, sf_dir):
-    return _rounded(dependence.conditional_nmi(_smooth(spark, sf_dir), pairwise.pair_domain(spark, BANDS, "lag", 2), 200))
+    return _rounded(dependence.conditional_nmi(_smooth(spark, sf_dir), pairwise.pair_domain(spark, BANDS, "lag", 2)))
 
 
 @query()
 def cis(spark, sf_dir):
-    return _rounded(dependence.conditional_independence(_smooth(spark, sf_dir), 64))
+    return _rounded(dependence.conditional_independence(_smooth(spark, sf_dir)))
 
 
 ACC = oracle.correlation() + """, a AS (SELECT avg(value) AS ma, var_samp(value) AS va FROM up WHERE j = i + 1), b AS (SELECT avg(value) AS mb, var_samp(value) AS vb FROM up WHERE j >= i + 5)"""
@@ -548,5 +548,5 @@ def smi_index(spark, sf_dir):
 def smi_mic(spark, sf_dir):
     """The index as defined: coefficients of adjacent and distant pairs, and conditional independence."""
     pixels = _kept(_smooth(spark, sf_dir))
-    contrast = dependence.contrast(dependence.mic_adjacent(pixels, 100), dependence.mic_nonadjacent(pixels, 60, 100))
-    return _rounded(dependence.spectral_index(contrast, dependence.conditional_independence(pixels, 64)), "acc", "cis", "smi", digits=7)
+    contrast = dependence.contrast(dependence.mic_adjacent(pixels), dependence.mic_nonadjacent(pixels))
+    return _rounded(dependence.spectral_index(contrast, dependence.conditional_independence(pixels)), "acc", "cis", "smi", digits=7)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from bandloom.llm.shared import materialize
 
 KEY = "change this key for each corpus"
-#: Surrogates that are tried for an entity before its type's space counts as used up.
+#: Surrogates that are tried for an entity before the space of its type and format counts as used up. Names and e-mail
+#: addresses grow with each attempt; numbers keep their length.
 ATTEMPTS = 64
 
 # Titles by gender, and given names by script and gender.
@@ -89,6 +90,8 @@ _CANON = _case(
     },
     f"regexp_replace(lower({_SURNAME}), '(?<=[оеё]в|[иы]н)а$', '')",
 )
+#: A full name: its given name is an entity of its own, told apart from others with the same surname.
+_FULL = "kind = 'name' AND e RLIKE '^[^ ]+ [^ ]+ [^ ]+$'"
 _BYTE = "cast(conv(substring(h, 2 * pmod(i - 1, 64) + 1, 2), 16, 10) AS int)"
 
 
@@ -107,11 +110,31 @@ def _mod97(source: str) -> str:
 def _surname(script: str) -> str:
     onsets, vowels = _SYLLABLES[script]
     parts = [f"element_at({_listed(values)}, 1 + transform(array({n}), i -> {_BYTE} % {len(values)})[0])" for n in range(1, 6) for values in ([onsets, vowels, onsets, vowels, onsets][n - 1],)]
-    return "concat(" + ", ".join(parts) + (", 'ов')" if script == "cyrillic" else ")")
+    return "concat(" + ", ".join([*parts, _more(script)]) + (", 'ов')" if script == "cyrillic" else ")")
 
 
-#: Surrogate of a canonical form ``c`` by digest ``h``.
-_EMAIL_CORE = f"""concat({_mapped("split_part(c, '@', 1)")}, '@', {_mapped("split_part(split_part(c, '@', 2), '.', 1)", "pmod(" + _BYTE + " + i, 10)")},
+def _more(script: str) -> str:
+    """A vowel and an onset for each attempt after the first."""
+    onsets, vowels = (f"element_at({_listed(values)}, 1 + {_BYTE} % {len(values)})" for values in _SYLLABLES[script])
+    return f"array_join(transform(slice(sequence(6, 6 + 2 * attempt), 1, 2 * attempt), i -> CASE WHEN i % 2 = 0 THEN {vowels} ELSE {onsets} END), '')"
+
+
+def _given_core() -> str:
+    """Surrogate of ``c``, gender|script|given|surname: a name of the list, from the second attempt on with a second one that
+    grows, and the surname, so that only given names of the same surname meet."""
+
+    def pick(names: list[str], n: int) -> str:
+        return f"element_at(transform(array({n}), i -> element_at({_listed(names)}, 1 + {_BYTE} % {len(names)})), 1)"
+
+    lists = "CASE " + " ".join(
+        f"WHEN split_part(c, '|', 1) = {_text(g)} AND split_part(c, '|', 2) = {_text(script)} THEN concat({pick(names, 1)}, CASE WHEN attempt > 0 THEN concat('-', {pick(names, 2)}, {_more(script).replace('attempt', '(attempt - 1)')}) ELSE '' END)"
+        for (script, g), names in GIVEN.items()
+    )
+    return f"concat({lists} END, ' ', split_part(c, '|', 4))"
+
+
+#: Surrogate of a canonical form ``c`` by digest ``h`` of the ``attempt``.
+_EMAIL_CORE = f"""concat({_mapped("split_part(c, '@', 1)")}, array_join(transform(slice(sequence(33, 33 + attempt), 1, attempt), i -> chr(97 + {_BYTE} % 26)), ''), '@', {_mapped("split_part(split_part(c, '@', 2), '.', 1)", "pmod(" + _BYTE + " + i, 10)")},
   '.example.', CASE WHEN split_part(c, '.', -1) IN ('com', 'net', 'org') THEN split_part(c, '.', -1) ELSE 'com' END)"""
 _HEXED = "array_join(transform(sequence(1, length(c)), i -> CASE WHEN substring(c, i, 1) RLIKE '[0-9a-f]' THEN substring('0123456789abcdef', 1 + " + _BYTE + " % 16, 1) ELSE substring(c, i, 1) END), '')"
 _CARD_DRAFT = "concat(substring(c, 1, 1), substring(" + _mapped("c") + ", 2, length(c) - 2))"
@@ -127,6 +150,7 @@ _CORE = _case(
         "card": _CARD_CORE,
         "ssn": _mapped("c", f"CASE WHEN i = 1 THEN 1 + {_BYTE} % 5 WHEN i IN (3, 6, 11) THEN 1 + {_BYTE} % 9 ELSE {_BYTE} % 10 END"),
         "phone": _mapped("c", f"CASE WHEN length(c) - i IN (6, 9) THEN 2 + {_BYTE} % 8 ELSE {_BYTE} % 10 END"),
+        "given": _given_core(),
     },
     f"CASE WHEN c RLIKE '[\\\\u0400-\\\\u04FF]' THEN {_surname('cyrillic')} ELSE {_surname('latin')} END",
 )
@@ -136,9 +160,7 @@ _TITLE = "regexp_extract(e, '^([^ .]+)', 1)"
 _GENDER = f"CASE WHEN array_contains({_listed(MALE_TITLES)}, {_TITLE}) THEN 'm' WHEN array_contains({_listed(FEMALE_TITLES)}, {_TITLE}) THEN 'f' ELSE 'n' END"
 
 
-def _given() -> str:
-    lists = "CASE " + " ".join(f"WHEN script = {_text(s)} AND gender = {_text(g)} THEN {_listed(names)}" for (s, g), names in GIVEN.items()) + " END"
-    return f"element_at({lists}, 1 + cast(conv(substring(sha2(concat(KEY, lower(regexp_extract(e, '^[^ ]+ ([^ ]+) [^ ]+$', 1))), 256), 1, 2), 16, 10) AS int) % 16)"
+_GIVEN = f"concat_ws('|', {_GENDER}, {_SCRIPT.replace('s RLIKE', 'e RLIKE')}, lower(regexp_extract(e, '^[^ ]+ ([^ ]+) [^ ]+$', 1)), c)"
 
 
 #: A mention ``e`` with the digits or letters of its entity's surrogate ``core``.
@@ -155,13 +177,15 @@ _RENDERED = _case(
         "phone": f"""array_join(transform(sequence(1, length(e)), i -> CASE WHEN substring(e, i, 1) RLIKE '[0-9]' AND {_DIGITS_BEFORE} > {_DIGITS} - length(core)
           THEN substring(core, {_DIGITS_BEFORE} - {_DIGITS} + length(core), 1) ELSE substring(e, i, 1) END), '')""",
     },
-    f"""concat(regexp_extract(e, '^([^ ]+ )', 1), CASE WHEN e RLIKE '^[^ ]+ [^ ]+ [^ ]+$' THEN concat(GIVEN, ' ') ELSE '' END,
+    f"""concat(regexp_extract(e, '^([^ ]+ )', 1), CASE WHEN e RLIKE '^[^ ]+ [^ ]+ [^ ]+$' THEN concat(split_part(given, ' ', 1), ' ') ELSE '' END,
       initcap(core), CASE WHEN e RLIKE 'а$' AND core RLIKE 'ов$' THEN 'а' ELSE '' END)""",
 )
 
 
 def _core(key: str, attempt: str) -> str:
-    return _with(_CORE, h=f"sha2(concat_ws('|', {_text(key)}, kind, c, cast({attempt} AS string)), 512)")
+    """A given name's digest leaves its surname out, so that it has one surrogate wherever that is free."""
+    of = "CASE WHEN kind = 'given' THEN split_part(c, '|', 3) ELSE c END"
+    return _with(_CORE, attempt=attempt, h=f"sha2(concat_ws('|', {_text(key)}, kind, {of}, cast(attempt AS string)), 512)")
 
 
 def mentions(text: Column) -> Column:
@@ -170,7 +194,9 @@ def mentions(text: Column) -> Column:
 
 
 def _entities(found: Column | str) -> Column:
-    named = f"transform({found}, e -> " + _with(f"struct(kind AS kind, {_CANON} AS c)", kind=_KIND) + ")"
+    own = "struct(kind AS kind, c AS c)"
+    both = f"CASE WHEN {_FULL} THEN array({own}, struct('given' AS kind, {_GIVEN} AS c)) ELSE array({own}) END"
+    named = f"flatten(transform({found}, e -> " + _with(both, kind=_KIND, c=_CANON) + "))"
     return F.expr(f"filter({named}, n -> n.kind <> 'none')")
 
 
@@ -204,7 +230,8 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     E-mail addresses, IPv4, IPv6 and MAC addresses, IBANs, cards, social security and phone numbers, and names after a
     title get surrogates that a keyed SHA-512 picks: of the same type, format, script, gender (of titled names) and
     check digits. A card's number counts as one only if its check digit is right. All mentions of an entity, whatever their case or separators, get the same one, and distinct entities
-    distinct ones (``surrogates``; given names, of which there are few, are exempt). Whole texts are read. A text
+    distinct ones (``surrogates``); a person's full name has its surname's surrogate and a given name that no other given
+    name with that surname gets. Whole texts are read. A text
     without personal data, or null, stays as it is; rows that repeat are treated alike.
 
     Only entities that a collision moved need a join, on the digest of the texts that hold them; all others are
@@ -225,9 +252,9 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def _rewritten(rows: DataFrame, columns: list[str], key: str) -> DataFrame:
-    rendered = _RENDERED.replace("GIVEN", _with(_given().replace("KEY", _text(key)), gender=_GENDER, script=_SCRIPT.replace("s RLIKE", "e RLIKE")))
     attempt = "coalesce(try_element_at(_moved, concat(kind, '|', c)), 0)"
-    one = _with(rendered, kind=_KIND, c=_CANON, core=_core(key, attempt))
+    given = f"CASE WHEN {_FULL} THEN {_with(_core(key, attempt), c=_GIVEN, kind=_text('given'))} END"
+    one = _with(_RENDERED, kind=_KIND, c=_CANON, core=_core(key, attempt), given=given)
     new = F.expr(f"concat(array_join(zip_with(slice(_gaps, 1, size(_found)), transform(_found, e -> {one}), (g, r) -> concat(g, r)), ''), element_at(_gaps, -1))")
     rows = rows.withColumn("_gaps", F.when(F.size("_found") > 0, F.split("text", PATTERN, -1)))
     text = F.when(F.size("_found") > 0, new).otherwise(F.col("text"))

@@ -81,3 +81,26 @@ def test_native(spark):
     plan = pii.pseudonymise(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert docs.select(F.size(pii.mentions(F.col("text")))).first()[0] == 1
+
+
+def test_full_names_stay_distinct(spark):
+    given = [a + b for a in ("Ba", "Do", "Ki", "Lu", "Mo") for b in ("ran", "lin", "mas", "der", "vin", "gor", "tis", "nek")]
+    got = run(spark, [f"Mr {g} Smith" for g in given] + ["Mr Smith", "Mr Baran Jones", "Mr. Baran Smith and Mr Baran Smith"])
+    texts = [r.text for r in got]
+    assert len(set(texts[:40])) == 40 and all(re.fullmatch(r"Mr [A-Z][a-z]+(-[A-Z][a-z]+)? [A-Z][a-z]+", t) for t in texts[:40])
+    assert {t.split()[-1] for t in texts[:41]} == {texts[40].split()[1]} != {texts[41].split()[-1]}
+    assert texts[42] == f"{texts[0].replace('Mr', 'Mr.')} and {texts[0]}" and got[0]._kinds == ["name"]
+
+
+def test_short_addresses_get_longer_surrogates(spark):
+    # 780 addresses of one letter at one letter, whose first surrogates are all among 676
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    got = run(spark, [f"{a}@{b}.{tld}" for a in letters for b in letters[:15] for tld in ("de", "fr")])
+    assert len({r.text for r in got}) == 780 and all(re.fullmatch(r"[a-z]+@[a-z]\.example\.com", r.text) for r in got)
+
+
+@pytest.mark.parametrize("c", ["smith", "иванов"])
+def test_surnames_grow_with_attempts(spark, c):
+    one = spark.createDataFrame([("name", c)], "kind string, c string")
+    sizes = [len(one.select(F.expr(pii._core("k", str(n)))).first()[0].removesuffix("ов")) for n in range(5)]
+    assert all(b > a for a, b in zip(sizes, sizes[1:]))

@@ -432,9 +432,9 @@ def first_per_subset(spark, sf_dir):
 
 @query()
 def selection_grid(spark, sf_dir):
-    """All methods for three numbers of bands."""
+    """All methods for every number of bands of an experiment."""
     catalog = experiment.Catalog(_kept(_dn(spark, sf_dir)), sinks.new_path(spark, "catalog"))
-    return experiment.selection_grid(catalog, (5, 10, 15))
+    return experiment.selection_grid(catalog)
 
 
 # ---- evaluation -------------------------------------------------------------------------------------------------------

@@ -18,6 +18,11 @@ def test_grid_has_all_methods(spark):
     assert sum(r.error is not None for r in rows) < 30
 
 
+def test_grid_has_all_numbers_of_bands(spark):
+    rows = registry.QUERIES["selection_grid"](spark, SF).select("method", "k").distinct().collect()
+    assert {(r.method, r.k) for r in rows} == {(m, k) for m in experiment.METHODS for k in (5, 10, 15, 20, 25, 30)}
+
+
 def test_small_run(spark, tmp_path):
     rng = np.random.default_rng(0)
     labels = rng.integers(0, 3, 180)

@@ -13,9 +13,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Characters of text, and bytes of one match, that are encoded without a split into halves.
-LEAF_CHARS = 1 << 14
-LEAF_BYTES = 32
+#: Characters of text at the leaves of its tree; the leaves of a match are bytes.
+LEAF_CHARS = 256
+#: Ids at the leaves of decoding.
+LEAF_IDS = 1 << 14
+#: Bytes of a match whose ids are remembered, as the same halves occur in many matches.
+HALF = 16
+#: Bytes up to which merges look through all pairs; beyond, the pairs wait in a heap.
+PLAIN = 64
 #: Entries of a worker's cache, and chunks after which a full one is reviewed.
 CACHE = 500_000
 REVIEW = 4_000_000
@@ -56,6 +61,9 @@ class ChunkIds:
     def of(self, parts: list[str]) -> list[bytes]:
         known = self.known
         found = list(map(known.get, parts))
+        if None not in found:
+            self.asked += len(parts)
+            return found
         gaps = [k for k, ids in enumerate(found) if ids is None]
         lost = {parts[k] for k in gaps}
         split = {part: own for part in lost if (part[-1] in ".," or part[0] == "\n") and len(own := self._pieces(part)) > 1}
@@ -66,7 +74,9 @@ class ChunkIds:
         for k in gaps:
             found[k] = fresh[parts[k]]
         if len(known) < self.size:
-            known.update((part, ids) for part, ids in fresh.items() if len(part) < 64)
+            for part, ids in fresh.items():
+                if len(part) < 64:
+                    known[part] = ids
             return found
         self.asked, self.missed = self.asked + len(parts), self.missed + len(gaps)
         if self.asked >= REVIEW:
@@ -85,6 +95,11 @@ class ChunkIds:
         return [*head, body]
 
 
+def _middle(n: int) -> int:
+    """The largest power of two below a length, so that repetitions are halved where their tokens end."""
+    return 1 << (n - 1).bit_length() - 1
+
+
 def read_ranks(content: bytes) -> dict[bytes, int]:
     """Ranks by token bytes, from lines of base64 and rank."""
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines()) if token}
@@ -97,69 +112,99 @@ class Codec:
         self.ranks, self.bytes = ranks, {rank: token for token, rank in ranks.items()}
         self.pattern = regex.compile(pattern)
         self.chunk_ids = ChunkIds(lambda new: [np.array([i for m in self.pattern.findall(c) for i in self._match(m)], ID_TYPE).tobytes() for c in new])
-        self.pairs: dict[tuple[int, int], bool] = {}
-
-    def encode(self, text: str) -> list[int]:
-        return np.frombuffer(b"".join(self._tree(text)[1]), ID_TYPE).tolist()
-
-    def _tree(self, text: str) -> tuple[list[str], list[bytes]]:
-        """Chunks and their ids. Halves are encoded apart; at their border the window of one chunk of each is encoded anew.
-
-        The window grows while its outer ends are no cuts that hold in any surroundings; cuts beyond are such.
+        self.pairs: dict[tuple[int, int], list[int]] = {}
+        self.halves: dict[bytes, list[int]] = {bytes([b]): [ranks[bytes([b])]] for b in range(256) if bytes([b]) in ranks}
+        self.single = dict(self.halves)
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a whole text."""
+        if not text:
+            return np.zeros(0, ID_TYPE)
+        head, ids, tail = self._tree(text)
+        whole = self.chunk_ids.of([head]) if ids is None else [*self.chunk_ids.of([head]), *ids, *self.chunk_ids.of([tail])]
+        return np.frombuffer(b"".join(whole), ID_TYPE)
+
+    def _tree(self, text: str) -> tuple[str, list[bytes] | None, str]:
+        """Open head, ids of the chunks between, and open tail of a text; without a cut all is head, and there are no ids.
+
+        What lies between two cuts stays whatever stands beside the text, so halves encode it; their open ends wait for
+        the join.
         """
         if len(text) <= LEAF_CHARS:
-            parts = chunks(text)
-            return parts, self.chunk_ids.of(parts)
-        middle = len(text) // 2
-        (left, left_ids), (right, right_ids) = self._tree(text[:middle]), self._tree(text[middle:])
-        take_left, take_right = 1, 1
-        while take_left < len(left) and not self._holds(left[-take_left]):
-            take_left += 1
-        while take_right < len(right) and not self._holds(right[take_right]):
-            take_right += 1
-        window = chunks("".join(left[-take_left:]) + "".join(right[:take_right]))
-        left[-take_left:], left_ids[-take_left:] = window, self.chunk_ids.of(window)
-        return left + right[take_right:], left_ids + right_ids[take_right:]
-
-    @staticmethod
-    def _holds(chunk: str) -> bool:
-        return len(chunk) > 1 and chunk[0] in " \n" and not chunk[1].isspace()
+            return self._ends(chunks(text))
+        middle = _middle(len(text))
+        return self._beside(self._tree(text[:middle]), self._tree(text[middle:]))
+
+    def _ends(self, parts: list[str]) -> tuple[str, list[bytes] | None, str]:
+        if len(parts) < 2:
+            return parts[0] if parts else "", None, ""
+        return parts[0], self.chunk_ids.of(parts[1:-1]), parts[-1]
+
+    def _beside(self, left: tuple, right: tuple) -> tuple[str, list[bytes] | None, str]:
+        """Two halves together. The window of the ends at their border is encoded; an end without a cut grows by the other."""
+        head, ids, tail = left
+        more_head, more_ids, more_tail = right
+        window = chunks((head if ids is None else tail) + more_head)
+        if ids is None and more_ids is None:
+            return self._ends(window)
+        if ids is None:
+            return window[0], self.chunk_ids.of(window[1:]) + more_ids, more_tail
+        if more_ids is None:
+            ids += self.chunk_ids.of(window[:-1])
+            return head, ids, window[-1]
+        ids += self.chunk_ids.of(window)
+        ids += more_ids
+        return head, ids, more_tail
 
     def _match(self, match: str) -> list[int]:
         token = match.encode()
         return [self.ranks[token]] if token in self.ranks else self._halves(token)
 
     def _halves(self, token: bytes) -> list[int]:
-        if len(token) <= LEAF_BYTES:
-            return self._merged(token)
-        middle = len(token) // 2
-        return self._joined(self._halves(token[:middle]), self._halves(token[middle:]))
+        """Ids of bytes by merges alone, as a tree of halves down to single bytes."""
+        if (found := self.halves.get(token)) is not None:
+            return found
+        middle = _middle(len(token))
+        found = self._joined(self._halves(token[:middle]), self._halves(token[middle:]))
+        if len(token) <= HALF:
+            if len(self.halves) >= CACHE:
+                self.halves = dict(self.single)
+            self.halves[token] = found
+        return found
 
     def _joined(self, left: list[int], right: list[int]) -> list[int]:
         """Ids of two halves' bytes together.
 
         A sequence of ids is the encoding of its bytes if and only if each two neighbours are the encoding of theirs:
         the first merge across a border would come first among the two neighbours alone, too. So a window at the border
-        is encoded anew and grows until its ends agree with the ids beside it.
+        is encoded anew, and grows at an end until that end agrees with the id beside it: ids beyond are proved to stay.
         """
-        size = 1
+        window = self._pair(left[-1], right[0])
+        if len(window) == 2 and window[0] == left[-1]:
+            return left + right
+        a = b = 1
         while True:
-            window = self._merged(b"".join(self.bytes[i] for i in left[-size:] + right[:size]))
-            if (len(left) <= size or self._neighbours(left[-size - 1], window[0])) and (len(right) <= size or self._neighbours(window[-1], right[size])):
-                return left[:-size] + window + right[size:]
-            size *= 2
-
-    def _neighbours(self, a: int, b: int) -> bool:
+            wide_left = len(left) > a and not self._neighbours(left[-a - 1], window[0])
+            wide_right = len(right) > b and not self._neighbours(window[-1], right[b])
+            if not (wide_left or wide_right):
+                return left[:-a] + window + right[b:]
+            a, b = a * (1 + wide_left), b * (1 + wide_right)
+            window = self._merged(b"".join(map(self.bytes.__getitem__, left[-a:] + right[:b])))
+
+    def _pair(self, a: int, b: int) -> list[int]:
         if (found := self.pairs.get((a, b))) is None:
             if len(self.pairs) >= CACHE:
                 self.pairs.clear()
-            found = self.pairs[a, b] = self._merged(self.bytes[a] + self.bytes[b]) == [a, b]
+            found = self.pairs[a, b] = self._merged(self.bytes[a] + self.bytes[b])
         return found
 
+    def _neighbours(self, a: int, b: int) -> bool:
+        return self._pair(a, b) == [a, b]
+
     def _merged(self, token: bytes) -> list[int]:
         """Merges the pair of lowest rank, leftmost first, until there is none; many pairs wait in a heap."""
         ranks, n = self.ranks, len(token)
-        if n <= 2 * LEAF_BYTES:
+        if n <= PLAIN:
             parts = [token[i : i + 1] for i in range(n)]
             pairs = [ranks.get(token[i : i + 2], NEVER) for i in range(n - 1)]
             while pairs and (best := min(pairs)) != NEVER:
@@ -193,7 +238,7 @@ class Codec:
         return out
 
     def decode(self, ids: list[int]) -> bytes:
-        if len(ids) <= LEAF_CHARS:
+        if len(ids) <= LEAF_IDS:
             return b"".join(map(self.bytes.__getitem__, ids))
         middle = len(ids) // 2
         return self.decode(ids[:middle]) + self.decode(ids[middle:])
@@ -225,13 +270,14 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
             columns = [[], [], [], []]
             for text in batch.column(1):
                 ids = codec.encode(text.as_py() or "")
-                columns[0].append(len(ids))
-                columns[1].append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-                columns[2].append(hashlib.sha256(codec.decode(ids)).hexdigest())
-                columns[3].append(pa.array(ids, pa.int32()) if with_ids else None)
+                numbers = ids.tolist()
+                columns[0].append(len(numbers))
+                columns[1].append(hashlib.sha256(" ".join(map(str, numbers)).encode()).hexdigest())
+                columns[2].append(hashlib.sha256(codec.decode(numbers)).hexdigest())
+                columns[3].append(numbers if with_ids else None)
             arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())]
             if with_ids:
-                arrays.append(pa.array([a.to_pylist() for a in columns[3]], pa.list_(pa.int32())))
+                arrays.append(pa.array(columns[3], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bandloom.llm.shared import materialize
+from bandloom.llm.shared import materialize, nested, with_lookup
 
 WHITE_SPACE = " \t\n\v\f\r"
 #: Salts of a digest in the middle stage, so that a hot group is merged by as many tasks.
@@ -27,59 +27,62 @@ def sha256(norm: Column) -> Column:
 
 
 def _combine(rows: DataFrame, salts: int) -> DataFrame:
-    """``_digest, _norm, _best, _n`` per distinct normalised text.
+    """``digest, norm, best, n`` per distinct normalised text.
 
     Each stage groups by the full content beside its digest: every map task merges its own rows, then the salted groups
     are merged, then their winners. A hot group so reaches the last stage as one row per salt.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    salted = salted.groupBy("_digest", "_salt", "_norm").agg(F.min("_row").alias("_best"), F.count("*").alias("_n"))
-    return salted.groupBy("_digest", "_norm").agg(F.min("_best").alias("_best"), F.sum("_n").alias("_n"))
+    salted = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    salted = salted.groupBy("digest", "salt", "norm").agg(F.min("rank").alias("best"), F.count("*").alias("n"))
+    return salted.groupBy("digest", "norm").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
 
 
 def _keyed(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    doc_id = F.col("doc_id").cast("long")
-    length = F.length(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.withColumn("_norm", normalised(F.col("text")))
-    row = F.struct((-length).alias("shorter"), doc_id.isNull().alias("no_id"), doc_id.alias("doc_id"))
-    return rows.withColumns({"_digest": digest(F.col("_norm")), "_row": row})
+    rows = nested(docs).withColumn("norm", normalised(F.col("row.text")))
+    doc_id = F.col("row.doc_id").cast("long")
+    length = F.length(F.coalesce(F.col("row.text").cast("string"), F.lit("")))
+    rank = F.struct((-length).alias("shorter"), doc_id.isNull().alias("no_id"), doc_id.alias("doc_id"))
+    return rows.withColumns({"digest": digest(F.col("norm")), "rank": rank})
 
 
 def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha256, salts: int = SALTS) -> DataFrame:
-    """The columns of ``docs`` with ``_keep_id``, ``_group_size``, ``_kept`` and ``_digest`` for every row.
+    """``row`` (a struct of the columns of ``docs``), ``keep_id, group_size, kept, digest`` for every row.
 
     Of equal texts the row with the most code points stays, then that with the smallest doc_id (null last). A null text
     is an empty one. Rows that repeat both doc_id and length of the winner all count as kept; ``deduplicated`` leaves
     one. Contents that share a digest (none with SHA-256, but tests use weak ones) are told apart by full comparison.
+    Whole texts of any length are compared. Other columns, whatever their names, come back in ``row``; an empty table
+    gives an empty result. Rows of hot groups aren't gathered by their digest (``with_lookup``).
     """
     rows = _keyed(docs, digest)
-    groups = materialize(_combine(rows, salts).drop("_norm"), "exact-groups")
-    clashes = materialize(groups.groupBy("_digest").count().where("count > 1").select("_digest"), "exact-clashes")
+    groups = materialize(_combine(rows, salts).drop("norm"), "exact-groups")
+    clashes = materialize(groups.groupBy("digest").count().where("count > 1").select("digest"), "exact-clashes")
     clash = not clashes.isEmpty()
     if clash:
-        groups = groups.join(clashes, "_digest", "left_anti")
-    named = rows.join(groups, "_digest")
+        groups = groups.join(clashes, "digest", "left_anti")
+    named = with_lookup(rows.select("row", "digest", "rank"), groups, "digest", "n")
     if clash:
-        few = rows.join(clashes, "_digest", "left_semi")
-        named = named.unionByName(few.join(_combine(few, salts), ["_digest", "_norm"]).select(named.columns))
+        few = rows.join(clashes, "digest", "left_semi")
+        named = named.unionByName(few.join(_combine(few, salts), ["digest", "norm"]).select(named.columns))
     return named.select(
-        *(F.col(f"`{c}`") for c in docs.columns),
-        F.col("_best.doc_id").alias("_keep_id"),
-        F.col("_n").alias("_group_size"),
-        F.col("_row").eqNullSafe(F.col("_best")).alias("_kept"),
-        F.col("_digest"),
+        "row",
+        F.col("best.doc_id").alias("keep_id"),
+        F.col("n").alias("group_size"),
+        F.col("rank").eqNullSafe(F.col("best")).alias("kept"),
+        F.col("digest").cast("string").alias("digest"),
     )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group of equal texts; columns as they come.
 
-    Where several rows repeat the winner's doc_id and text, one of them stays.
+    Where several rows repeat the winner's doc_id and length, that with the smallest text, then the smallest JSON form
+    of the whole row, stays.
     """
-    marked = exact_duplicates(docs)
-    kept = marked.where("_kept").drop("_keep_id", "_group_size", "_kept")
-    twins = materialize(kept.groupBy("_digest").count().where("count > 1").select("_digest"), "exact-twins")
+    kept = exact_duplicates(docs).where("kept").select("row", "digest")
+    twins = materialize(kept.groupBy("digest").count().where("count > 1").select("digest"), "exact-twins")
     if twins.isEmpty():
-        return kept.drop("_digest")
-    alone = kept.join(twins, "_digest", "left_anti")
-    return alone.unionByName(kept.join(twins, "_digest", "left_semi").dropDuplicates(["_digest"])).drop("_digest")
+        return kept.select("row.*")
+    alone = kept.join(twins, "digest", "left_anti").select("row")
+    first = F.min_by("row", F.struct(F.col("row.text"), F.to_json("row"))).alias("row")
+    return alone.unionByName(kept.join(twins, "digest", "left_semi").groupBy("digest").agg(first).select("row")).select("row.*")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandloom.llm.shared import materialize
+from bandloom.llm.shared import materialize, nested, with_lookup
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -13,8 +15,8 @@ WEIGHTS = (1, 2, 3)
 REPEATS = 3
 SEED = "mix"
 NO_SOURCE = "n"
-#: Ranges of the shuffled order, and of virtual time, that windows run over (16**3).
-RANGES = 4096
+#: Rows in a range of the shuffled order, or of virtual time, that windows run over (on average over all sources).
+RANGE_ROWS = 1 << 14
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -43,51 +45,76 @@ def targets(sizes: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The columns of ``docs`` with a struct ``_mix`` (size, source_size, target, taken, times) for every row.
+def mix(docs: DataFrame, seed: str = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``row`` (a struct of the columns of ``docs``), ``size, source_size, target, taken, times`` for every row.
 
-    The shuffled order is that of ``md5(seed:doc_id)``, so reruns agree. A document's copy in pass p finishes at the
+    The shuffled order is that of ``md5(seed:doc_id:text)``, so reruns agree. A document's copy in pass p finishes at the
     virtual time (p * source size + cumulative source words) / target. Copies are taken in order of that time while
     their words fit into the total budget, the words of all documents; a source whose target is met gets no more.
     A null text has no words; documents without words are taken zero times. A null source is a source, the last one.
-
-    Cumulative words come from sums over fixed ranges of the order plus a window within each range, so a source that
-    holds a third of all rows is spread over RANGES groups. Only the last copy taken, one row, comes to the driver.
+    Rows that repeat doc_id and text count each; of these, those with the smaller JSON form are taken more often. Whole
+    texts are counted; other columns, whatever their names, come back in ``row``. An empty table gives an empty result.
+
+    Cumulative words come from sums over ranges of the order plus a window within each range; ranges are as many as the
+    rows need, so a source that holds a third of all rows is spread over them. Windows see sizes and keys alone, never
+    texts. What a source gets in a pass is a prefix of its order, so each row is told by its source's last key in each
+    pass. Only the last copy taken, one row, comes to the driver. Targets need one order over all sources: one task
+    sorts a row for each source.
     """
-    rows = docs.withColumns({"_size": word_count(F.col("text")), "_order": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))})
-    rows = rows.withColumns({"_source": _key(F.col("source")), "_range": F.substring("_order", 1, 3), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))})
-    narrow = materialize(rows.select("_source", "_range", "_order", "_id", "_size"), "mix-sizes")
-    sums = materialize(narrow.groupBy("_source", "_range").agg(F.sum("_size").alias("words")), "mix-ranges")
-    sizes = sums.groupBy("_source").agg(F.sum("words").alias("source_size"))
-    source = F.when(F.col("_source") != NO_SOURCE, F.expr("substring(_source, 2)"))
-    goal = targets(sizes.select(source.alias("source"), "source_size"))
-    ahead = F.sum("words").over(Window.partitionBy("_source").orderBy("_range")) - F.col("words")
-    starts = sums.select("_source", "_range", ahead.alias("_ahead"))
-    goal = goal.select(_key(F.col("source")).alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    starts = materialize(starts.join(goal, "_source"), "mix-starts")
-    copies = _copies(_queued(narrow, starts)).withColumn("_slot", F.least(F.floor(F.col("finish") * RANGES), F.lit(2 * RANGES)))
-    slots = materialize(copies.groupBy("_slot").agg(F.sum("_size").alias("words")), "mix-slots")
-    total = F.sum("words").over(Window.orderBy("_slot"))
-    slots = slots.select("_slot", (total - F.col("words")).alias("_before"))
-    budget = narrow.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
-    place = Window.partitionBy("_slot").orderBy("finish", "_order", "_id", "pass", "_size").rowsBetween(Window.unboundedPreceding, 0)
-    running = copies.join(slots, "_slot").withColumn("_run", F.col("_before") + F.sum("_size").over(place))
-    last = running.where(F.col("_run") <= budget).agg(F.max(F.struct("finish", "_order", "_id", "pass", "_size"))).first()[0]
-    queued = _queued(rows, starts)
-    times = F.lit(0).cast("long")
-    for p in range(REPEATS if last else 0):
-        cut = F.struct(F.lit(last[0]), F.lit(last[1]), F.lit(last[2]).cast("long"), F.lit(last[3]), F.lit(last[4]).cast("long"))
-        here = F.struct(_finish(p), F.col("_order"), F.col("_id"), F.lit(p), F.col("_size"))
-        times = times + F.when((F.col("_size") > 0) & _starts(p) & (here <= cut), 1).otherwise(0)
-    size, taken = F.col("_size"), (F.col("_size") * F.col("_times")).alias("taken")
-    mixed = F.struct(size.alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken, F.col("_times").alias("times"))
-    return queued.withColumn("_times", times).select(*(F.col(f"`{c}`") for c in docs.columns), mixed.alias("_mix"))
-
-
-def _queued(rows: DataFrame, starts: DataFrame) -> DataFrame:
-    """Rows with their source's target and, as ``_cum``, the source's words up to and with the row."""
-    place = Window.partitionBy("_source", "_range").orderBy("_order", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(starts, ["_source", "_range"]).withColumn("_cum", F.col("_ahead") + F.sum("_size").over(place)).drop("_ahead")
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), F.lit(":"), text))
+    rows = nested(docs).withColumns({"source": _key(F.col("row.source")), "order": order, "size": word_count(F.col("row.text"))})
+    narrow = materialize(rows.select("source", "order", "size"), "mix-sizes")
+    every, budget = narrow.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    digits = max(1, math.ceil(math.log(max(1, every / range_rows), 16)))
+    narrow = narrow.withColumn("range", F.substring("order", 1, digits))
+    sums = materialize(narrow.groupBy("source", "range").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "mix-ranges")
+    sizes = sums.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("n"))
+    named = F.when(F.col("source") != NO_SOURCE, F.expr("substring(source, 2)"))
+    goal = targets(sizes.select(named.alias("source"), "source_size")).select(_key(F.col("source")).alias("source"), "target")
+    goal = materialize(sizes.join(goal, "source"), "mix-goals")
+    ahead = F.sum("words").over(Window.partitionBy("source").orderBy("range")) - F.col("words")
+    starts = materialize(sums.select("source", "range", ahead.alias("ahead")).join(goal.drop("n"), "source"), "mix-starts")
+    place = Window.partitionBy("source", "range").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, 0)
+    queued = narrow.join(starts, ["source", "range"]).withColumn("cum", F.col("ahead") + F.sum("size").over(place))
+    slots = 16**digits
+    copies = _copies(queued).withColumn("slot", F.least(F.floor(F.col("finish") * slots), F.lit(2 * slots)))
+    filled = materialize(copies.groupBy("slot").agg(F.sum("size").alias("words")), "mix-slots")
+    filled = filled.select("slot", (F.sum("words").over(Window.orderBy("slot")) - F.col("words")).alias("before"))
+    place = Window.partitionBy("slot").orderBy("finish", "order", "source", "pass", "size").rowsBetween(Window.unboundedPreceding, 0)
+    running = copies.join(filled, "slot").withColumn("run", F.col("before") + F.sum("size").over(place))
+    taken = materialize(running.where(F.col("run") <= budget).select("source", "pass", "order", "size"), "mix-taken")
+    last = taken.groupBy("source").agg(*(F.max(F.when(F.col("pass") == p, F.struct("order", "size"))).alias(f"last{p}") for p in range(REPEATS)))
+    found = with_lookup(rows, goal.join(materialize(last, "mix-last"), "source", "left"), "source", "n")
+    found = found.withColumn("times", sum((F.when(_upto(p), 1).otherwise(0) for p in range(REPEATS)), F.lit(0)).cast("long"))
+    found = found.select("row", "source", "order", "size", "source_size", "target", "times")
+    if not (split := _split(narrow, taken, last)).isEmpty():
+        same = ["source", "order", "size"]
+        nth = F.row_number().over(Window.partitionBy(*same).orderBy(F.to_json("row")))
+        less = found.join(split, same).withColumn("times", F.aggregate("shares", F.lit(0).cast("long"), lambda a, m: a + F.when(m >= nth, 1).otherwise(0)))
+        found = found.join(split, same, "left_anti").unionByName(less.drop("shares"))
+    return found.select("row", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """Each row of ``docs`` as often as the mix takes it; columns as they come."""
+    found = mix(docs).where("times > 0")
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
+
+
+def _upto(p: int) -> Column:
+    """Whether a row is in its source's prefix of a pass."""
+    return (F.col("size") > 0) & (F.struct("order", "size") <= F.col(f"last{p}"))
+
+
+def _split(narrow: DataFrame, taken: DataFrame, last: DataFrame) -> DataFrame:
+    """``source, order, size, shares``: keys of several rows, of which a pass takes only some, and how many each takes."""
+    same = ["source", "order", "size"]
+    ends = last.select("source", F.explode(F.array(*(f"last{p}" for p in range(REPEATS)))).alias("end")).where("end is not null").select("source", "end.*").distinct()
+    all_ = narrow.join(ends, same, "left_semi").groupBy(*same).agg(F.count("*").alias("n")).where("n > 1")
+    shares = F.array(*(F.sum(F.when(F.col("pass") == p, 1).otherwise(0)) for p in range(REPEATS)))
+    some = taken.join(all_, same).groupBy(*same).agg(shares.alias("shares"), F.max("n").alias("n"))
+    return materialize(some.where(F.exists("shares", lambda m: (m > 0) & (m < F.col("n")))).drop("n"), "mix-split")
 
 
 def _key(source: Column) -> Column:
@@ -95,16 +122,9 @@ def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit(NO_SOURCE))
 
 
-def _finish(p: Column | int) -> Column:
-    p = p if isinstance(p, Column) else F.lit(p)
-    return (p * F.col("_source_size") + F.col("_cum")).cast("double") / F.nullif(F.col("_target"), F.lit(0.0))
-
-
-def _starts(p: Column | int) -> Column:
-    p = p if isinstance(p, Column) else F.lit(p)
-    return (p * F.col("_source_size") + F.col("_cum") - F.col("_size")).cast("double") < F.col("_target")
-
-
 def _copies(queued: DataFrame) -> DataFrame:
-    copies = queued.where("_size > 0").withColumn("pass", F.explode(F.array(*map(F.lit, range(REPEATS)))))
-    return copies.where(_starts(F.col("pass"))).select("_size", "_order", "_id", "pass", _finish(F.col("pass")).alias("finish"))
+    """Each row once for each pass that starts before its source's target is met, with its virtual finish time."""
+    copies = queued.where("size > 0").withColumn("pass", F.explode(F.array(*map(F.lit, range(REPEATS)))))
+    end = F.col("pass") * F.col("source_size") + F.col("cum")
+    copies = copies.where((end - F.col("size")).cast("double") < F.col("target"))
+    return copies.select("source", "order", "size", "pass", (end.cast("double") / F.nullif(F.col("target"), F.lit(0.0))).alias("finish"))

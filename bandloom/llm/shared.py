@@ -7,10 +7,37 @@ from pyspark.sql import functions as F
 
 from bandloom.sources.sinks import new_path, temporary
 
-__all__ = ["components", "materialize", "new_path"]
+__all__ = ["components", "materialize", "nested", "new_path", "with_lookup"]
 
 materialize = temporary
 
+#: Keys that count as hot at most; a key with fewer rows than this share of all does not fill a task.
+HOT_KEYS = 10_000
+#: Rows of a key under which it is never hot.
+HOT_ROWS = 1_000
+
+
+def nested(docs: DataFrame) -> DataFrame:
+    """One column ``row``, a struct of all columns: what operators add beside it cannot clash with them."""
+    return docs.select(F.struct("*").alias("row"))
+
+
+def with_lookup(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row for each key and its number of rows in column ``count``.
+
+    Keys that hold at least one in HOT_KEYS of all rows, which are HOT_KEYS at most, are broadcast, so that the rows of
+    a hot key stay where they are dealt; all other keys meet in a shuffle.
+    """
+    bound = max(HOT_ROWS, -(-(table.agg(F.sum(count)).first()[0] or 0) // HOT_KEYS))
+    values = F.struct(*(c for c in table.columns if c != key))
+    hot = table.where(F.col(count) >= bound).select(key, values.alias("hot"))
+    cold = table.where(F.col(count) < bound).select(F.col(key).cast("string").alias("key"), values.alias("cold"))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    place = F.concat(F.lit("hot "), F.monotonically_increasing_id().cast("string"))  # no key; spreads over all tasks
+    marked = marked.withColumn("key", F.when(F.col("hot").isNull(), F.col(key).cast("string")).otherwise(place))
+    joined = marked.join(cold, "key", "left").withColumn("found", F.coalesce("hot", "cold")).where("found is not null")
+    return joined.select(*rows.columns, "found.*")
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph given by its edges of two long columns.

@@ -37,7 +37,7 @@ FROM w
 OP9 = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS h, coalesce(doc_id, -1) AS id FROM documents
+    md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS h FROM documents
 ), r AS (
   SELECT source, s, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w
   FROM (SELECT source, sum(size)::BIGINT AS s FROM d GROUP BY source)
@@ -50,11 +50,12 @@ WITH d AS (
     (sum(s - CASE WHEN stops THEN 3 * s ELSE 0 END) OVER ())::DOUBLE
       / (sum(CASE WHEN stops THEN 0 ELSE w END) OVER ())::DOUBLE * w END AS target FROM f
 ), c AS (
-  SELECT d.*, t.s, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY h, id, size
+  SELECT d.*, t.s, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY h, size
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum, row_number() OVER () AS row
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), q AS (
-  SELECT row, size, sum(size) OVER (ORDER BY (pass * s + cum)::DOUBLE / target, h, id, pass, size
+  SELECT row, size, sum(size) OVER (ORDER BY (pass * s + cum)::DOUBLE / target, h,
+    CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END, pass, size
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
   FROM c, (SELECT unnest(range(3)) AS pass)
   WHERE size > 0 AND (pass * s + cum - size)::DOUBLE < target

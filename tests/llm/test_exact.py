@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from bandloom.llm import exact
+from bandloom.llm import exact, shared
 
 from .oracle import query_rows, sql_rows
 
@@ -24,7 +24,7 @@ def test_against_sql(spark, docs, tmp_path):
 def test_clashing_digests_are_told_apart(docs):
     weak = exact.exact_duplicates(docs, digest=lambda norm: F.length(norm) % 2)
     strong = exact.exact_duplicates(docs)
-    pick = lambda df: sorted(map(str, df.select("doc_id", "_keep_id", "_group_size", "_kept").collect()))
+    pick = lambda df: sorted(map(str, df.select("row.doc_id", "keep_id", "group_size", "kept").collect()))
     assert pick(weak) == pick(strong)
 
 
@@ -34,3 +34,27 @@ def test_deduplicated_keeps_one_of_each(docs):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 6, 7, 8, 9, 11, 13]
     twice = docs.union(docs.where("doc_id = 2"))
     assert sorted(r.doc_id for r in exact.deduplicated(twice).collect()) == [2, 6, 7, 8, 9, 11, 13]
+
+
+def test_hot_groups_are_looked_up_where_they_are(spark, docs, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_ROWS", 3)
+    monkeypatch.setattr(shared, "HOT_KEYS", 5)
+    pick = lambda df: sorted(map(str, df.select("row.doc_id", "keep_id", "group_size", "kept").collect()))
+    hot = exact.exact_duplicates(docs)
+    monkeypatch.undo()
+    assert pick(hot) == pick(exact.exact_duplicates(docs))
+
+
+def test_clashing_names_come_back(spark):
+    names = ["row", "Norm", "digest", "RANK", "salt", "best", "n", "hot", "cold", "key", "found", "keep_id", "group_size", "kept", "_digest", "count"]
+    rows = [(k, t, *({"a": f"{n}{k}"} for n in names)) for k, t in ((1, "a b"), (2, "ab"), (3, "c"), (3, "c"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` map<string,string>" for n in names))
+    got = sorted(map(tuple, exact.deduplicated(docs).collect()), key=str)
+    assert exact.deduplicated(docs).columns == docs.columns and got == [rows[0], rows[2]]
+    found = exact.exact_duplicates(docs).select("row.*")
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(rows, key=str)
+
+
+def test_twins_are_told_apart_by_text(spark):
+    docs = spark.createDataFrame([(1, "b a", "x"), (1, "ba ", "y"), (1, " ba", "z"), (1, " ba", "w")] * 5, "doc_id long, text string, c string")
+    assert [tuple(r) for r in exact.deduplicated(docs.repartition(3)).collect()] == [(1, " ba", "w")]

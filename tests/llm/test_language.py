@@ -58,21 +58,22 @@ def brute(rows):
     return out
 
 
-def test_against_plain_form(docs):
-    got = language.predict(docs).collect()
-    assert got[0].__fields__ == [*docs.columns, "_lang_pred", "_score"]
-    for r, (lang, score) in zip(got, brute(got), strict=True):
-        assert r._lang_pred == lang and r._score == pytest.approx(score, abs=1e-9)
-    assert {r._lang_pred for r in got if r.doc_id in (500, 501, 502)} == {"und"}
+@pytest.mark.parametrize("block", [language.LANGUAGES, 2, 1])
+def test_against_plain_form(docs, block):
+    got = language.predict(docs, block).collect()
+    assert got[0].row.__fields__ == docs.columns
+    for r, (lang, score) in zip(got, brute([r.row for r in got]), strict=True):
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-9)
+    assert {r.lang_pred for r in got if r.row.doc_id in (500, 501, 502)} == {"und"}
 
 
 def test_held_out_accuracy(docs):
-    got = [r for r in language.predict(docs).withColumn("out", language.held_out(F.col("doc_id"))).collect() if r.out and r.lang and r.doc_id < 500]
-    assert len(got) > 10 and np.mean([r._lang_pred == r.lang for r in got]) > 0.95
+    got = [r for r in language.predict(docs).select("row.*", "lang_pred", language.held_out(F.col("row.doc_id")).alias("out")).collect() if r.out and r.lang and r.doc_id < 500]
+    assert len(got) > 10 and np.mean([r.lang_pred == r.lang for r in got]) > 0.95
 
 
 def test_nothing_to_learn_from(docs):
-    assert {r._lang_pred for r in language.predict(docs.where("lang is null")).collect()} == {"und"}
+    assert {r.lang_pred for r in language.predict(docs.where("lang is null")).collect()} == {"und"}
     assert language.predict(docs.limit(0)).collect() == []
 
 
@@ -82,3 +83,19 @@ def test_chunks_count_as_one(monkeypatch):
     monkeypatch.setattr(language, "CHUNK", 50)
     parts = language.ngram_counts(text)
     assert [list(p) for p in parts] == [list(w) for w in whole]
+
+
+def test_any_number_of_languages(spark):
+    rows = [(4 * k, chr(0x4E00 + k) * 5, f"l{k:03}") for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = {d for d, _, _ in rows if zlib.crc32(str(d).encode()) % 4 != 2}
+    got = language.predict(docs, 64).collect()
+    assert len(got) == 150 and all(r.lang_pred == r.row.lang for r in got if r.row.doc_id in learned)
+
+
+def test_clashing_names_come_back(spark):
+    names = ["row", "LANG_PRED", "top", "every", "_score", "bucket", "n", "held_out"]
+    rows = [(k, "the end of it", "en", *([n, str(k)] for n in names)) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"{n} array<string>" for n in names))
+    assert language.known(docs).columns == docs.columns
+    assert sorted(map(tuple, language.known(docs).collect())) == rows

@@ -22,7 +22,7 @@ def test_against_sql(spark, docs, tmp_path):
 
 
 def test_targets_are_met(docs):
-    rows = mixing.mix(docs).select("source", "target", "_mix.*").drop("target").collect()
+    rows = mixing.mix(docs).select("row.source", "size", "target", "taken").collect()
     total = sum(r.size for r in rows)
     assert sum(r.taken for r in rows) <= total
     assert all(r.taken in (0, r.size, 2 * r.size, 3 * r.size) for r in rows)
@@ -34,3 +34,31 @@ def test_hand_made_targets(spark):
     sizes = spark.createDataFrame([("a", 500), ("c", 60), ("e", 10), (None, 30)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}
     assert got["e"] == 30.0 and got["c"] == 180.0 and got[None] == 90.0 and got["a"] == pytest.approx(300.0)
+
+
+@pytest.mark.parametrize("range_rows", [1, 10, 1000])
+def test_ranges_do_not_matter(docs, range_rows):
+    key = lambda df: sorted((str(r.row), r.taken) for r in df.select("row", "taken").collect())
+    assert key(mixing.mix(docs, range_rows=range_rows)) == key(mixing.mix(docs))
+
+
+def test_of_equal_rows_some_are_taken(spark):
+    rows = [(5, "a b c", "x", k) for k in range(40)] + [(6, "d e", "y", k) for k in range(7)] + [(None, "n", None, 0)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(3)
+    found = mixing.mix(docs).collect()
+    total = sum(r.size for r in found)
+    assert len(found) == 52 and total - 3 <= sum(r.taken for r in found) <= total
+    for source in ("x", "y", None):
+        mine = [r for r in found if r.row.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 3
+        assert max(r.times for r in mine) - min(r.times for r in mine) <= 1
+    again = mixing.mix(docs.repartition(5)).collect()
+    assert sorted((str(r.row), r.times) for r in again) == sorted((str(r.row), r.times) for r in found)
+
+
+def test_clashing_names_come_back(spark):
+    names = ["row", "SIZE", "order", "range", "source_size", "target", "taken", "times", "slot", "pass", "finish", "n", "last0", "key", "_mix", "_order"]
+    rows = [(k, "w " * k, "a", *([n] for n in names)) for k in range(1, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` array<string>" for n in names))
+    assert mixing.mixed(docs).columns == docs.columns
+    assert sorted(map(tuple, mixing.mixed(docs).collect())) == rows

@@ -16,8 +16,7 @@ from bandloom.llm.shared import materialize
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without letters, or that no language fits clearly, go."""
-    found = language.predict(docs)
-    return found.where((F.col("_lang_pred") != language.UNKNOWN) & (F.col("_score") >= language.MIN_SCORE)).select(*_same(docs))
+    return language.known(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +41,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mixing.mix(docs).where("_mix.times > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_mix.times").cast("int")))).select(*_same(docs))
+    return mixing.mixed(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +49,6 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-def _same(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
-
-
 STAGES = [
     ("language ID", language_id),
     ("exact dedup", exact_dedup),

@@ -22,20 +22,24 @@ def nested(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("row"))
 
 
-def with_lookup(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
-    """Inner join of ``rows`` with ``table``, which has one row for each key and its number of rows in column ``count``.
+def with_lookup(rows: DataFrame, table: DataFrame, key: str, count: str, outer: bool = False, parts: int | None = None) -> DataFrame:
+    """Inner (or left outer) join of ``rows`` with ``table``, which has one row for each key and its number of rows in ``count``.
 
-    Keys that hold at least one in HOT_KEYS of all rows, which are HOT_KEYS at most, are broadcast, so that the rows of
-    a hot key stay where they are dealt; all other keys meet in a shuffle.
+    Keys that hold at least one in HOT_KEYS of the rows counted, which are HOT_KEYS at most, are broadcast, so that the
+    rows of a hot key aren't gathered; all other keys meet in a shuffle, of ``parts`` partitions if given.
     """
     bound = max(HOT_ROWS, -(-(table.agg(F.sum(count)).first()[0] or 0) // HOT_KEYS))
     values = F.struct(*(c for c in table.columns if c != key))
     hot = table.where(F.col(count) >= bound).select(key, values.alias("hot"))
-    cold = table.where(F.col(count) < bound).select(F.col(key).cast("string").alias("key"), values.alias("cold"))
+    cold = table.where(F.col(count) < bound).select(key, F.lit(0).cast("long").alias("lane"), values.alias("cold"))
     marked = rows.join(F.broadcast(hot), key, "left")
-    place = F.concat(F.lit("hot "), F.monotonically_increasing_id().cast("string"))  # no key; spreads over all tasks
-    marked = marked.withColumn("key", F.when(F.col("hot").isNull(), F.col(key).cast("string")).otherwise(place))
-    joined = marked.join(cold, "key", "left").withColumn("found", F.coalesce("hot", "cold")).where("found is not null")
+    # a hot key's rows take lanes of their own, which spreads them and meets nothing
+    marked = marked.withColumn("lane", F.when(F.col("hot").isNull(), 0).otherwise(F.monotonically_increasing_id() + 1))
+    if parts:
+        marked, cold = marked.repartition(parts, key, "lane"), cold.repartition(parts, key, "lane")
+    joined = marked.join(cold, [key, "lane"], "left").withColumn("found", F.coalesce("hot", "cold"))
+    if not outer:
+        joined = joined.where("found is not null")
     return joined.select(*rows.columns, "found.*")
 
 
@@ -45,18 +49,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Returns ``node, root`` for every node that has an edge to another node; ``root`` is the smallest node of the
     component. Alternates the large-star and small-star steps (Kiveris et al. 2014), which keep the edge count
     bounded by the input's and end after a logarithmic number of rounds. Minima are pre-aggregated before each
-    shuffle, and the joins on a hub node are sort-merge joins that adaptive execution splits. Edges with a null end
-    and loops are ignored; no edges give an empty table.
+    shuffle, and the edges of a hub aren't gathered (``with_lookup``). Edges with a null end and loops are ignored; no
+    edges give an empty table.
     """
     now = materialize(_downward(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))), "cc")
     seen = _fingerprint(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "cc-low")
+        large = with_lookup(both.where("v > u"), low, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(_downward(large), "cc")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "cc-low")
+        small = with_lookup(large, low, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(_downward(small.unionByName(low.select("u", F.col("m").alias("v")))), "cc")
         if (after := _fingerprint(now)) == seen:
             break

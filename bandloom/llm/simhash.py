@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bandloom.llm.shared import components, materialize
+from bandloom.llm.shared import components, materialize, with_lookup
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -23,6 +23,8 @@ FRONTIER = 1_000_000
 #: Levels that a heavy node goes down at once.
 SPLIT_BITS = 8
 BITS = 64
+#: What tells a unit of work: its trie, and the two nodes and their depth.
+UNIT = ("trie", "depth", "x", "y")
 
 
 def fingerprint(text: str | None) -> int:
@@ -118,16 +120,17 @@ def links(fps: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS) -> D
         pairs = materialize(pairs.select("trie", F.col("cx").alias("x"), F.col("cy").alias("y"), "diff", F.greatest("nx", "ny").alias("n")), "trie-pairs")
         small = pairs.where(F.col("n") <= node_rows) if depth < BITS else pairs
         members = deep.select("fp", "trie", "bits", _prefix("bits", depth).alias("node"))
-        unit = F.xxhash64("trie", "x", "y", F.lit(depth))
-        ends = small.select("trie", "diff", unit.alias("unit"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("node")), F.struct(F.when(F.col("x") != F.col("y"), 1).alias("side"), F.col("y").alias("node")))).alias("e")).select("trie", "diff", "unit", "e.*").where("side is not null")
-        units.append(members.join(ends, ["trie", "node"]).select("unit", F.lit(depth).alias("depth"), "diff", "side", "bits", "fp"))
+        sides = F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("node")), F.struct(F.when(F.col("x") != F.col("y"), 1).alias("side"), F.col("y").alias("node")))
+        ends = small.select("trie", "x", "y", "diff", F.explode(sides).alias("e")).select("trie", "x", "y", "diff", "e.*").where("side is not null")
+        units.append(members.join(ends, ["trie", "node"]).select("trie", F.lit(depth).alias("depth"), "x", "y", "diff", "side", "bits", "fp"))
         pairs = pairs.where(F.col("n") > node_rows).drop("n") if depth < BITS else None
         if pairs is not None and pairs.isEmpty():
             pairs = None
-    work = light.select(F.xxhash64("trie", node, F.lit(lead)).alias("unit"), F.lit(lead).alias("depth"), F.lit(0).alias("diff"), F.lit(0).alias("side"), "bits", "fp")
+    first = _prefix("bits", lead)
+    work = light.select("trie", F.lit(lead).alias("depth"), first.alias("x"), first.alias("y"), F.lit(0).alias("diff"), F.lit(0).alias("side"), "bits", "fp")
     for more in units:
         work = work.unionByName(more)
-    work = work.repartition("unit").sortWithinPartitions("unit", "side")
+    work = work.repartition(*UNIT).sortWithinPartitions(*UNIT, "side")
     return work.mapInArrow(_walker(budget), "a long, b long")
 
 
@@ -137,17 +140,19 @@ def _walker(budget: int):
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
                 held.append(np.stack([np.asarray(c).astype(np.int64) for c in batch.columns]))
-            rows = np.concatenate(held, axis=1) if held else np.zeros((6, 0), np.int64)
+            rows = np.concatenate(held, axis=1) if held else np.zeros((8, 0), np.int64)
             if not rows.shape[1]:
                 continue
-            edge = np.flatnonzero(np.diff(rows[0])) + 1
+            new = (np.diff(rows[: len(UNIT)]) != 0).any(axis=0)
+            unit, edge = np.concatenate(([0], np.cumsum(new))), np.flatnonzero(new) + 1
             bounds = np.concatenate(([0], edge, [rows.shape[1]] if batch is None else []))
             held = [] if batch is None else [rows[:, int(bounds[-1]) :]]
             first, total = 0, 0
             for k in range(1, len(bounds)):
                 total += (bounds[k] - bounds[k - 1]) ** 2
                 if total >= FRONTIER or k == len(bounds) - 1:
-                    a, b = _spanning(rows[:, int(bounds[first]) : int(bounds[k])], budget)
+                    part = slice(int(bounds[first]), int(bounds[k]))
+                    a, b = _spanning((unit[part], rows[1, part], *rows[len(UNIT) :, part]), budget)
                     first, total = k, 0
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -155,7 +160,7 @@ def _walker(budget: int):
     return walk
 
 
-def _spanning(rows: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def _spanning(rows: tuple[np.ndarray, ...], budget: int) -> tuple[np.ndarray, np.ndarray]:
     """Star edges of the links within the given units (unit, depth, diff, side, bits, fp by row)."""
     unit, depth, diff, side, bits, fp = rows
     bits = bits.view(np.uint64)
@@ -227,9 +232,9 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, node_rows: int = NODE
     only if no member has one. An empty table gives an empty result; other columns are ignored.
     """
     prints = materialize(fingerprints(docs), "simhash")
-    first = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-fp")
+    first = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "simhash-fp")
     roots = components(links(first.select("fp"), budget, node_rows))
-    owned = first.join(roots, first.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    best = owned.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = owned.join(best, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    owned = first.join(roots, first.fp == roots.node, "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
+    best = materialize(owned.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("texts")), "simhash-best")
+    named = materialize(with_lookup(owned, best, "root", "texts").select("fp", "n", "component_id"), "simhash-named")
+    return with_lookup(prints, named, "fp", "n").select("doc_id", "fp", "component_id")

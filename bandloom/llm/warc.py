@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandloom.llm.shared import new_path
+from bandloom.llm.shared import materialize, new_path, with_lookup
 
 #: Magic number of the skippable frame that holds an archive's dictionary, first in the file.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -25,6 +25,8 @@ EMPTY_FRAME = "P*M\x18\x00\x00\x00\x00"
 TRAIN_BYTES = 2 << 20
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
+#: Bytes of payload aimed at in one archive, each with its own dictionary.
+ARCHIVE_BYTES = 64 << 20
 DATE = "2000-01-01T00:00:00Z"
 #: Payloads of fewer bytes are never revisits.
 MIN_PAYLOAD = 0
@@ -110,28 +112,33 @@ def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
-def planned(pages: DataFrame) -> DataFrame:
+def planned(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """``page_id, url, html, refers_to`` per row; refers_to is the page whose payload a row repeats.
 
     Of equal payloads (told by SHA-256 and length) of at least MIN_PAYLOAD bytes, the smallest page_id is a response, as
     are rows that repeat it; others revisit it. A null html is an empty payload. Among equal payloads without any page_id
-    all are responses.
+    all are responses. Other columns are ignored. Rows are dealt over partitions of ``archive_bytes`` of payload on
+    average, those of an often repeated payload over all of them.
     """
     rows = pages.selectExpr("cast(page_id AS long) AS page_id", "cast(url AS string) AS url", "coalesce(cast(html AS string), '') AS html")
     rows = rows.withColumn("key", F.sha2("html", 256))
-    again = rows.where(F.octet_length("html") >= MIN_PAYLOAD).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    return rows.join(again, "key", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    seen = materialize(rows.groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n"), F.max(F.octet_length("html")).alias("size")), "warc-payloads")
+    total = seen.agg(F.sum(F.col("n") * F.col("size"))).first()[0] or 0
+    parts = max(-(-total // archive_bytes), int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    again = seen.where((F.col("n") > 1) & (F.col("size") >= MIN_PAYLOAD)).select("key", "first", "n")
+    found = with_lookup(rows, again, "key", "n", outer=True, parts=parts)
+    return found.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
-def write(pages: DataFrame, path: str) -> None:
-    """Write a record per row of ``pages``; every task's rows are one archive."""
+def write(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write a record per row of ``pages``; every task's rows, of bounded size (``planned``), are one archive."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (tuple(c[k].as_py() for c in b.columns) for b in batches for k in range(b.num_rows))
         for frame in frames(record(*row) for row in rows):
             yield pa.RecordBatch.from_arrays([pa.array([frame], pa.binary())], ["frame"])
 
-    planned(pages).mapInArrow(of, "frame binary").selectExpr("cast(frame AS string) AS value").write.option("lineSep", EMPTY_FRAME).text(path)
+    planned(pages, archive_bytes).mapInArrow(of, "frame binary").selectExpr("cast(frame AS string) AS value").write.option("lineSep", EMPTY_FRAME).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

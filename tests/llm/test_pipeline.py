@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import duckdb
@@ -45,7 +46,8 @@ def brute(rows):
     groups = {}
     for r in kept:
         groups.setdefault("".join(c for c in r[1] if c not in " \t\n\v\f\r"), []).append(r)
-    kept = [min(g, key=lambda r: (-len(r[1]), r[0])) for g in groups.values()]
+    whole = lambda r: json.dumps({c: v for c, v in zip(COLUMNS, r) if v is not None}, separators=(",", ":"), ensure_ascii=False)
+    kept = [min(g, key=lambda r: (-len(r[1]), r[0], r[1], whole(r))) for g in groups.values()]
     kept.sort(key=lambda r: r[0])
     roots = simhash_test.brute([simhash_test.plain_fingerprint(r[1]) for r in kept])
     kept = [r for k, r in enumerate(kept) if roots[k] == k]

@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from bandloom.llm import warc
+from bandloom.llm import shared, warc
 
 from .oracle import query_rows, sql_rows
 
@@ -35,3 +36,23 @@ def test_a_changed_payload_is_found(spark, tmp_path):
     (tmp_path / "part").write_bytes(b"".join(p + warc.EMPTY_FRAME.encode() for p in warc.frames(iter([bad]))))
     with pytest.raises(Exception, match="was changed"):
         warc.read(spark, str(tmp_path)).collect()
+
+
+def test_archives_follow_the_size(spark):
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, F.lit("same" * 50)).otherwise(F.repeat(F.col("id").cast("string"), 40)).alias("html"))
+    path = warc.new_path(spark, "warc")
+    warc.write(pages, path, archive_bytes=2000)
+    sizes = [r.length for r in spark.read.format("binaryFile").load(path).where("length > 0").select("length").collect()]
+    assert len(sizes) > 15
+    got = {r.page_id: r for r in warc.read(spark, path).collect()}
+    assert len(got) == 400 and all(r.refers_to == (0 if i % 3 == 0 and i else None) for i, r in got.items())
+
+
+def test_one_payload_on_most_rows_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_ROWS", 50)
+    pages = spark.createDataFrame([(i, None, None, "x") for i in range(500)], "page_id long, url string, html string, refers_to string").repartition(4)
+    used = warc.planned(pages).groupBy(F.spark_partition_id()).count().collect()
+    assert len(used) > 2 and max(r["count"] for r in used) < 350
+    got = warc.round_trip(pages).collect()
+    assert sorted((r.page_id, r.refers_to) for r in got) == [(0, None)] + [(i, 0) for i in range(1, 500)]
+

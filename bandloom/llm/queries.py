@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from bandloom.llm import bpe, exact, language, mixing, pii, secrets, simhash, tokenfile, vectors, warc
 
+#: Key of the surrogates where spark.bandloom.pii.key is unset. It is public, so set that for texts that matter.
+PII_KEY = "change this key for each corpus"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,8 +41,9 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "text", F.size("_kinds").alias("n_entities"), F.array_join("_kinds", ",").alias("kinds"))
+    key = spark.conf.get("spark.bandloom.pii.key", PII_KEY)
+    found = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), key)
+    return found.select("row.doc_id", "row.text", F.size("kinds").alias("n_entities"), F.array_join("kinds", ",").alias("kinds"))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,17 +30,17 @@ def with_lookup(rows: DataFrame, table: DataFrame, key: str, count: str, outer:
     """
     bound = max(HOT_ROWS, -(-(table.agg(F.sum(count)).first()[0] or 0) // HOT_KEYS))
     values = F.struct(*(c for c in table.columns if c != key))
-    hot = table.where(F.col(count) >= bound).select(key, values.alias("hot"))
-    cold = table.where(F.col(count) < bound).select(key, F.lit(0).cast("long").alias("lane"), values.alias("cold"))
+    hot = table.where(F.col(count) >= bound).select(key, values.alias("_hot"))
+    cold = table.where(F.col(count) < bound).select(key, F.lit(0).cast("long").alias("_lane"), values.alias("_cold"))
     marked = rows.join(F.broadcast(hot), key, "left")
     # a hot key's rows take lanes of their own, which spreads them and meets nothing
-    marked = marked.withColumn("lane", F.when(F.col("hot").isNull(), 0).otherwise(F.monotonically_increasing_id() + 1))
+    marked = marked.withColumn("_lane", F.when(F.col("_hot").isNull(), 0).otherwise(F.monotonically_increasing_id() + 1))
     if parts:
-        marked, cold = marked.repartition(parts, key, "lane"), cold.repartition(parts, key, "lane")
-    joined = marked.join(cold, [key, "lane"], "left").withColumn("found", F.coalesce("hot", "cold"))
+        marked, cold = marked.repartition(parts, key, "_lane"), cold.repartition(parts, key, "_lane")
+    joined = marked.join(cold, [key, "_lane"], "left").withColumn("_found", F.coalesce("_hot", "_cold"))
     if not outer:
-        joined = joined.where("found is not null")
-    return joined.select(*rows.columns, "found.*")
+        joined = joined.where("_found is not null")
+    return joined.select(*rows.columns, "_found.*")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

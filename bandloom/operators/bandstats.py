@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandloom.functions.binning import EPS, entropy, equal_width_bin, quantile_bin
@@ -32,6 +32,27 @@ def without_outliers(cells: DataFrame, limit: float = 3.0) -> DataFrame:
     return cells.join(stats, "band").withColumn("v", F.when(far, F.col("mean")).otherwise(F.col("v"))).select(cells.columns)
 
 
+def _means(pixels: DataFrame) -> tuple[Column, Column]:
+    """Means and deviations of the bands, as literal arrays."""
+    stats = moments(pixels.select(F.posexplode("spectrum").alias("band", "v"))).orderBy("band").collect()
+    mean, std = (F.array(*(F.lit(r[c]) for r in stats)) for c in ("mean", "std"))
+    return mean, std
+
+
+def standardized_spectra(pixels: DataFrame) -> DataFrame:
+    """``standardized`` for pixels: each spectrum is changed where it is, without a shuffle of pixels."""
+    mean, std = _means(pixels)
+    scaled = F.transform("spectrum", lambda v, i: (v - F.get(mean, i)) / F.coalesce(F.nullif(F.get(std, i), F.lit(0.0)), F.lit(1.0)))
+    return pixels.withColumn("spectrum", scaled)
+
+
+def spectra_without_outliers(pixels: DataFrame, limit: float = 3.0) -> DataFrame:
+    """``without_outliers`` for pixels: each spectrum is changed where it is, by one row of moments a band on the driver."""
+    mean, std = _means(pixels)
+    near = F.transform("spectrum", lambda v, i: F.when(F.abs(v - F.get(mean, i)) > limit * F.get(std, i), F.get(mean, i)).otherwise(v))
+    return pixels.withColumn("spectrum", near)
+
+
 def histogram(cells: DataFrame, bins: int = 256) -> DataFrame:
     """``band, bin, n, total`` of equal-width bins over each band's range; only bins with a value."""
     stats = moments(cells).select("band", "lo", "hi", F.col("n").alias("total"))

@@ -20,6 +20,8 @@ from bandloom.sources.cubes import band_count
 
 #: Pixels that a kernel sees at a time.
 BATCH = 4096
+#: Pixels whose joint bins a task counts at a time.
+JOINT_ROWS = 1 << 18
 
 
 def pair_domain(spark: SparkSession, bands: int, shape: str, lag: int = 1) -> DataFrame:
@@ -137,17 +139,28 @@ def pairwise(pixels: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], float
 def joint_counts(pixels: DataFrame, bins: Callable[[np.ndarray], np.ndarray], pairs: list[tuple[int, int]] | None = None) -> DataFrame:
     """``i, j, x, y, n``: how many pixels have bin x in band i and bin y in band j; only cells with pixels.
 
-    ``bins`` turns a pixels x bands block into bins. A task counts its own pixels first.
+    ``bins`` turns a pixels x bands block into bins, less than 65536 for each band. A task counts its own pixels first,
+    JOINT_ROWS at a time, so that the shuffle carries a row for each occupied cell of as many pixels.
     """
 
+    def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        b = np.concatenate(held).T.astype(np.uint32, order="C")
+        for i, j in pairs or [(i, j) for i in range(len(b)) for j in range(i + 1, len(b))]:
+            keys, n = np.unique(b[i] << 16 | b[j], return_counts=True)
+            ones = np.ones(len(keys), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(i * ones), pa.array(j * ones), pa.array((keys >> 16).astype(np.int32)), pa.array((keys & 0xFFFF).astype(np.int32)), pa.array(n)], ["i", "j", "x", "y", "n"])
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for batch in batches:
             for block in _spectra(batch):
-                b = bins(block).astype(np.int64)
-                for i, j in pairs or [(i, j) for i in range(b.shape[1]) for j in range(i + 1, b.shape[1])]:
-                    keys, n = np.unique(b[:, i] << 32 | b[:, j], return_counts=True)
-                    ones = np.ones(len(keys), np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(i * ones), pa.array(j * ones), pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], ["i", "j", "x", "y", "n"])
+                held.append(bins(block).astype(np.uint16))
+                rows += len(block)
+                if rows >= JOINT_ROWS:
+                    yield from counted(held)
+                    held, rows = [], 0
+        if held:
+            yield from counted(held)
 
     return pixels.select("spectrum").mapInArrow(of, "i int, j int, x int, y int, n long").groupBy("i", "j", "x", "y").agg(F.sum("n").alias("n"))
 

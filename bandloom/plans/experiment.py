@@ -162,7 +162,7 @@ def _selected(m: dict[str, np.ndarray], method: str, k: int) -> list[int]:
     if subsets is not None:
         return [min(s, key=lambda b: (-score[b], b)) for s in subsets]
     top = sorted(range(len(score)), key=lambda b: (-score[b], b))[:k]
-    return sorted(top) if family == "mvpca" else top
+    return top[::-1] if family == "mvpca" else top  # variances rank upwards
 
 
 def baselines(spark) -> DataFrame:
@@ -175,8 +175,7 @@ def run(pixels: DataFrame, path: str, config: Config = Config()) -> DataFrame:
     catalog = Catalog(pixels, f"{path}/statistics", config)
     chosen = sinks.cached(catalog.spark, f"{path}/selections", lambda: selection_grid(catalog))
     picked = chosen.where("error IS NULL").select("method", "k", "rank", "band")
-    standard = bandstats.standardized(cubes.cells(pixels).select("pixel_id", "label", "band", "v"))
-    spectra = standard.groupBy("pixel_id", "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("band", "v"))), lambda x: x["v"]).alias("spectrum"))
+    spectra = bandstats.standardized_spectra(pixels).select("pixel_id", "label", "spectrum")
     raw = sinks.cached(catalog.spark, f"{path}/raw", lambda: evaluate.svm_evaluation(sinks.temporary(spectra), picked, config.runs, config.test_share, config.seed))
     sinks.write_csv(raw, f"{path}/raw_csv")
     summary = evaluate.evaluation(raw, baselines(catalog.spark), config.runs)

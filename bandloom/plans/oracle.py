@@ -7,8 +7,7 @@ from bandloom.functions.kernels import uniform_sizes
 BANDS = 64
 
 PIXELS = """px AS (
-  SELECT vec_id AS pixel_id, (vec_id // w)::INTEGER AS r, (vec_id % w)::INTEGER AS c, label, embedding
-  FROM embeddings, (SELECT CASE WHEN count(*) <= 500 THEN 25 ELSE 50 END AS w FROM embeddings)
+  SELECT vec_id AS pixel_id, (vec_id // 25)::INTEGER AS r, (vec_id % 25)::INTEGER AS c, label, embedding FROM embeddings
 ), raw AS (
   SELECT pixel_id, r, c, label, unnest(range(len(embedding)))::INTEGER AS band, unnest(embedding)::DOUBLE AS v FROM px
 ), smooth AS (
@@ -47,8 +46,8 @@ def subsets(k: int) -> str:
 
 
 def distance(source: str = "smooth") -> str:
-    return cells(source) + ", up AS (" + pairs("sqrt(sum((a.v - b.v) * (a.v - b.v)))", "cells", "a.band < b.band") + """
-), dist AS (SELECT i, j, value FROM up UNION ALL SELECT j, i, value FROM up UNION ALL SELECT DISTINCT band, band, 0.0::DOUBLE FROM cells)"""
+    return cells(source).replace("cells AS (", "cells AS MATERIALIZED (") + ", up AS MATERIALIZED (" + pairs("sqrt(sum((a.v - b.v) * (a.v - b.v)))", "cells", "a.band < b.band") + """
+), dist AS MATERIALIZED (SELECT i, j, value FROM up UNION ALL SELECT j, i, value FROM up UNION ALL SELECT DISTINCT band, band, 0.0::DOUBLE FROM cells)"""
 
 
 def correlation(source: str = "smooth") -> str:

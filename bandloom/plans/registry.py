@@ -150,7 +150,7 @@ def band_entropy_bits(spark, sf_dir):
     return _rounded(bandstats.entropies(_cells(spark, sf_dir), base2=True))
 
 
-@query(cells() + ", e AS (SELECT band, quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM cells GROUP BY band) SELECT pixel_id, band, len(list_filter(e, lambda x: x < v))::INTEGER AS bin FROM cells JOIN e USING (band)")
+@query(cells() + ", e AS (SELECT band, quantile_cont(v, [x / 1024 FOR x IN range(1, 1024)]) AS e FROM cells GROUP BY band) SELECT pixel_id, band, len(list_filter(e, lambda x: x < v))::INTEGER AS bin FROM cells JOIN e USING (band)")
 def quantile_bins(spark, sf_dir):
     return bandstats.binned(_cells(spark, sf_dir), 10).select("pixel_id", "band", "bin")
 
@@ -242,7 +242,7 @@ def skl_distance(spark, sf_dir):
     return _rounded(pairwise.symmetric_kl(_raw(spark, sf_dir)), digits=7)
 
 
-CONDITIONAL = cells() + """, e AS (SELECT band, quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM cells GROUP BY band),
+CONDITIONAL = cells() + """, e AS (SELECT band, quantile_cont(v, [x / 1024 FOR x IN range(1, 1024)]) AS e FROM cells GROUP BY band),
   b AS (SELECT pixel_id, band, len(list_filter(e, lambda x: x < v)) AS bin FROM cells JOIN e USING (band)), t AS (SELECT count(DISTINCT pixel_id) AS t FROM cells),
   j2 AS (SELECT x.band, x.bin AS a, y.bin AS b, count(*) AS n FROM b x JOIN b y ON x.pixel_id = y.pixel_id AND y.band = x.band + 1 GROUP BY ALL),
   hj AS (SELECT band, -sum(n / t * ln(n / t)) AS h FROM j2, t GROUP BY band), hi AS (SELECT band, -sum(n / t * ln(n / t)) AS h FROM (SELECT band, a, sum(n) AS n FROM j2 GROUP BY 1, 2), t GROUP BY band),
@@ -251,12 +251,12 @@ CONDITIONAL = cells() + """, e AS (SELECT band, quantile_cont(v, [0.1, 0.2, 0.3,
 
 @query(CONDITIONAL + " SELECT band, round(value, 8) AS value FROM ce")
 def adj_cond_entropy(spark, sf_dir):
-    return _rounded(pairwise.adjacent_conditional_entropy(_raw(spark, sf_dir), 10))
+    return _rounded(pairwise.adjacent_conditional_entropy(_raw(spark, sf_dir)))
 
 
 @query(CONDITIONAL + " SELECT round(1 - stddev_pop(value) / avg(value), 8) AS value FROM ce")
 def stationarity(spark, sf_dir):
-    return _rounded(bandstats.stationarity(pairwise.adjacent_conditional_entropy(_raw(spark, sf_dir), 10)))
+    return _rounded(bandstats.stationarity(pairwise.adjacent_conditional_entropy(_raw(spark, sf_dir))))
 
 
 FIT = moments("smooth") + """, o AS (SELECT pixel_id, band, CASE WHEN abs(v - mean) > 3 * std THEN mean ELSE v END AS v FROM cells JOIN stats USING (band)),
@@ -266,9 +266,7 @@ FIT = moments("smooth") + """, o AS (SELECT pixel_id, band, CASE WHEN abs(v - me
 
 
 def _fit(spark, sf_dir):
-    kept = bandstats.without_outliers(cubes.cells(_smooth(spark, sf_dir)).select("pixel_id", "band", "v"))
-    spectra = kept.groupBy("pixel_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("band", "v"))), lambda x: x["v"]).alias("spectrum"))
-    return pairwise.neighbour_fit(_kept(spectra))
+    return pairwise.neighbour_fit(_kept(bandstats.spectra_without_outliers(_smooth(spark, sf_dir))))
 
 
 @query(FIT + " SELECT band, round(value, 7) AS value FROM fit")
@@ -486,7 +484,7 @@ def svm_eval(spark, sf_dir):
     pixels = _kept(_smooth(spark, sf_dir))
     chosen = select.top_bands(bandstats.variances(cubes.cells(pixels)), K).select(F.lit("mvpca").alias("method"), F.lit(K).alias("k"), "rank", "band")
     spread = select.uniform_sample(spark, BANDS, K).select(F.lit("unisam").alias("method"), F.lit(K).alias("k"), "rank", "band")
-    return _rounded(evaluate.svm_evaluation(pixels, chosen.unionByName(spread), runs=3), "test_accuracy")
+    return _rounded(evaluate.svm_evaluation(pixels, chosen.unionByName(spread)), "test_accuracy")
 
 
 # ---- dependence -------------------------------------------------------------------------------------------------------

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of the embeddings table up to which its grid is 25 wide; beyond, 50.
-NARROW = 500
+#: Pixels in a row of the grid that the embeddings table is laid out on.
+WIDTH = 25
 
 
-def from_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def from_vectors(spark: SparkSession, sf_dir: str, width: int = WIDTH) -> DataFrame:
     """The embeddings table as a cube: ids run along the rows of a grid, label 0 is background."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    width = 25 if rows.count() <= NARROW else 50
     return rows.select(
         F.col("vec_id").alias("pixel_id"),
         F.floor(F.col("vec_id") / width).cast("int").alias("row"),

@@ -50,8 +50,13 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, spark.checkpoint.dir; one of this machine only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    """The folder that driver and executors share, spark.checkpoint.dir. Where that is unset, a local session has one of
+    this machine; a cluster's executors would not see such, so there it is an error."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _own_folder()
 
 
 def new_path(spark: SparkSession, tag: str) -> str:

@@ -49,4 +49,4 @@ def test_searches_pick_k_bands(spark, name):
 
 def test_classifier_results(spark):
     rows = registry.QUERIES["svm_eval"](spark, SF).collect()
-    assert len(rows) == 6 and all(0 <= r.test_accuracy <= 1 and r.selected_band_count == registry.K for r in rows)
+    assert len(rows) == 20 and all(0 <= r.test_accuracy <= 1 and r.selected_band_count == registry.K for r in rows)

@@ -37,16 +37,16 @@ def _combine(rows: DataFrame, salts: int) -> DataFrame:
     return salted.groupBy("digest", "norm").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
 
 
-def _keyed(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    rows = nested(docs).withColumn("norm", normalised(F.col("row.text")))
-    doc_id = F.col("row.doc_id").cast("long")
-    length = F.length(F.coalesce(F.col("row.text").cast("string"), F.lit("")))
+def _keyed(docs: DataFrame, digest: Callable[[Column], Column], carry: list[str] | None) -> DataFrame:
+    doc_id = F.col("doc_id").cast("long")
+    length = F.length(F.coalesce(F.col("text").cast("string"), F.lit("")))
     rank = F.struct((-length).alias("shorter"), doc_id.isNull().alias("no_id"), doc_id.alias("doc_id"))
-    return rows.withColumns({"digest": digest(F.col("norm")), "rank": rank})
+    rows = nested(docs, normalised(F.col("text")).alias("norm"), rank.alias("rank"), carry=carry)
+    return rows.withColumn("digest", digest(F.col("norm")))
 
 
-def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha256, salts: int = SALTS) -> DataFrame:
-    """``row`` (a struct of the columns of ``docs``), ``keep_id, group_size, kept, digest`` for every row.
+def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha256, salts: int = SALTS, carry: list[str] | None = None) -> DataFrame:
+    """``row`` (a struct of the columns of ``docs``, or of those in ``carry``), ``keep_id, group_size, kept, digest`` for every row.
 
     Of equal texts the row with the most code points stays, then that with the smallest doc_id (null last). A null text
     is an empty one. Rows that repeat both doc_id and length of the winner all count as kept; ``deduplicated`` leaves
@@ -54,7 +54,7 @@ def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha25
     Whole texts of any length are compared. Other columns, whatever their names, come back in ``row``; an empty table
     gives an empty result. Rows of hot groups aren't gathered by their digest (``with_lookup``).
     """
-    rows = _keyed(docs, digest)
+    rows = _keyed(docs, digest, carry)
     groups = materialize(_combine(rows, salts).drop("norm"), "exact-groups")
     clashes = materialize(groups.groupBy("digest").count().where("count > 1").select("digest"), "exact-clashes")
     clash = not clashes.isEmpty()

@@ -45,8 +45,8 @@ def targets(sizes: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """``row`` (a struct of the columns of ``docs``), ``size, source_size, target, taken, times`` for every row.
+def mix(docs: DataFrame, seed: str = SEED, range_rows: int = RANGE_ROWS, carry: list[str] | None = None) -> DataFrame:
+    """``row`` (a struct of the columns of ``docs``, or of those in ``carry``), ``size, source_size, target, taken, times`` for every row.
 
     The shuffled order is that of ``md5(seed:doc_id:text)``, so reruns agree. A document's copy in pass p finishes at the
     virtual time (p * source size + cumulative source words) / target. Copies are taken in order of that time while
@@ -61,9 +61,9 @@ def mix(docs: DataFrame, seed: str = SEED, range_rows: int = RANGE_ROWS) -> Data
     pass. Only the last copy taken, one row, comes to the driver. Targets need one order over all sources: one task
     sorts a row for each source.
     """
-    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), F.lit(":"), text))
-    rows = nested(docs).withColumns({"source": _key(F.col("row.source")), "order": order, "size": word_count(F.col("row.text"))})
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text))
+    rows = nested(docs, _key(F.col("source")).alias("source"), order.alias("order"), word_count(F.col("text")).alias("size"), carry=carry)
     narrow = materialize(rows.select("source", "order", "size"), "mix-sizes")
     every, budget = narrow.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     digits = max(1, math.ceil(math.log(max(1, every / range_rows), 16)))

@@ -36,7 +36,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exact.exact_duplicates(_table(spark, sf_dir, "documents"))
+    found = exact.exact_duplicates(_table(spark, sf_dir, "documents"), carry=["doc_id"])
     return found.select("row.doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
@@ -56,7 +56,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mix(_table(spark, sf_dir, "documents"))
+    found = mixing.mix(_table(spark, sf_dir, "documents"), carry=["doc_id"])
     return found.select("row.doc_id", "size", "source_size", "target", "taken")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandloom.sources.sinks import new_path, temporary
@@ -17,9 +17,10 @@ HOT_KEYS = 10_000
 HOT_ROWS = 1_000
 
 
-def nested(docs: DataFrame) -> DataFrame:
-    """One column ``row``, a struct of all columns: what operators add beside it cannot clash with them."""
-    return docs.select(F.struct("*").alias("row"))
+def nested(docs: DataFrame, *used: Column, carry: list[str] | None = None) -> DataFrame:
+    """``row``, a struct of the columns of ``docs`` (of those in ``carry``, if given), and the columns used: what
+    operators add beside ``row`` cannot clash with it, and what it doesn't carry isn't moved."""
+    return docs.select(F.struct(*(carry or ["*"])).alias("row"), *used)
 
 
 def with_lookup(rows: DataFrame, table: DataFrame, key: str, count: str, outer: bool = False, parts: int | None = None) -> DataFrame:

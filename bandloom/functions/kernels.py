@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Sweeps of the fine split after which it stops.
-SWEEPS = 20
 EULER_GAMMA = 0.5772156649015329
 
 
@@ -127,22 +125,23 @@ def coarse_cuts(weights: np.ndarray, peaks: list[int]) -> list[int]:
 
 
 def peak_cuts(similarity: np.ndarray, weights: np.ndarray, k: int) -> list[list[int]]:
-    """Parts around the k bands of the best ``peak_scores``: coarse cuts, then sweeps that move each cut between its neighbours."""
+    """Parts around the k bands of the best ``peak_scores``: coarse cuts, then sweeps that move each cut between its neighbours,
+    until the cuts rest or are some that were met before.
+    """
     n = len(similarity)
     check_count(k, 1, n)
     weights = np.abs(weights)
     score = peak_scores(similarity)
     peaks = np.sort(np.argsort(-np.nan_to_num(score, nan=-np.inf), kind="stable")[:k]).tolist()
     cuts = coarse_cuts(weights, peaks)
-    for _ in range(SWEEPS):
-        before = cuts.copy()
+    met = set()
+    while tuple(cuts) not in met:
+        met.add(tuple(cuts))
         for p in range(1, len(cuts) - 2):
             if peaks[p] - peaks[p - 1] > 1:
                 options = range(max(cuts[p - 1] + 2, peaks[p - 1] + 1), min(peaks[p] + 1, cuts[p + 1] - 1))
                 moved = _split_costs(weights, cuts[p - 1], cuts[p + 1], options)
                 cuts[p] = cuts[p] if moved is None else moved
-        if cuts == before:
-            break
     return parts(cuts)
 
 

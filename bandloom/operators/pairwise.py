@@ -108,6 +108,13 @@ def rbf(pairs: DataFrame, sigma: float | None = None) -> DataFrame:
     return pairs.withColumn("value", F.exp(-F.col("value") / (2 * sigma**2)))
 
 
+def restricted(pairs: DataFrame, bands: DataFrame) -> DataFrame:
+    """The pairs of which both bands are among ``bands(band)``: a submatrix. Bands may repeat; an empty table gives no pairs."""
+    for side in ("i", "j"):
+        pairs = pairs.join(bands.select(F.col("band").alias(side)), side, "left_semi")
+    return pairs.select("i", "j", "value")
+
+
 def mirrored(pairs: DataFrame, diagonal: float | None = None) -> DataFrame:
     """Both orders of each pair; with a diagonal value, that for i = j."""
     upper = pairs.where("i < j").select("i", "j", "value")

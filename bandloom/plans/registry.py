@@ -64,8 +64,8 @@ def _kept(df: DataFrame) -> DataFrame:
     return sinks.temporary(df)
 
 
-def _uniform(spark: SparkSession, k: int = K) -> DataFrame:
-    return partition.uniform(spark, BANDS, [k])
+def _uniform(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
+    return partition.uniform(spark, cubes.band_count(_raw(spark, sf_dir)), [k])
 
 
 # ---- scans, filters, projections --------------------------------------------------------------------------------------
@@ -179,6 +179,13 @@ def band_cov(spark, sf_dir):
     return _rounded(pairwise.covariance(_raw(spark, sf_dir)))
 
 
+@query(cells() + f", top AS (SELECT band FROM cells GROUP BY band ORDER BY var_pop(v) DESC, band LIMIT {K}) " + oracle.pairs("round(covar_samp(a.v, b.v), 8)", "cells", "a.band <= b.band AND a.band IN (FROM top) AND b.band IN (FROM top)"))
+def band_submatrix(spark, sf_dir):
+    """The covariance of the bands that vary most."""
+    pixels = _raw(spark, sf_dir)
+    return _rounded(pairwise.restricted(pairwise.covariance(pixels), select.top_bands(bandstats.variances(cubes.cells(pixels)), K)))
+
+
 @query("WITH t AS (SELECT l_quantity::DOUBLE AS a, l_extendedprice::DOUBLE AS b, l_discount::DOUBLE AS c, l_tax::DOUBLE AS d FROM lineitem) " + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(covar_samp({x}, {y}), 2) AS value FROM t" for i, x in enumerate("abcd") for j, y in enumerate("abcd") if i <= j))
 def lineitem_cov(spark, sf_dir):
     return _rounded(pairwise.covariance(_lines(spark, sf_dir)), digits=2)
@@ -284,7 +291,7 @@ def r2_summary(spark, sf_dir):
 
 @query(f"WITH {oracle.subsets(K)} SELECT {K} AS k, subset_id, pos, band FROM subsets")
 def uniform_partition(spark, sf_dir):
-    return partition.uniform(spark, cubes.band_count(_raw(spark, sf_dir)), [K])
+    return _uniform(spark, sf_dir)
 
 
 @query(oracle.distance() + """, c AS (SELECT i, j, sum(value) OVER (PARTITION BY j ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM dist)
@@ -358,7 +365,7 @@ def mvpca(spark, sf_dir):
 
 @query(VARIANCE + f", {oracle.subsets(K)} " + oracle.best(K))
 def mvpca_subset(spark, sf_dir):
-    return _rounded(select.best_of_subsets(bandstats.variances(_cells(spark, sf_dir)), _uniform(spark)))
+    return _rounded(select.best_of_subsets(bandstats.variances(_cells(spark, sf_dir)), _uniform(spark, sf_dir)))
 
 
 def _peaks(spark, sf_dir):
@@ -372,7 +379,7 @@ def eca(spark, sf_dir):
 
 @query(oracle.distance() + f", {oracle.PEAKS}, {oracle.subsets(K)} " + oracle.best(K))
 def eca_subset(spark, sf_dir):
-    return _rounded(select.best_of_subsets(_peaks(spark, sf_dir).select("band", "value"), _uniform(spark)))
+    return _rounded(select.best_of_subsets(_peaks(spark, sf_dir).select("band", "value"), _uniform(spark, sf_dir)))
 
 
 def _similarity(spark, sf_dir):
@@ -386,7 +393,7 @@ def simrank(spark, sf_dir):
 
 @query(oracle.correlation() + f", {oracle.RANKING}, {oracle.subsets(K)} " + oracle.best(K, 7))
 def simrank_subset(spark, sf_dir):
-    return _rounded(select.best_of_subsets(_similarity(spark, sf_dir).select("band", "value"), _uniform(spark)), digits=7)
+    return _rounded(select.best_of_subsets(_similarity(spark, sf_dir).select("band", "value"), _uniform(spark, sf_dir)), digits=7)
 
 
 @query()
@@ -396,7 +403,7 @@ def mcd(spark, sf_dir):
 
 @query()
 def mcd_subset(spark, sf_dir):
-    return select.max_determinant(pairwise.covariance(_dn(spark, sf_dir)), [K], _uniform(spark))
+    return select.max_determinant(pairwise.covariance(_dn(spark, sf_dir)), [K], _uniform(spark, sf_dir))
 
 
 @query()
@@ -406,7 +413,7 @@ def selfrep(spark, sf_dir):
 
 @query()
 def selfrep_subset(spark, sf_dir):
-    return select.self_representation(pairwise.gram(_smooth(spark, sf_dir)), [K], _uniform(spark))
+    return select.self_representation(pairwise.gram(_smooth(spark, sf_dir)), [K], _uniform(spark, sf_dir))
 
 
 @query(f"""WITH n AS (SELECT max(len(embedding))::DOUBLE AS l FROM embeddings) SELECT (r + 1)::INTEGER AS rank,
@@ -417,15 +424,15 @@ def uniform_sample(spark, sf_dir):
 
 @query(f"WITH {oracle.subsets(K)} SELECT {K} AS k, subset_id, band FROM (SELECT *, row_number() OVER (PARTITION BY subset_id ORDER BY md5('42:' || band::VARCHAR), band) AS n FROM subsets) WHERE n = 1")
 def random_subset(spark, sf_dir):
-    return select.random_of_subsets(partition.uniform(spark, cubes.band_count(_raw(spark, sf_dir)), [K]))
+    return select.random_of_subsets(_uniform(spark, sf_dir))
 
 
 @query(VARIANCE + f""", {oracle.subsets(K)}, o AS (SELECT band, row_number() OVER (ORDER BY value DESC, band) AS pos FROM scores),
   f AS (SELECT o.pos, band, subset_id, row_number() OVER (PARTITION BY subset_id ORDER BY o.pos) AS n FROM o JOIN subsets USING (band))
   SELECT pos, band, subset_id FROM f WHERE n = 1 ORDER BY pos LIMIT 6""")
 def first_per_subset(spark, sf_dir):
-    ranking = select.top_bands(bandstats.variances(_cells(spark, sf_dir)), BANDS).select(F.col("rank").cast("long").alias("pos"), "band")
-    return select.first_of_subsets(ranking, _uniform(spark), 6)
+    ranking = select.top_bands(bandstats.variances(_cells(spark, sf_dir)), cubes.band_count(_raw(spark, sf_dir))).select(F.col("rank").cast("long").alias("pos"), "band")
+    return select.first_of_subsets(ranking, _uniform(spark, sf_dir), 6)
 
 
 @query()
@@ -483,7 +490,7 @@ def paired_ttest(spark, sf_dir):
 def svm_eval(spark, sf_dir):
     pixels = _kept(_smooth(spark, sf_dir))
     chosen = select.top_bands(bandstats.variances(cubes.cells(pixels)), K).select(F.lit("mvpca").alias("method"), F.lit(K).alias("k"), "rank", "band")
-    spread = select.uniform_sample(spark, BANDS, K).select(F.lit("unisam").alias("method"), F.lit(K).alias("k"), "rank", "band")
+    spread = select.uniform_sample(spark, cubes.band_count(pixels), K).select(F.lit("unisam").alias("method"), F.lit(K).alias("k"), "rank", "band")
     return _rounded(evaluate.svm_evaluation(pixels, chosen.unionByName(spread)), "test_accuracy")
 
 
@@ -507,12 +514,14 @@ def mic_vs_lag(spark, sf_dir):
 
 @query()
 def nmi(spark, sf_dir):
-    return _rounded(dependence.nmi(_smooth(spark, sf_dir), pairwise.pair_domain(spark, BANDS, "adjacent")))
+    pixels = _smooth(spark, sf_dir)
+    return _rounded(dependence.nmi(pixels, pairwise.pair_domain(spark, cubes.band_count(pixels), "adjacent")))
 
 
 @query()
 def cnmi(spark, sf_dir):
-    return _rounded(dependence.conditional_nmi(_smooth(spark, sf_dir), pairwise.pair_domain(spark, BANDS, "lag", 2)))
+    pixels = _smooth(spark, sf_dir)
+    return _rounded(dependence.conditional_nmi(pixels, pairwise.pair_domain(spark, cubes.band_count(pixels), "lag", 2)))
 
 
 @query()

@@ -9,6 +9,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,10 @@ DATASETS = {
 }
 
 
+#: Bytes of a variable that hold its name and shape.
+HEAD = 4096
+
+
 def _elements(data: bytes) -> Iterator[tuple[int, bytes]]:
     at = 0
     while at + 8 <= len(data):
@@ -43,19 +48,80 @@ def _elements(data: bytes) -> Iterator[tuple[int, bytes]]:
             at += 8 + size + (-size % 8 if kind != COMPRESSED else 0)
 
 
-def variables(data: bytes) -> dict[str, np.ndarray]:
-    """Numeric arrays by name."""
-    out = {}
-    for kind, body in _elements(data[128:]):
-        if kind == COMPRESSED:
-            kind, body = next(_elements(zlib.decompress(body)))
-        if kind != MATRIX:
-            continue
-        (_, _), (_, dims), (_, name), *rest = _elements(body)
-        if rest and rest[0][0] in TYPES:
-            shape = np.frombuffer(dims, "<i4")
-            out[name.decode()] = np.frombuffer(rest[0][1], "<" + TYPES[rest[0][0]]).reshape(shape, order="F")
-    return out
+def _header(head: bytes) -> tuple[str, tuple[int, ...], str, int] | None:
+    """Name, shape, type and the values' place of a variable, from its first bytes; None for what is no numeric array."""
+    if len(head) < 8 or struct.unpack_from("<I", head)[0] != MATRIX:
+        return None
+    body, at = head[8:], 8
+    parts = []
+    for kind, value in _elements(body[: HEAD - 8]):
+        small = struct.unpack_from("<I", head, at)[0] >> 16
+        parts.append((kind, value, at + (4 if small else 8)))
+        at += 8 if small else 8 + len(value) + -len(value) % 8
+        if len(parts) == 4:
+            break
+    if len(parts) < 4 or parts[3][0] not in TYPES:
+        return None
+    (_, dims, _), (_, name, _), (kind, _, start) = parts[1:]
+    return name.decode(), tuple(np.frombuffer(dims, "<i4").tolist()), "<" + TYPES[kind], start
+
+
+def _found(file: BinaryIO, variable: str) -> tuple[tuple[int, ...], str, int, int, bool]:
+    """Shape and type of a variable, the values' place in it, its place in the file and whether it is compressed. Others are skipped unread."""
+    at = 128
+    while True:
+        file.seek(at)
+        tag = file.read(8)
+        if len(tag) < 8:
+            raise ValueError(f"{file.name} has no variable {variable}")
+        kind, size = struct.unpack("<II", tag)
+        packed = kind == COMPRESSED
+        head = zlib.decompressobj().decompress(file.read(min(size, HEAD)), HEAD) if packed else tag + file.read(min(size, HEAD - 8))
+        if (header := _header(head)) and header[0] == variable:
+            return *header[1:], at, packed
+        at += 8 + size + (0 if packed else -size % 8)
+
+
+def rows_of(path: str, variable: str, first: int, last: int) -> np.ndarray:
+    """Rows [first, last) of a variable as rows x columns x bands. Rows are the fastest index of the format, so columns are
+    read one by one and only their wanted rows are kept; a compressed variable is inflated as a stream."""
+    with open(path, "rb") as file:
+        shape, kind, start, at, packed = _found(file, variable)
+        height, width = shape[0], int(np.prod(shape[1:]))
+        item = np.dtype(kind).itemsize
+        first, last = max(first, 0), min(last, height)
+        out = np.empty((max(last - first, 0), width))
+        if packed:
+            file.seek(at + 8)
+            stream = _Inflated(file)
+            stream.take(start)
+        for c in range(width):
+            if packed:
+                values = stream.take(height * item)[first * item : last * item]
+            else:
+                file.seek(at + start + (c * height + first) * item)
+                values = file.read((last - first) * item)
+            out[:, c] = np.frombuffer(values, kind)
+        bands = shape[2] if len(shape) > 2 else 1
+        return out.reshape(len(out), bands, shape[1]).transpose(0, 2, 1)
+
+
+class _Inflated:
+    """Bytes of a compressed file from where it stands, in order."""
+
+    def __init__(self, file: BinaryIO):
+        self.file, self.inflate, self.held = file, zlib.decompressobj(), bytearray()
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n:
+            packed = self.inflate.unconsumed_tail or self.file.read(1 << 16)
+            got = self.inflate.decompress(packed, 1 << 20)
+            if not packed and not got:
+                raise ValueError("the file ends within a variable")
+            self.held += got
+        got = bytes(self.held[:n])
+        del self.held[:n]
+        return got
 
 
 class MatDataSource(DataSource):
@@ -74,19 +140,14 @@ class _Reader(DataSourceReader):
     def __init__(self, path: str, variable: str):
         self.path, self.variable = path.removeprefix("file://"), variable
 
-    def _array(self) -> np.ndarray:
-        with open(self.path, "rb") as file:
-            found = variables(file.read())
-        if self.variable not in found:
-            raise ValueError(f"{self.path} has no variable {self.variable}")
-        array = found[self.variable].astype(np.float64)
-        return array if array.ndim == 3 else array[:, :, None]
-
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(at) for at in range(0, self._array().shape[0], ROWS)]
+        """Ranges of rows, from the variable's header alone."""
+        with open(self.path, "rb") as file:
+            height = _found(file, self.variable)[0][0]
+        return [InputPartition(at) for at in range(0, height, ROWS)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        array = self._array()[partition.value : partition.value + ROWS]
+        array = rows_of(self.path, self.variable, partition.value, partition.value + ROWS)
         height, width, bands = array.shape
         rows = np.repeat(np.arange(partition.value, partition.value + height), width).astype(np.int32)
         cols = np.tile(np.arange(width), height).astype(np.int32)

@@ -107,20 +107,47 @@ def test_results_and_tests(spark):
     assert spark.range(1).select(evaluate.p_value(F.lit(2.3), 9)).first()[0] == pytest.approx(0.0469993889)
 
 
-def _mat(name, array):
+def test_quantile_edges_match_numpy(spark):
+    x = np.concatenate([RNG.integers(0, 5, 3000), RNG.normal(size=997), [7.0] * 2000])
+    rows = [(0, float(v)) for v in x] + [(0, None), (1, 4.0), (2, 1.0), (2, 2.0), (3, None)]
+    cells = spark.createDataFrame(rows, "band int, v double").repartition(5)
+    for bins in (1, 2, 10, 64):
+        got = {r.band: r.edges for r in bandstats.quantile_edges(cells, bins).collect()}
+        at = np.arange(1, bins) / bins
+        assert set(got) == {0, 1, 2}
+        assert got[0] == pytest.approx(np.quantile(x, at)) and got[1] == [4.0] * (bins - 1) and got[2] == pytest.approx(1 + at)
+    assert bandstats.quantile_edges(cells.limit(0), 4).count() == 0
+    assert bandstats.binned(cells, 4).count() == len(rows)
+
+
+def test_submatrix(spark, ties):
+    table, x = ties
+    pairs = pairwise.gram(table)
+    bands = spark.createDataFrame([(1,), (4,), (4,), (9,)], "band int")
+    got = {(r.i, r.j): r.value for r in pairwise.restricted(pairs, bands).collect()}
+    assert got == pytest.approx({(i, j): float(x[:, i] @ x[:, j]) for i, j in ((1, 1), (1, 4), (4, 4))})
+    assert pairwise.restricted(pairs, bands.limit(0)).count() == 0
+
+
+def _mat(name, array, pack=True, more=()):
     def element(kind, body):
         return struct.pack("<II", kind, len(body)) + body + b"\0" * (-len(body) % 8)
 
     flags, dims = element(6, struct.pack("<II", 6, 0)), element(5, np.array(array.shape, "<i4").tobytes())
     body = flags + dims + element(1, name.encode()) + element(4, array.astype("<u2").tobytes(order="F"))
     packed = zlib.compress(element(14, body))
-    return b" " * 124 + struct.pack("<HH", 0x0100, 0x4D49) + struct.pack("<II", 15, len(packed)) + packed
+    own = struct.pack("<II", 15, len(packed)) + packed if pack else element(14, body)
+    return b" " * 124 + struct.pack("<HH", 0x0100, 0x4D49) + b"".join(m[128:] for m in more) + own
 
 
-def test_mat_files(spark, tmp_path):
+@pytest.mark.parametrize("pack", [True, False])
+def test_mat_files(spark, tmp_path, pack):
     cube, labels = RNG.integers(0, 999, (70, 4, 3)), RNG.integers(0, 5, (70, 4))
-    (tmp_path / "cube.mat").write_bytes(_mat("pavia", cube))
-    (tmp_path / "gt.mat").write_bytes(_mat("pavia_gt", labels))
+    others = [_mat("other", RNG.integers(0, 999, (90, 31)), p) for p in (True, False)]
+    (tmp_path / "cube.mat").write_bytes(_mat("pavia", cube, pack, others))
+    (tmp_path / "gt.mat").write_bytes(_mat("pavia_gt", labels, pack))
+    with pytest.raises(ValueError):
+        mat.rows_of(str(tmp_path / "cube.mat"), "absent", 0, 1)
     rows = mat.load(spark, "pavia", str(tmp_path / "cube.mat"), str(tmp_path / "gt.mat")).orderBy("pixel_id").collect()
     assert [r.pixel_id for r in rows] == list(range(280))
     assert np.array([r.spectrum for r in rows]).reshape(70, 4, 3).tolist() == cube.tolist()

@@ -85,7 +85,9 @@ def mix(docs: DataFrame, seed: str = SEED, range_rows: int = RANGE_ROWS, carry:
     running = copies.join(filled, "slot").withColumn("run", F.col("before") + F.sum("size").over(place))
     taken = materialize(running.where(F.col("run") <= budget).select("source", "pass", "order", "size"), "mix-taken")
     last = taken.groupBy("source").agg(*(F.max(F.when(F.col("pass") == p, F.struct("order", "size"))).alias(f"last{p}") for p in range(REPEATS)))
-    found = with_lookup(rows, goal.join(materialize(last, "mix-last"), "source", "left"), "source", "n")
+    # written, so that its real size, a row for each source, tells how it is joined
+    ends = materialize(goal.join(materialize(last, "mix-last"), "source", "left"), "mix-ends")
+    found = with_lookup(rows, ends, "source", "n")
     found = found.withColumn("times", sum((F.when(_upto(p), 1).otherwise(0) for p in range(REPEATS)), F.lit(0)).cast("long"))
     found = found.select("row", "source", "order", "size", "source_size", "target", "times")
     if not (split := _split(narrow, taken, last)).isEmpty():

@@ -27,12 +27,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each component of near-duplicates; of rows that repeat it and its text, one.
 
-    The join is with the ids that go, which are far fewer than those that stay.
+    The join is with the ids that go, which are far fewer than those that stay; they are written on their own, so that
+    their real size tells whether texts have to move for it.
     """
     stays = F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id")))
     ids = materialize(simhash.near_duplicates(docs).groupBy(F.col("doc_id").alias("_id")).agg(stays.alias("_stays"), F.count("*").alias("_n")), "near-ids")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    kept = docs.join(ids.where("NOT _stays").select("_id"), same, "left_anti")
+    gone = materialize(ids.where("NOT _stays").select("_id"), "near-gone")
+    kept = docs.join(gone, same, "left_anti")
     twins = ids.where("_stays AND _n > 1").select("_id")
     if twins.isEmpty():
         return kept

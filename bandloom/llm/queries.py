@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandloom.llm import bpe, exact, language, mixing, pii, secrets, simhash, tokenfile, vectors, warc
+from bandloom.llm import audit, bpe, exact, language, mixing, pii, secrets, simhash, tokenfile, vectors, warc
 
 #: Key of the surrogates where spark.bandloom.pii.key is unset. It is public, so set that for texts that matter.
 PII_KEY = "change this key for each corpus"
@@ -64,6 +64,10 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.search(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -75,4 +79,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_source_mixing": op9_source_mixing,
     "op10_exact_topk": op10_exact_topk,
+    "op11_filter_audit": op11_filter_audit,
 }

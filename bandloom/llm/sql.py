@@ -80,9 +80,45 @@ WITH v AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    coalesce(min(doc_id) OVER (PARTITION BY coalesce(text, '')) < doc_id, false) AS e FROM documents
+), l AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), b AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * e::INT AS bits
+  FROM d LEFT JOIN l USING (doc_id)
+), c AS (
+  SELECT part, bits, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM b GROUP BY part, bits
+), f AS (
+  SELECT i, chr(65 + i) AS letter, 1 << i AS bit FROM (SELECT unnest(range(5))::INT AS i)
+), o AS (
+  SELECT p.letter || q.letter || r.letter || s.letter || t.letter AS filter_order FROM f p, f q, f r, f s, f t
+  WHERE (p.bit | q.bit | r.bit | s.bit | t.bit) = 31
+), k AS (
+  SELECT filter_order, step, (SELECT bit FROM f WHERE letter = substr(filter_order, step, 1)) AS bit,
+    coalesce((SELECT sum(bit) FROM f WHERE contains(substr(filter_order, 1, step - 1), letter)), 0)::INT AS mask
+  FROM o, (SELECT unnest(range(1, 6))::INT AS step)
+), r AS (
+  SELECT part, filter_order, step, bit, sum(CASE WHEN bits & (mask | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN bits & bit > 0 AND bits & mask = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN bits & bit > 0 AND bits & mask > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN bits = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN bits & bit > 0 AND bits & mask = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN bits & bit > 0 AND bits & mask = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM c, k GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley
+FROM r
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_warc_round_trip": OP3,
     "op5_exact_dedup": OP5,
     "op9_source_mixing": OP9,
     "op10_exact_topk": OP10,
+    "op11_filter_audit": OP11,
 }

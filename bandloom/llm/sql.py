@@ -115,10 +115,63 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 FROM r
 """
 
+OP12 = r"""
+WITH RECURSIVE c AS (
+  SELECT *, doc_id::VARCHAR AS d, xor(list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i::INT, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) AS crc
+  FROM documents
+), f AS (
+  SELECT *, coalesce(strlen(d) || ':' || d, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head, CASE WHEN doc_id IS NOT NULL AND crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS now FROM c
+), g AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(now) || ':' || now, '-')) AS now_leaf FROM f
+), v AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n,
+    row_number() OVER () AS id FROM g
+), t AS (
+  SELECT source, 0 AS lv, pos, n, leaf AS h FROM v
+  UNION ALL
+  SELECT source, lv + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY source, lv, pos // 3, n
+), r AS (
+  SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS top FROM t WHERE n = 1
+), u AS (
+  SELECT 0 AS lv, top AS pos, count(*) OVER () AS n, subroot AS h FROM r
+  UNION ALL
+  SELECT lv + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY lv, pos // 3, n
+), s AS (
+  SELECT source, lv, pos, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM t WHERE n > 1 WINDOW w AS (PARTITION BY source, lv, pos // 3 ORDER BY pos)
+), a AS (
+  SELECT lv, pos, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM u WHERE n > 1 WINDOW w AS (PARTITION BY lv, pos // 3 ORDER BY pos)
+), p AS (
+  SELECT id, row_number() OVER (PARTITION BY id ORDER BY lv) AS k, l, r FROM (
+    SELECT v.id, s.lv, s.l, s.r FROM v JOIN s ON v.source IS NOT DISTINCT FROM s.source AND s.pos = v.pos // pow(3, s.lv)::BIGINT
+    UNION ALL
+    SELECT v.id, 1000 + a.lv, a.l, a.r FROM v JOIN r ON v.source IS NOT DISTINCT FROM r.source JOIN a ON a.pos = r.top // pow(3, a.lv)::BIGINT)
+), q AS (
+  SELECT id, 0::BIGINT AS k, now_leaf AS h FROM v
+  UNION ALL
+  SELECT id, p.k, sha256(p.l || q.h || p.r) FROM q JOIN p USING (id) WHERE p.k = q.k + 1
+), z AS (
+  SELECT id, sha256(string_agg(l || r, '' ORDER BY k)) AS proof FROM p GROUP BY id
+), y AS (
+  SELECT id, arg_max(h, k) AS folded_root FROM q GROUP BY id
+), w AS (
+  SELECT v.doc_id, v.leaf, r.subroot, (SELECT h FROM u WHERE n = 1) AS root, coalesce(proof, sha256('')) AS proof_sha256, folded_root
+  FROM v JOIN r ON v.source IS NOT DISTINCT FROM r.source JOIN y USING (id) LEFT JOIN z USING (id)
+)
+SELECT *, folded_root = root AS verified FROM w
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_warc_round_trip": OP3,
     "op5_exact_dedup": OP5,
     "op9_source_mixing": OP9,
     "op10_exact_topk": OP10,
     "op11_filter_audit": OP11,
+    "op12_merkle_manifest": OP12,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandloom.llm import audit, bpe, exact, language, merkle, mixing, pii, secrets, simhash, tokenfile, vectors, warc
+from bandloom.llm import audit, bpe, exact, language, merkle, mixing, neighbours, pii, secrets, simhash, tokenfile, vectors, warc
 
 #: Key of the surrogates where spark.bandloom.pii.key is unset. It is public, so set that for texts that matter.
 PII_KEY = "change this key for each corpus"
@@ -74,6 +74,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"), now)
 
 
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -87,4 +91,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_topk": op10_exact_topk,
     "op11_filter_audit": op11_filter_audit,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_embedding_near_dedup": op13_embedding_near_dedup,
 }

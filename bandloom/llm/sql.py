@@ -167,6 +167,24 @@ WITH RECURSIVE c AS (
 SELECT *, folded_root = root AS verified FROM w
 """
 
+OP13 = r"""
+WITH RECURSIVE e AS (
+  SELECT row_number() OVER () AS i, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+), k AS (
+  SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.i, b.i AS j FROM k a JOIN k b ON a.label = b.label AND a.i <> b.i
+  WHERE list_cosine_similarity(list_resize(a.v, greatest(len(a.v), len(b.v)), 0), list_resize(b.v, greatest(len(a.v), len(b.v)), 0)) >= 0.98
+), r AS (
+  SELECT i, i AS j FROM e UNION SELECT r.i, l.j FROM r JOIN l ON r.j = l.i
+), c AS (
+  SELECT r.i, min(e.vec_id) AS component_id FROM r JOIN e ON r.j = e.i GROUP BY r.i
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM e JOIN c USING (i) LEFT JOIN (SELECT i, count(*) AS n FROM l GROUP BY i) USING (i)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_warc_round_trip": OP3,
     "op5_exact_dedup": OP5,
@@ -174,4 +192,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_exact_topk": OP10,
     "op11_filter_audit": OP11,
     "op12_merkle_manifest": OP12,
+    "op13_embedding_near_dedup": OP13,
 }

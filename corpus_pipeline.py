@@ -1,7 +1,7 @@
 """A corpus pipeline of chained stages over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Nulls,
-empty texts, repeated rows and empty tables are handled as the operators' docstrings say.
+empty texts, repeated rows and empty tables are handled as the operators' docstrings say; columns of any other name come through.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandloom.llm import bpe, exact, language, mixing, simhash
-from bandloom.llm.shared import materialize
+from bandloom.llm.shared import materialize, nested
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,14 +31,16 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     their real size tells whether texts have to move for it.
     """
     stays = F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = materialize(simhash.near_duplicates(docs).groupBy(F.col("doc_id").alias("_id")).agg(stays.alias("_stays"), F.count("*").alias("_n")), "near-ids")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    gone = materialize(ids.where("NOT _stays").select("_id"), "near-gone")
-    kept = docs.join(gone, same, "left_anti")
-    twins = ids.where("_stays AND _n > 1").select("_id")
+    ids = materialize(simhash.near_duplicates(docs).groupBy(F.col("doc_id").alias("id")).agg(stays.alias("stays"), F.count("*").alias("n")), "near-ids")
+    gone = materialize(ids.where("NOT stays").select(F.col("id").alias("other")), "near-gone")
+    same = F.col("id").eqNullSafe(F.col("other"))
+    rows = nested(docs, F.col("doc_id").cast("long").alias("id"))  # as one struct, so that no column's name can clash
+    kept = rows.join(gone, same, "left_anti")
+    twins = ids.where("stays AND n > 1").select(F.col("id").alias("other"))
     if twins.isEmpty():
-        return kept
-    return kept.join(twins, same, "left_anti").unionByName(kept.join(twins, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+        return kept.select("row.*")
+    first = kept.join(twins, same, "left_semi").withColumn("text", F.col("row.text")).dropDuplicates(["id", "text"])
+    return kept.join(twins, same, "left_anti").select("row").unionByName(first.select("row")).select("row.*")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

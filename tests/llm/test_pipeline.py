@@ -6,6 +6,7 @@ import duckdb
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from bandloom.llm import bpe
@@ -87,6 +88,19 @@ def test_stages_keep_the_columns(spark, folder):
         assert stage(spark, docs.limit(0), folder).count() == 0
 
 
+def test_columns_of_any_name_come_through(spark, folder):
+    """Names that the stages and their operators use themselves."""
+    names = "_id id _n n _stays stays other row norm rank digest salt best source_size target times order size range finish pass cum taken fp node root component_id low key lang_pred score shares end slot before run _hot _cold _lane _found words ids".split()
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = docs.select("*", *(F.lit(f"own {c}").alias(c) for c in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+        assert docs.select(*names).distinct().collect() == [tuple(f"own {c}" for c in names)]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == docs.count() > 0
+
+
 def test_clean_documents_stay_in_the_filtering_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id BETWEEN 0 AND 89").dropDuplicates(["doc_id"])
     for _, stage in corpus_pipeline.STAGES[:3]:

@@ -51,17 +51,17 @@ def _read(docs: DataFrame) -> DataFrame:
 def later_copies(docs: DataFrame) -> DataFrame:
     """``doc_id, part, hash`` of every row whose text is identical to that of a row with a smaller doc_id.
 
-    A left-semi join on hash, exact text and smaller doc_id. Only texts whose hash occurs again move. One row stands for
-    all equal texts on the right, that with the smallest doc_id, since a smaller one exists if that is smaller. Hashes of
-    many rows are salted: the left side is dealt over their salts, the right side's one row for a text repeats for each.
+    A left-semi join on hash, exact text and smaller doc_id. One row stands for all equal texts on the right, that with the
+    smallest doc_id, since a smaller one exists if that is smaller. Hashes of many rows are salted: the left side is dealt
+    over their salts, the right side's one row for a text repeats for each. Both sides always move whole texts, whatever
+    their size; a filter by repeated hashes would move less of small tables only.
     """
-    rows = _read(docs)
-    counts = materialize(rows.where("doc_id IS NOT NULL").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "audit-hashes")
-    every = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = _read(docs).where("doc_id IS NOT NULL")
+    counts = materialize(rows.groupBy("hash").agg(F.count("*").alias("n")).where(f"n >= {HOT_ROWS}"), "audit-hashes")
+    every = rows.count()
     bound = max(HOT_ROWS, -(-every // HOT_KEYS))  # at most HOT_KEYS hashes have as many rows
     hot = counts.where(F.col("n") >= bound).select("hash", F.ceil(F.col("n") / bound).cast("int").alias("salts"))
-    again = rows.where("doc_id IS NOT NULL").join(counts.select("hash"), "hash", "left_semi").join(F.broadcast(hot), "hash", "left")
-    again = again.withColumn("salts", F.coalesce("salts", F.lit(1)))
+    again = rows.join(F.broadcast(hot), "hash", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     first = again.groupBy("hash", "salts", "text").agg(F.min("doc_id").alias("first"))
     first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("hash", "salt", "text", "first")
     left = again.withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.col("salts")).cast("int")).alias("d")

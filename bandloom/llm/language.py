@@ -22,6 +22,8 @@ SMOOTHING = 0.5
 LANGUAGES = 64
 #: Characters that are hashed at a time.
 CHUNK = 1 << 18
+#: Documents whose n-grams are held at a time.
+SCORED_ROWS = 128
 UNKNOWN = "und"
 #: Posterior below which the pipeline rejects a document.
 MIN_SCORE = 0.5
@@ -67,8 +69,8 @@ def ngram_table(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1)):
                 if lang.as_py() not in sums and len(sums) == LANGUAGES:
-                    yield from summed(sums)
-                    sums.clear()
+                    least = min(sums, key=lambda k: sums[k][BUCKETS])  # its rows are few, so what leaves follows the input
+                    yield from summed({least: sums.pop(least)})
                 own = sums.setdefault(lang.as_py(), np.zeros(BUCKETS + 1, np.int64))
                 own[BUCKETS] += 1
                 if clean := letters(text.as_py()):
@@ -142,7 +144,7 @@ def _passed(rows: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) ->
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, matrix, prior = model.value
-        for batch in batches:
+        for batch in (b.slice(k, SCORED_ROWS) for b in batches for k in range(0, b.num_rows, SCORED_ROWS)):
             texts = pc.struct_field(batch.column(0), at)
             found = [ngram_counts(c) if (c := letters(_as_text(t.as_py()))) else None for t in texts]
             best, top, every = _scored([f for f in found if f], matrix, prior)

@@ -22,7 +22,7 @@ HALF = 16
 #: Bytes up to which merges look through all pairs; beyond, the pairs wait in a heap.
 PLAIN = 64
 #: Entries of a worker's cache, and chunks after which a full one is reviewed.
-CACHE = 500_000
+CACHE = 250_000
 REVIEW = 4_000_000
 ID_TYPE = "<u4"
 #: More than any rank.

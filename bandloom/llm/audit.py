@@ -53,20 +53,27 @@ def later_copies(docs: DataFrame) -> DataFrame:
 
     A left-semi join on hash, exact text and smaller doc_id. One row stands for all equal texts on the right, that with the
     smallest doc_id, since a smaller one exists if that is smaller. Hashes of many rows are salted: the left side is dealt
-    over their salts, the right side's one row for a text repeats for each. Both sides always move whole texts, whatever
-    their size; a filter by repeated hashes would move less of small tables only.
+    over their salts, the right side's one row for a text repeats for each; the others need no second exchange of texts.
+    Both sides always move whole texts; a filter by repeated hashes would move less of small tables only.
     """
     rows = _read(docs).where("doc_id IS NOT NULL")
-    counts = materialize(rows.groupBy("hash").agg(F.count("*").alias("n")).where(f"n >= {HOT_ROWS}"), "audit-hashes")
-    every = rows.count()
-    bound = max(HOT_ROWS, -(-every // HOT_KEYS))  # at most HOT_KEYS hashes have as many rows
-    hot = counts.where(F.col("n") >= bound).select("hash", F.ceil(F.col("n") / bound).cast("int").alias("salts"))
-    again = rows.join(F.broadcast(hot), "hash", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    first = again.groupBy("hash", "salts", "text").agg(F.min("doc_id").alias("first"))
-    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("hash", "salt", "text", "first")
-    left = again.withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.col("salts")).cast("int")).alias("d")
-    same = [F.col(f"d.{c}") == F.col(f"e.{c}") for c in ("hash", "salt", "text")]
-    return left.join(first.alias("e"), [*same, F.col("e.first") < F.col("d.doc_id")], "left_semi").select("doc_id", "part", "hash")
+    bound = max(HOT_ROWS, -(-rows.count() // HOT_KEYS))  # at most HOT_KEYS hashes have as many rows
+    counts = rows.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= bound)
+    hot = materialize(counts.select("hash", F.ceil(F.col("n") / bound).cast("int").alias("salts")), "audit-hot")
+    few = rows.join(F.broadcast(hot), "hash", "left_anti")
+    found = _with_smaller(few, few.groupBy("hash", "text").agg(F.min("doc_id").alias("first")), ["hash", "text"])
+    if hot.isEmpty():
+        return found
+    many = rows.join(F.broadcast(hot), "hash")
+    first = many.groupBy("hash", "salts", "text").agg(F.min("doc_id").alias("first"))
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    salted = many.withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.col("salts")).cast("int"))
+    return found.unionByName(_with_smaller(salted, first, ["hash", "salt", "text"]))
+
+
+def _with_smaller(rows: DataFrame, first: DataFrame, same: list[str]) -> DataFrame:
+    on = [F.col(f"d.{c}") == F.col(f"e.{c}") for c in same]
+    return rows.alias("d").join(first.alias("e"), [*on, F.col("e.first") < F.col("d.doc_id")], "left_semi").select("doc_id", "part", "hash")
 
 
 def combinations(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandloom.functions.binning import EPS, entropy, equal_width_bin, quantile_bin
-from bandloom.sources.sinks import temporary
+from bandloom.operators.quantiles import quantile_edges
 
 
 def variances(cells: DataFrame) -> DataFrame:
@@ -74,38 +74,6 @@ def probabilities(cells: DataFrame, bins: int = 256) -> DataFrame:
     return every.join(found.select("band", "bin", "n"), ["band", "bin"], "left").select("band", "bin", p.alias("p"))
 
 
-def quantile_edges(cells: DataFrame, bins: int) -> DataFrame:
-    """``band, edges``: the inner percentiles, linearly interpolated; exact. Nulls take no part.
-
-    No task holds a band: different values with their counts are dealt in ranges of (band, value), counts of the ranges give
-    each range its first rank, and a value finds the percentiles that its ranks touch by arithmetic.
-    """
-    counted = cells.where("v IS NOT NULL").groupBy("band", "v").agg(F.count("*").alias("n"))
-    ranged = temporary(counted.repartitionByRange("band", "v").withColumn("part", F.spark_partition_id()), "ranges")
-    parts = ranged.groupBy("band", "part").agg(F.sum("n").alias("size"))
-    band = Window.partitionBy("band")
-    before = F.sum("size").over(band.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    parts = parts.select("band", "part", before.alias("before"), F.sum("size").over(band).alias("total"))
-    upto = F.sum("n").over(Window.partitionBy("band", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ranks = ranged.withColumn("upto", upto).join(parts, ["band", "part"])
-    ranks = ranks.select("band", "v", "total", (F.col("before") + F.col("upto") - F.col("n")).alias("first"), (F.col("before") + F.col("upto") - 1).alias("last"))
-    step = F.greatest(F.col("total") - 1, F.lit(1)) / bins
-    low = F.greatest(F.floor((F.col("first") - 1) / step), F.lit(1))
-    high = F.least(F.ceil((F.col("last") + 1) / step), F.lit(bins - 1))
-    single = F.col("total") == 1
-    near = F.sequence(F.when(single, 1).otherwise(low).cast("int"), F.when(single, bins - 1).otherwise(high).cast("int"), F.lit(1))
-    touched = ranks.where(single | (low <= high)).select("*", F.explode(near).alias("at")) if bins > 1 else ranks.withColumn("at", F.lit(1))
-    place = (F.col("total") - 1) * (F.col("at") / bins)
-    lower, upper = (F.when(r.between(F.col("first"), F.col("last")), F.col("v")) for r in (F.floor(place), F.ceil(place)))
-    touched = touched.select("band", "at", lower.alias("a"), upper.alias("b"), (place - F.floor(place)).alias("share"))
-    if bins > 1:
-        touched = touched.where("a IS NOT NULL OR b IS NOT NULL")
-    found = touched.groupBy("band", "at").agg(F.max("a").alias("a"), F.max("b").alias("b"), F.max("share").alias("share"))
-    edge = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") * (1 - F.col("share")) + F.col("b") * F.col("share"))
-    listed = F.sort_array(F.collect_list(F.when(F.col("at") < bins, F.struct("at", edge.alias("edge")))))
-    return found.groupBy("band").agg(F.transform(listed, lambda x: x["edge"]).alias("edges"))
-
-
 def binned(cells: DataFrame, bins: int, method: str = "quantile") -> DataFrame:
     """Cells with ``bin`` by quantiles or by equal width; another method is an error."""
     if method == "quantile":

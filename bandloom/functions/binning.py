@@ -24,15 +24,3 @@ def entropy(n: Column, total: Column, base2: bool = False) -> Column:
     """Aggregate: entropy of cells with counts n of a total; cells without a count add nothing."""
     p = n.cast("double") / total
     return -F.sum(p * (F.log2(p) if base2 else F.log(p)))
-
-
-def padded_term(n: Column, total: Column, cells: int) -> Column:
-    """p log2 p of a cell of n among ``cells`` cells, to each of which EPS was added."""
-    p = (n.cast("double") / total + F.lit(EPS)) / F.lit(1 + cells * EPS)
-    return p * F.log2(p)
-
-
-def padded_empty(cells: int) -> Column:
-    """p log2 p of a cell without a count."""
-    p = F.lit(EPS / (1 + cells * EPS))
-    return p * F.log2(p)

@@ -6,6 +6,7 @@ shuffled is one bands x bands triangle for each task, whatever the number of pix
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,14 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandloom.functions.binning import EPS, padded_empty, padded_term
-from bandloom.operators import bandstats
+from bandloom.functions.binning import EPS
+from bandloom.operators import bandstats, pairblocks
 from bandloom.sources.cubes import band_count
 
 #: Pixels that a kernel sees at a time.
 BATCH = 4096
-#: Pixels whose joint bins a task counts at a time.
-JOINT_ROWS = 1 << 18
 
 
 def pair_domain(spark: SparkSession, bands: int, shape: str, lag: int = 1) -> DataFrame:
@@ -126,7 +125,21 @@ def mirrored(pairs: DataFrame, diagonal: float | None = None) -> DataFrame:
 
 
 def pairwise(pixels: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], float], single: bool = True) -> DataFrame:
-    """``i, j, value`` (i < j) of any additive function of two bands' values in a batch, summed over the batches.
+    """``i, j, value`` (i < j) of any function of two whole bands; ``additive_pairwise`` is cheaper for sums over pixels.
+
+    With ``single`` values are rounded to 32 bits, as distance matrices are kept. No pixel gives no pair.
+    """
+    bands = band_count(pixels)
+    found = pairblocks.whole_values(pixels, _upper(bands), kernel)
+    return found.withColumn("value", F.col("value").cast("float").cast("double")) if single else found
+
+
+def _upper(bands: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(bands) for j in range(i + 1, bands)]
+
+
+def additive_pairwise(pixels: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], float], single: bool = True) -> DataFrame:
+    """``i, j, value`` (i < j) of an additive function of two bands' values in a batch, summed over the batches.
 
     With ``single`` values are rounded to 32 bits, as distance matrices are kept.
     """
@@ -143,35 +156,6 @@ def pairwise(pixels: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], float
     return pair_sums(pixels, matrix).where("i < j").select("i", "j", value.alias("value"))
 
 
-def joint_counts(pixels: DataFrame, bins: Callable[[np.ndarray], np.ndarray], pairs: list[tuple[int, int]] | None = None) -> DataFrame:
-    """``i, j, x, y, n``: how many pixels have bin x in band i and bin y in band j; only cells with pixels.
-
-    ``bins`` turns a pixels x bands block into bins, less than 65536 for each band. A task counts its own pixels first,
-    JOINT_ROWS at a time, so that the shuffle carries a row for each occupied cell of as many pixels.
-    """
-
-    def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        b = np.concatenate(held).T.astype(np.uint32, order="C")
-        for i, j in pairs or [(i, j) for i in range(len(b)) for j in range(i + 1, len(b))]:
-            keys, n = np.unique(b[i] << 16 | b[j], return_counts=True)
-            ones = np.ones(len(keys), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(i * ones), pa.array(j * ones), pa.array((keys >> 16).astype(np.int32)), pa.array((keys & 0xFFFF).astype(np.int32)), pa.array(n)], ["i", "j", "x", "y", "n"])
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for batch in batches:
-            for block in _spectra(batch):
-                held.append(bins(block).astype(np.uint16))
-                rows += len(block)
-                if rows >= JOINT_ROWS:
-                    yield from counted(held)
-                    held, rows = [], 0
-        if held:
-            yield from counted(held)
-
-    return pixels.select("spectrum").mapInArrow(of, "i int, j int, x int, y int, n long").groupBy("i", "j", "x", "y").agg(F.sum("n").alias("n"))
-
-
 def _ranges(pixels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rows = pixels.select(F.posexplode("spectrum").alias("band", "v")).groupBy("band").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("band").collect()
     return np.array([r.lo for r in rows]), np.array([r.hi for r in rows])
@@ -185,21 +169,19 @@ def _equal_bins(lo: np.ndarray, hi: np.ndarray, bins: int) -> Callable[[np.ndarr
 def information_distance(pixels: DataFrame, bins: int = 256) -> DataFrame:
     """``i, j, value``: (1 - sqrt(2 MI / (H1 + H2)))^2 in bits, each histogram cell raised by EPS.
 
-    Cells without pixels enter in closed form, so the joint histogram stays sparse.
+    Marginal counts are sums of the joint ones.
     """
     lo, hi = _ranges(pixels)
-    counts = joint_counts(pixels, _equal_bins(lo, hi, bins))
-    total = pixels.count()
 
-    def entropy(n: Column, cells: int) -> Column:
-        return -(F.sum(padded_term(n, F.lit(float(total)), cells)) + (cells - F.count("*")) * padded_empty(cells))
+    def entropy(n: np.ndarray) -> float:
+        p = (n / n.sum() + EPS) / (1 + n.size * EPS)
+        return float(-(p * np.log2(p)).sum())
 
-    joint = counts.groupBy("i", "j").agg(entropy(F.col("n"), bins * bins).alias("hij"))
-    cells = pixels.select(F.posexplode("spectrum").alias("band", "v"))
-    own = bandstats.histogram(cells, bins).groupBy("band").agg(entropy(F.col("n"), bins).alias("h"))
-    joined = joint.join(own.select(F.col("band").alias("i"), F.col("h").alias("hi")), "i").join(own.select(F.col("band").alias("j"), F.col("h").alias("hj")), "j")
-    share = 2 * (F.col("hi") + F.col("hj") - F.col("hij")) / (F.col("hi") + F.col("hj") + EPS)
-    return joined.select("i", "j", F.pow(1 - F.sqrt(F.greatest(share, F.lit(0.0))), 2).alias("value"))
+    def distance(n: np.ndarray) -> float:
+        hi_, hj, hij = entropy(n.sum(axis=1)), entropy(n.sum(axis=0)), entropy(n)
+        return (1 - math.sqrt(max(2 * (hi_ + hj - hij) / (hi_ + hj + EPS), 0.0))) ** 2
+
+    return pairblocks.joint_values(pixels, _equal_bins(lo, hi, bins), bins, _upper(len(lo)), distance)
 
 
 def symmetric_kl(pixels: DataFrame, bins: int = 256) -> DataFrame:
@@ -242,12 +224,17 @@ def adjacent_conditional_entropy(pixels: DataFrame, bins: int = 1024, method: st
         raise ValueError(f"unknown bin method {method!r}")
     if not bands:
         raise ValueError("no pixels")
-    counts = joint_counts(pixels, of, [(k, k + 1) for k in range(bands - 1)])
-    total = float(pixels.count())
-    plogp = lambda n: F.sum(n / total * F.log(n / total))
-    joint = counts.groupBy("i").agg((-plogp(F.col("n"))).alias("hij"))
-    own = counts.groupBy("i", "x").agg(F.sum("n").alias("n")).groupBy("i").agg((-plogp(F.col("n"))).alias("hi"))
-    return joint.join(own, "i").select(F.col("i").alias("band"), (F.col("hij") - F.col("hi")).alias("value"))
+
+    def conditional(n: np.ndarray) -> float:
+        return _entropy(n) - _entropy(n.sum(axis=1))
+
+    found = pairblocks.joint_values(pixels, of, bins, [(k, k + 1) for k in range(bands - 1)], conditional)
+    return found.select(F.col("i").alias("band"), "value")
+
+
+def _entropy(n: np.ndarray) -> float:
+    p = n[n > 0] / n.sum()
+    return float(-(p * np.log(p)).sum())
 
 
 def neighbour_fit(pixels: DataFrame, adjusted: bool = False) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -208,7 +209,12 @@ def band_rbf(spark, sf_dir):
 
 @query(cells() + " " + oracle.pairs("round(sum(abs(a.v - b.v))::FLOAT::DOUBLE, 4)", "cells", "a.band < b.band"))
 def pairwise_function(spark, sf_dir):
-    return _rounded(pairwise.pairwise(_raw(spark, sf_dir), lambda x, y: abs(x - y).sum()), digits=4)
+    return _rounded(pairwise.additive_pairwise(_raw(spark, sf_dir), lambda x, y: abs(x - y).sum()), digits=4)
+
+
+@query(cells() + " " + oracle.pairs("round(median(abs(a.v - b.v))::FLOAT::DOUBLE, 7)", "cells", "a.band < b.band"))
+def pairwise_median(spark, sf_dir):
+    return _rounded(pairwise.pairwise(_raw(spark, sf_dir), lambda x, y: np.median(abs(x - y))), digits=7)
 
 
 @query(oracle.ssim3() + " SELECT i, j, round(value, 7) AS value FROM up")

@@ -16,9 +16,12 @@ Each literal is a span of the text, without quotes. A name stands for what was a
 
 from __future__ import annotations
 
+import functools
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 TOKEN = re.compile(
     r"""
@@ -37,8 +40,16 @@ COMMENT, STRING, DEFINE, REF, NAME, OP, LINE, OTHER = range(1, 9)
 ASSIGN = {"=", ":", "=>", ":=", "+="}
 JOIN = {"+", "..", ".", "&"}
 EITHER = {"or", "||", "??", "?", ":", "if", "else", "and", "&&"}
-#: Characters of a joined value that are kept for scoring; its spans have no bound.
-SCORED = 4096
+#: Characters of a value that are held; longer ones are scored by a summary of the whole.
+SHORT = 4096
+#: Characters at the ends of a part that a summary keeps, to see what stands across a join.
+EDGE = 128
+PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: Words of a sentence or a prompt, which passphrases do without, and the marks after them.
+PROSE = set("a an and are be by can do enter for forgot from has have here if in is it must not of on or please should that the this to was will with you your".split())
+MARKS = ".,:;!?"
+_GAP = re.compile(r"\s+")
+_INNER = re.compile(r"(?<=\s)\S{1,16}(?=\s)")
 
 _QUOTES = re.compile(r"""[rbfuRBFU]{0,2}("{3}|'{3}|["'`])""")
 _BARE = re.compile(r"""[ \t]*([^\s"'`,;#(){}\[\]<>=&]{8,})(?=[\s,;#&)}\]]|\Z)(?![ \t]*=)""")
@@ -50,12 +61,21 @@ _NAMED = re.compile(r"[\w$.\- /]+\Z")
 
 
 class Value:
-    """What a target gets: a joined value, as far as it is scored, and the literals or other values that it is made of."""
+    """What a target gets: a joined value and the literals or other values that it is made of.
 
-    __slots__ = ("parts", "reported", "score", "text")
+    ``text`` is held up to SHORT characters; beyond, ``summary`` (``Summary``) says what scoring needs of the whole. Values
+    are shared wherever they are read, and never copied.
+    """
 
-    def __init__(self, text: str, parts: list):
-        self.text, self.parts, self.reported, self.score = text, parts, False, None
+    __slots__ = ("parts", "reported", "score", "size", "source", "summed", "text", "tried")
+
+    def __init__(self, source: str, parts: list, size: int, text: str | None):
+        self.source, self.parts, self.size, self.text = source, parts, size, text
+        self.reported, self.tried, self.score, self.summed = False, 0.0, None, None
+
+    @property
+    def first(self) -> Value:
+        return self
 
     def spans(self) -> Iterator[tuple[int, int]]:
         """The literals, each only the first time that it is asked for."""
@@ -68,14 +88,75 @@ class Value:
                 part.reported = True
                 ahead += part.parts
 
+    def summary(self) -> Summary:
+        """Of the whole value, from those of its parts, each made once."""
+        ahead = [self]
+        while ahead:
+            value = ahead[-1]
+            missing = [p for p in value.parts if isinstance(p, Value) and p.summed is None]
+            if value.summed is None and not missing:
+                found = [Summary.of(value.source[p[0] : p[1]]) if isinstance(p, tuple) else p.summed for p in value.parts]
+                value.summed = functools.reduce(Summary.joined, found)
+            if value.summed is not None:
+                ahead.pop()
+            ahead += missing
+        return self.summed
+
+
+class Either:
+    """Several values of one name, in order."""
+
+    __slots__ = ("first", "options", "tried")
+
+    def __init__(self, options: list):
+        self.options, self.first, self.tried = options, options[0].first, 0.0
+
+
+class Summary(NamedTuple):
+    """Of a text of any length: what scoring needs. Summaries of parts join to that of the whole.
+
+    A private key's header may stand across a join with EDGE characters at most on either side.
+    """
 
-def assignments(text: str) -> Iterator[tuple[str, Value]]:
-    """(target name, value) in the order of the text; time and memory are linear in it."""
+    size: int
+    counts: Counter
+    key_block: bool
+    gaps: int
+    inner: frozenset
+    head: str
+    tail: str
+
+    @classmethod
+    def of(cls, text: str) -> Summary:
+        return cls(len(text), Counter(text), bool(PEM.search(text)), len(_GAP.findall(text)), _inner(text), text[:EDGE], text[-EDGE:])
+
+    def joined(self, other: Summary) -> Summary:
+        seam = self.tail + other.head
+        gaps = self.gaps + other.gaps - bool(self.tail[-1:].isspace() and other.head[:1].isspace())
+        head = (self.head + other.head)[:EDGE] if self.size < EDGE else self.head
+        tail = (self.tail + other.tail)[-EDGE:] if other.size < EDGE else other.tail
+        return Summary(self.size + other.size, self.counts + other.counts, self.key_block or other.key_block or bool(PEM.search(seam)), gaps, self.inner | other.inner | _inner(seam), head, tail)
+
+    def words(self) -> tuple[int, set[str]]:
+        """How many words there are, and those among PROSE."""
+        ends = {w.strip(MARKS).lower() for w in (self.head.split()[:1] + self.tail.split()[-1:])}
+        outside = self.head[:1].isspace() + (self.tail[-1:].isspace() and self.size > 0)
+        return max(0, self.gaps + 1 - outside) if self.size else 0, set(self.inner | ends & PROSE)
+
+
+def _inner(text: str) -> frozenset:
+    """Words of PROSE between white space: those at the ends may go on elsewhere."""
+    return frozenset(w for m in _INNER.finditer(text) if (w := m.group().strip(MARKS).lower()) in PROSE)
+
+
+def assignments(text: str) -> Iterator[tuple[str, Value | Either]]:
+    """(target name, value) in the order of the text; time and memory are linear in it: what a name stands for is one node,
+    to which its readers refer."""
     yield from _Parser(text).run()
     for m in _ELEMENT.finditer(text):
         if text.startswith(f"{m.group(1)}>", m.end()) and (value := m.group(2).strip()):
             start = m.start(2) + m.group(2).index(value)
-            yield m.group(1), Value(value[:SCORED], [(start, start + len(value))])
+            yield m.group(1), _leaf(text, start, start + len(value))
 
 
 class _Parser:
@@ -95,7 +176,7 @@ class _Parser:
                 ahead.append(i)
             elif kind == OP and text[self.starts[i]] in ")]}" and ahead:
                 self.closing[ahead.pop()] = i
-        self.known: dict[str, list[Value]] = {}
+        self.known: dict[str, Value | Either | None] = {}
 
     def word(self, i: int) -> str:
         return self.text[self.starts[i] : self.ends[i]] if 0 <= i < len(self.kinds) else ""
@@ -158,10 +239,11 @@ class _Parser:
             pairs = [(targets[-1], [v for item in (items if items[1:] and self.word(i + 1) in ("(", "[") else items[:1]) for v in item])]
         for name, values in pairs:
             plain = name.lstrip("$")
-            if op == "+=" and plain in self.known and values:
-                values = [_sum([self.known[plain], values[:1]])]
+            if op == "+=" and values and (held := self.known.get(plain)):
+                values = [_sum([[held], values[:1]])]
             if values or op != ":":  # else a type follows, and what it had stays
-                self.known[plain] = self.known[plain.rpartition(".")[2]] = values
+                node = Either(values) if len(values) > 1 else values[0] if values else None
+                self.known[plain] = self.known[plain.rpartition(".")[2]] = node
             for value in values:
                 yield name, value
 
@@ -182,7 +264,7 @@ class _Parser:
             word = "" if kind == STRING else self.word(i)
             if kind == STRING:
                 start, end = self.inside(i)
-                operands.append([Value(self.text[start : min(end, start + SCORED)], [(start, end)])])
+                operands.append([_leaf(self.text, start, end)])
                 joined = False
             elif kind in (NAME, REF) and word not in EITHER:
                 if not (joined or open_):
@@ -191,7 +273,7 @@ class _Parser:
                 if self.word(i + 1) == "(" and self.kind(i + 1) == OP:
                     i = self.closing.get(i + 1, len(self.kinds))
                 elif held := self.known.get(name):
-                    operands.append(held)
+                    operands.append([held])
                 elif i == first and (bare := self.bare(i, op)):
                     return [[bare]]
                 joined = False
@@ -233,9 +315,9 @@ class _Parser:
         line = self.text.rfind("\n", 0, self.starts[max(i - 2, 0)]) + 1 if self.kind(i - 3) == LINE else -1
         if line >= 0 or i == 2:
             if m := _REST.match(self.text, at):
-                return Value(m.group(1)[:SCORED], [m.span(1)])
+                return _leaf(self.text, *m.span(1))
         m = _BARE.match(self.text, at)
-        return Value(m.group(1)[:SCORED], [m.span(1)]) if m else None
+        return _leaf(self.text, *m.span(1)) if m else None
 
     def block(self, i: int) -> Value | None:
         """The lines of a block literal: those below that are indented further than the line of their key."""
@@ -254,7 +336,7 @@ class _Parser:
         start = m.end()
         while start < end and self.text[start] in " \t\n":
             start += 1
-        return Value(self.text[start : min(end, start + SCORED)], [(start, end)]) if start < end else None
+        return _leaf(self.text, start, end) if start < end else None
 
     def inside(self, i: int) -> tuple[int, int]:
         """Where the content of a string, or a name, starts and ends."""
@@ -265,12 +347,12 @@ class _Parser:
         return mark.end(), end - len(mark.group(1))
 
 
-def _sum(operands: list[list[Value]]) -> Value:
+def _leaf(text: str, start: int, end: int) -> Value:
+    return Value(text, [(start, end)], end - start, text[start:end] if end - start <= SHORT else None)
+
+
+def _sum(operands: list[list[Value | Either]]) -> Value:
     """Operands joined; of alternatives the first one."""
-    parts, texts, size = [v[0] for v in operands], [], 0
-    for part in parts:
-        if size >= SCORED:
-            break
-        texts.append(part.text[: SCORED - size])
-        size += len(texts[-1])
-    return Value("".join(texts), parts)
+    parts = [v[0].first for v in operands]
+    size = sum(p.size for p in parts)
+    return Value(parts[0].source, parts, size, "".join(p.text for p in parts) if size <= SHORT else None)

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from bandloom.llm.lexer import assignments
+from bandloom.llm.lexer import MARKS, PEM, PROSE, Either, Summary, assignments
 
 KINDS = ("assign", "access", "hex", "lexed")
 
@@ -37,9 +37,6 @@ PLACEHOLDERS = re.compile(
     rf"(?i)^(?:(?:[a-z]+[-_. :/]+)*{_FILLER}(?:[-_. :/]+[a-z]+\d*)*[-_. :/!]*|(?:none|null|true|false|undefined|required|optional|string|password)|(.)\1*"
     r"|\$[a-z_]+\d*|(?:\$\{[^{}]*\}[-_./:@]*)+|<.*>|\{\{.*|%\(\w+\)[a-z]|%[a-z_]\w*%|\*+|x{4,})$"
 )
-PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-#: Words of a sentence or a prompt, which passphrases do without.
-PROSE = set("a an and are be by can do enter for forgot from has have here if in is it must not of on or please should that the this to was will with you your".split())
 MIN_LENGTH = 8
 #: Name sensitivity times literal strength from which a literal is reported.
 THRESHOLD = 0.5
@@ -81,11 +78,25 @@ def literal_score(value: str) -> float:
         return 1.0
     if len(value) < MIN_LENGTH or PLACEHOLDERS.match(value):
         return 0.0
-    if len(words := re.sub(r"\\[nrt]", " ", value).split()) > 1:
-        if PROSE & {w.lower().strip(".,:;!?") for w in words} or len(words) < 3 and not any(c.isdigit() for c in value):
-            return 0.0
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    classes = sum(any(test(c) for c in value) for test in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    words = re.sub(r"\\[nrt]", " ", value).split()
+    return _richness(len(words), {w.lower().strip(MARKS) for w in words} & PROSE, Counter(value))
+
+
+def long_score(value: Summary) -> float:
+    """``literal_score`` of a value of any length, from a summary of it. Of the placeholders, those in brackets remain."""
+    if value.key_block:
+        return 1.0
+    if value.head.startswith("<") and value.tail.endswith(">") or value.head.startswith("{{"):
+        return 0.0
+    return _richness(*value.words(), value.counts)
+
+
+def _richness(words: int, prose: set[str], counts: Counter) -> float:
+    if words > 1 and (prose or words < 3 and not any(c.isdigit() for c in counts)):
+        return 0.0
+    size = sum(counts.values())
+    entropy = -sum(n / size * math.log2(n / size) for n in counts.values())
+    classes = sum(any(map(test, counts)) for test in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
     return min(1.0, entropy / 4 + 0.1 * (classes - 1))
 
 
@@ -93,17 +104,27 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
     """(start, end) of the literals that reach a sensitive name by the assignments of the text (``lexer``).
 
     Joined literals and constants count as what they make together, carried along by any number of steps; later
-    assignments replace earlier ones. Values over SCORED characters are scored by that many; their spans are whole.
+    assignments replace earlier ones. A value is scored whole, however long it is, and once.
     """
     found: set[tuple[int, int]] = set()
     low = text.lower()
     if any(hint in low for hint in HINTS):
-        for name, value in assignments(text):
-            if not value.reported and (score := name_score(name)):
-                if value.score is None:
-                    value.score = literal_score(value.text)
-                if score * value.score >= THRESHOLD:
-                    found.update(value.spans())
+        for name, node in assignments(text):
+            if not (score := name_score(name)):
+                continue
+            ahead = [node]
+            while ahead:
+                value = ahead.pop()
+                if value.tried >= score:  # as sensitive a name has asked for all of it before
+                    continue
+                value.tried = score
+                if isinstance(value, Either):
+                    ahead += value.options
+                elif not value.reported:
+                    if value.score is None:
+                        value.score = literal_score(value.text) if value.text is not None else long_score(value.summary())
+                    if score * value.score >= THRESHOLD:
+                        found.update(value.spans())
     return sorted(found)
 
 

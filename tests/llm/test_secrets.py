@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import random
 import re
@@ -5,7 +6,7 @@ import time
 
 import pytest
 
-from bandloom.llm import secrets
+from bandloom.llm import lexer, secrets
 
 
 def plain(text):
@@ -90,6 +91,46 @@ def test_any_number_of_parts():
 KEY = "zX81hhQp02Lw"
 
 
+@pytest.mark.parametrize("step", ["a = a or a", "a = [a, a]", "a = a ? a : a", "a = (a, a, a)"])
+def test_alternatives_are_shared(step):
+    text = f"a = '{KEY}' or '{KEY}2'\n" + f"{step}\n" * 10_000 + "secret = a\npassword = a"
+    began = time.process_time()
+    assert literals(text) == [KEY, KEY + "2"]
+    assert time.process_time() - began < 6
+
+
+def test_carried_lists_take_linear_time():
+    def took(n):
+        lines = [f"a0 = [{', '.join(f'{chr(34)}zX81hhQp{i:05}{chr(34)}' for i in range(n))}]", *(f"a{i + 1} = a{i}\nsecret{i} = a{i}" for i in range(n))]
+        began = time.process_time()
+        assert len(secrets.lexed_spans("\n".join(lines))) == n
+        return time.process_time() - began
+
+    took(500)
+    assert took(4_000) < 4 * took(2_000) + 0.5
+
+
+@pytest.mark.parametrize("before", [0, 250, 4_090, 25_000])
+def test_long_values_are_scored_whole(before):
+    prose = "some words of the text " * (before // 23) + "x" * (before % 23)
+    block = f"{prose}-----BEGIN PRIVATE KEY-----\nMIIEvQIBADANBg\n"
+    assert literals(f'private_key = """{block}"""') == [block]
+    half = len(prose) + 12  # the header across two literals
+    assert literals(f'k = """{block[:half]}"""\nprivate_key = k + """{block[half:]}"""') == [block[:half], block[half:]]
+    assert literals(f'secret = """{prose}{"of words " * 1_000}"""') == []
+    assert bool(literals(f'secret = "{"q7Kz" * 3_000}"'))
+
+
+def test_summaries_join():
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "of ", "the", " ", "\n", "zQ9", "-----BEGIN PRIVATE KEY-----", "Pass!", "in. "]) for _ in range(rng.randrange(1, 60)))
+        cuts = sorted(rng.randrange(len(text) + 1) for _ in range(rng.randrange(6)))
+        parts = [lexer.Summary.of(text[i:j]) for i, j in zip([0, *cuts], [*cuts, len(text)])]
+        joined, whole = functools.reduce(lexer.Summary.joined, parts), lexer.Summary.of(text)
+        assert joined == whole and whole.words() == (len(text.split()), {w.strip(lexer.MARKS).lower() for w in text.split()} & lexer.PROSE)
+
+
 @pytest.mark.parametrize(
     "text, want",
     [

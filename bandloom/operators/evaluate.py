@@ -14,8 +14,11 @@ from bandloom.sources.cubes import foreground
 from bandloom.sources.sinks import temporary
 
 COST = 1.0
-ITERATIONS = 30
+#: Evaluations of a model at most, each a Newton step or a shorter one; what is not done by then is told.
+EVALUATIONS = 200
 TOLERANCE = 1e-6
+#: Share of the decrease that a gradient promises which a step must reach.
+DECREASE = 1e-4
 #: Numbers that come to the driver in one step.
 MAX_NUMBERS = 400_000
 
@@ -39,13 +42,14 @@ def accuracy(predictions: DataFrame, *keys: str) -> DataFrame:
 
 
 def svm_evaluation(pixels: DataFrame, selections: DataFrame, runs: int = 10, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """``run_id, method, n_selected_bands, test_accuracy, selected_band_count, selected_band_idx``.
+    """``run_id, method, n_selected_bands, test_accuracy, selected_band_count, selected_band_idx, message``.
 
     One linear classifier against the rest for each class, with squared hinge loss, cost COST and a regularized bias, for
     each run and each (method, k) of ``selections(method, k, rank, band)``. Background pixels take no part. Newton steps
     solve all models together: each task adds gradients and Hessians of its pixels, sums of (bands + 1)^2 numbers for each
     model come to the driver, and no pixel does. Models are few and of fixed size; selections that name no band of the
-    cube are left out.
+    cube are left out. A line search makes every step lower the loss. A run of a selection with a model that has values that
+    are not finite, or has not converged, gets no accuracy but a message; the others aren't touched by it.
     """
     spark = pixels.sparkSession
     rows = selections.orderBy("method", "k", "rank").toPandas()
@@ -61,8 +65,8 @@ def svm_evaluation(pixels: DataFrame, selections: DataFrame, runs: int = 10, sha
     found = []
     for part in _batches(chosen, runs * len(signs)):
         hits = _fitted(data, part, classes, signs, runs, spark)
-        found += [(r, m, len(b), hits[r, s], len(b), b) for r in range(runs) for s, (m, k, b) in enumerate(part) if (r, s) in hits]
-    return spark.createDataFrame(found, "run_id int, method string, n_selected_bands int, test_accuracy double, selected_band_count int, selected_band_idx array<int>")
+        found += [(r, m, len(b), hits[r, s][0], len(b), b, hits[r, s][1]) for r in range(runs) for s, (m, k, b) in enumerate(part) if (r, s) in hits]
+    return spark.createDataFrame(found, "run_id int, method string, n_selected_bands int, test_accuracy double, selected_band_count int, selected_band_idx array<int>, message string")
 
 
 def _batches(chosen: list, models: int) -> Iterator[list]:
@@ -79,19 +83,58 @@ def _batches(chosen: list, models: int) -> Iterator[list]:
         yield part
 
 
+class _Model:
+    """A classifier on its way: Newton steps with a line search, which shortens a step until the loss falls enough."""
+
+    def __init__(self, size: int):
+        self.w, self.loss, self.step, self.slope, self.share = np.zeros(size), math.inf, np.zeros(size), 0.0, 1.0
+        self.asked = self.w
+        self.done, self.message, self.rounds = False, None, 0
+
+    def told(self, loss: float, gradient: np.ndarray, hessian: np.ndarray) -> None:
+        """Loss, gradient and Hessian at ``asked``."""
+        self.rounds += 1
+        if not (math.isfinite(loss) and np.isfinite(gradient).all() and np.isfinite(hessian).all()):
+            if not math.isfinite(self.loss):
+                return self.ended("its values are not finite")
+            loss = math.inf
+        if loss <= self.loss - DECREASE * self.share * self.slope or self.share * np.abs(self.step).max() < TOLERANCE and loss <= self.loss:
+            self.w, self.loss = self.asked, loss
+            try:
+                self.step = np.linalg.solve(hessian, gradient)
+            except np.linalg.LinAlgError:
+                return self.ended("its Hessian is singular")
+            self.slope, self.share = float(gradient @ self.step), 1.0
+            if np.abs(self.step).max() < TOLERANCE:
+                return self.ended(None)
+        else:
+            self.share /= 2
+            if self.share * np.abs(self.step).max() < TOLERANCE * 1e-3:
+                return self.ended(None)  # no shorter step changes the weights
+        if self.rounds >= EVALUATIONS:
+            return self.ended(f"not converged after {EVALUATIONS} evaluations")
+        self.asked = self.w - self.share * self.step
+
+    def ended(self, message: str | None) -> None:
+        self.done, self.message = True, message
+
+
 def _fitted(data: DataFrame, chosen: list, classes: list, signs: list, runs: int, spark) -> dict:
-    """Share of right predictions by (run, selection)."""
-    models = {(r, s, c): np.zeros(len(chosen[s][2]) + 1) for r in range(runs) for s in range(len(chosen)) for c in range(len(signs))}
-    active = set(models)
-    for _ in range(ITERATIONS):
-        if not active:
-            break
-        for key, (gradient, hessian) in _derivatives(data, models, active, chosen, signs, spark).items():
-            step = np.linalg.solve(hessian, gradient)
-            models[key] = models[key] - step
-            if np.abs(step).max() < TOLERANCE:
-                active.discard(key)
-    return _hits(data, models, chosen, classes, signs, runs, spark)
+    """(Share of right predictions or null, message) by (run, selection)."""
+    models = {(r, s, c): _Model(len(chosen[s][2]) + 1) for r in range(runs) for s in range(len(chosen)) for c in range(len(signs))}
+    while active := {k for k, m in models.items() if not m.done}:
+        found = _derivatives(data, {k: models[k].asked for k in active}, chosen, signs, spark)
+        for key in active:
+            if key in found:
+                models[key].told(*found[key])
+            else:
+                models[key].ended("no pixel to learn from")
+    failed = {}
+    for (r, s, c), m in models.items():
+        if m.message:
+            failed.setdefault((r, s), f"class {signs[c]}: {m.message}")
+    hits = _hits(data, {k: m.w for k, m in models.items()}, chosen, classes, signs, runs, spark)
+    return {key: (None, failed[key]) if key in failed else (hit, None) for key, hit in hits.items()}
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -102,8 +145,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             yield x, np.asarray(b.column(1)), tests.astype(bool)
 
 
-def _derivatives(data: DataFrame, models: dict, active: set, chosen: list, signs: list, spark) -> dict:
-    held = spark.sparkContext.broadcast({k: models[k] for k in active})
+def _derivatives(data: DataFrame, models: dict, chosen: list, signs: list, spark) -> dict:
+    held = spark.sparkContext.broadcast(models)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
@@ -114,10 +157,10 @@ def _derivatives(data: DataFrame, models: dict, active: set, chosen: list, signs
                     if of_s != s:
                         continue
                     t = np.where(y == signs[c], 1.0, -1.0)
-                    near = ~tests[:, r] & (t * (z @ w) < 1)
+                    near = ~tests[:, r] & ~(t * (z @ w) >= 1)  # with what is no number, so that it shows
                     zi, ti = z[near], t[near]
                     miss = zi @ w - ti
-                    part = np.concatenate((2 * COST * (zi.T @ miss), (2 * COST * (zi.T @ zi)).ravel()))
+                    part = np.concatenate(([COST * (miss @ miss)], 2 * COST * (zi.T @ miss), (2 * COST * (zi.T @ zi)).ravel()))
                     sums[r, s, c] = part if (r, s, c) not in sums else sums[r, s, c] + part
         for (r, s, c), v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([r] * len(v), pa.int32()), pa.array([s] * len(v), pa.int32()), pa.array([c] * len(v), pa.int32()), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], ["r", "s", "c", "k", "v"])
@@ -127,7 +170,8 @@ def _derivatives(data: DataFrame, models: dict, active: set, chosen: list, signs
     for key, g in table.groupby(["r", "s", "c"]):
         w, v = models[key], g.v.to_numpy()
         d = len(w)
-        out[key] = (v[:d] + w, v[d:].reshape(d, d) + np.eye(d))
+        out[key] = (v[0] + w @ w / 2, v[1 : d + 1] + w, v[d + 1 :].reshape(d, d) + np.eye(d))
+    held.destroy()
     return out
 
 
@@ -145,7 +189,9 @@ def _hits(data: DataFrame, models: dict, chosen: list, classes: list, signs: lis
                     yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([s], pa.int32()), pa.array([int(good[tests[:, r]].sum())]), pa.array([int(tests[:, r].sum())])], ["r", "s", "hit", "n"])
 
     table = data.mapInArrow(of, "r int, s int, hit long, n long").groupBy("r", "s").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n")).where("n > 0")
-    return {(row.r, row.s): row.hit / row.n for row in table.collect()}
+    found = {(row.r, row.s): row.hit / row.n for row in table.collect()}
+    held.destroy()
+    return found
 
 
 def summarized(raw: DataFrame) -> DataFrame:
@@ -156,13 +202,17 @@ def summarized(raw: DataFrame) -> DataFrame:
 
 
 def p_value(t, df: int):
-    """Two-sided p of a t statistic with an odd number of degrees of freedom, in closed form."""
+    """Two-sided p of a t statistic with any whole number of degrees of freedom, in closed form: a finite series in the
+    cosine of atan(t / sqrt(df)), one for odd and one for even df."""
+    if df < 1:
+        raise ValueError("a t test needs a degree of freedom")
     angle = F.atan(F.abs(t) / math.sqrt(df))
-    term, series = F.cos(angle), F.cos(angle)
-    for k in range(2, df - 2, 2):
-        term = term * F.cos(angle) * F.cos(angle) * (k / (k + 1))
-        series = series + term
-    return 1 - (2 / math.pi) * (angle + (F.sin(angle) * series if df > 1 else 0))
+    square, series = F.cos(angle) * F.cos(angle), F.lit(1.0)
+    for k in range(df - 2, 1, -2):  # from the last term inwards
+        series = 1 + series * square * ((k - 1) / k)
+    if df % 2 == 0:
+        return 1 - F.sin(angle) * series
+    return 1 - (2 / math.pi) * (angle + (F.sin(angle) * F.cos(angle) * series if df > 1 else 0))
 
 
 def paired_tests(raw: DataFrame, baselines: DataFrame, runs: int = 10) -> DataFrame:
@@ -176,7 +226,7 @@ def paired_tests(raw: DataFrame, baselines: DataFrame, runs: int = 10) -> DataFr
     d = F.col("test_accuracy") - F.col("base")
     stats = pairs.groupBy("method", "n_selected_bands").agg(F.avg(d).alias("mean"), F.stddev_samp(d).alias("std"), F.count("*").alias("n"))
     t = F.col("mean") / (F.col("std") / math.sqrt(runs))
-    p = F.when((F.col("n") == runs) & (F.col("std") > 1e-12), p_value(t, runs - 1))
+    p = F.when((F.col("n") == runs) & (F.col("std") > 1e-12), p_value(t, runs - 1)) if runs > 1 else F.lit(None).cast("double")
     marked = stats.select("method", "n_selected_bands", p.alias("p_value_vs_baseline"))
     every = raw.select("method", "n_selected_bands").distinct().join(marked, ["method", "n_selected_bands"], "left")
     return every.withColumn("significance_mark", mark(F.col("p_value_vs_baseline")))
@@ -187,7 +237,8 @@ def mark(p):
 
 
 def evaluation(raw: DataFrame, baselines: DataFrame, runs: int = 10) -> DataFrame:
-    """The summary with the paired tests, by method and number of bands. No result is an error."""
+    """The summary with the paired tests, by method and number of bands. Failed rows take no part; no result is an error."""
+    raw = raw.where("test_accuracy IS NOT NULL")
     if raw.isEmpty():
         raise ValueError("no results to evaluate")
     return summarized(raw).join(paired_tests(raw, baselines, runs), ["method", "n_selected_bands"]).orderBy("method", "n_selected_bands")

@@ -13,9 +13,8 @@ from bandloom.llm.shared import materialize, with_lookup
 
 #: Children of a node.
 RUN = 3
-#: Levels of a superblock, which a task reduces at once, and its nodes.
+#: Levels of a superblock, which a task reduces at once: 729 nodes.
 LEVELS = 6
-BLOCK = RUN**LEVELS
 NODES = "tree string, pos long, size long, digest string"
 #: ``path`` holds the siblings to the left and to the right of each level in turn.
 PATHS = "tree string, pos long, path array<string>, root string"
@@ -48,11 +47,11 @@ def ranked(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     return placed.withColumn("pos", F.col("before") + F.col("place")).drop("range", "place", "before")
 
 
-def _levels(nodes: list[str], size: int) -> list[list[str]]:
+def _levels(nodes: list[str], size: int, deep: int) -> list[list[str]]:
     """The levels of a superblock of a tree of ``size`` nodes from its nodes up to its root. In a tree of several
     superblocks each has all levels, in which a lone node is hashed too."""
     levels = [nodes]
-    while len(levels) <= LEVELS and (size > BLOCK or len(levels[-1]) > 1):
+    while len(levels) <= deep and (size > RUN**deep or len(levels[-1]) > 1):
         last = levels[-1]
         levels.append([digest("".join(last[k : k + RUN])) for k in range(0, len(last), RUN)])
     return levels
@@ -67,51 +66,51 @@ def _siblings(levels: list[list[str]], at: int) -> list[str]:
     return path
 
 
-def _reduced(rows: pd.DataFrame) -> pd.DataFrame:
+def _reduced(rows: pd.DataFrame, deep: int) -> pd.DataFrame:
     """The root of a superblock."""
     rows = rows.sort_values("pos")
     size = int(rows["size"].iloc[0])
-    return pd.DataFrame({"tree": [rows.tree.iloc[0]], "pos": [int(rows.pos.iloc[0]) // BLOCK], "size": [-(-size // BLOCK)], "digest": [_levels(rows.digest.tolist(), size)[-1][0]]})
+    return pd.DataFrame({"tree": [rows.tree.iloc[0]], "pos": [int(rows.pos.iloc[0]) // RUN**deep], "size": [-(-size // RUN**deep)], "digest": [_levels(rows.digest.tolist(), size, deep)[-1][0]]})
 
 
-def _block() -> list[Column]:
-    return [F.col("tree"), F.floor(F.col("pos") / BLOCK).alias("block")]
+def _block(deep: int) -> list[Column]:
+    return [F.col("tree"), F.floor(F.col("pos") / RUN**deep).alias("block")]
 
 
-def _finished(rows: pd.DataFrame, outer: pd.DataFrame) -> Iterator[tuple[int, list[str], object]]:
+def _finished(rows: pd.DataFrame, outer: pd.DataFrame, deep: int) -> Iterator[tuple[int, list[str], object]]:
     """Of each node of a superblock its row, and its path through the superblock and on to the root; with the outer row."""
     if len(outer) != 1:
         raise ValueError(f"a superblock needs one row of outer nodes, not {len(outer)}")
     rest = outer.iloc[0]
     rows.sort_values("pos", inplace=True, ignore_index=True)
-    levels = _levels(rows.digest.tolist(), int(rows["size"].iloc[0]))
+    levels = _levels(rows.digest.tolist(), int(rows["size"].iloc[0]), deep)
     for k in range(len(rows)):
         yield k, _siblings(levels, k) + list(rest.path), rest
 
 
-def _inner_paths(rows: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
-    found = [(rows.tree[k], rows.pos[k], path, rest.root) for k, path, rest in _finished(rows, outer)]
+def _inner_paths(rows: pd.DataFrame, outer: pd.DataFrame, deep: int) -> pd.DataFrame:
+    found = [(rows.tree[k], rows.pos[k], path, rest.root) for k, path, rest in _finished(rows, outer, deep)]
     return pd.DataFrame(found, columns=["tree", "pos", "path", "root"])
 
 
-def _roots(nodes: DataFrame) -> DataFrame:
-    return materialize(nodes.groupBy(*_block()).applyInPandas(lambda rows: _reduced(rows), NODES), "superblocks")
+def _roots(nodes: DataFrame, deep: int) -> DataFrame:
+    return materialize(nodes.groupBy(*_block(deep)).applyInPandas(lambda rows: _reduced(rows, deep), NODES), "superblocks")
 
 
-def _outer(blocks: DataFrame) -> DataFrame:
+def _outer(blocks: DataFrame, deep: int) -> DataFrame:
     """PATHS of the roots of superblocks: their way up to the root of their tree."""
     above = blocks.where("size > 1")
     single = blocks.where("size = 1").select("tree", "pos", F.array().cast("array<string>").alias("path"), F.col("digest").alias("root"))
     if above.isEmpty():
         return single
-    outer = _outer(_roots(above))
-    found = above.groupBy(*_block()).cogroup(outer.groupBy("tree", F.col("pos").alias("block"))).applyInPandas(lambda rows, rest: _inner_paths(rows, rest), PATHS)
+    outer = _outer(_roots(above, deep), deep)
+    found = above.groupBy(*_block(deep)).cogroup(outer.groupBy("tree", F.col("pos").alias("block"))).applyInPandas(lambda rows, rest: _inner_paths(rows, rest, deep), PATHS)
     return materialize(single.unionByName(found), "outer-nodes")
 
 
-def _folded(rows: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
+def _folded(rows: pd.DataFrame, outer: pd.DataFrame, deep: int) -> pd.DataFrame:
     found = []
-    for k, path, rest in _finished(rows, outer):
+    for k, path, rest in _finished(rows, outer, deep):
         now = rows.now[k]
         for i in range(0, len(path), 2):
             now = digest(path[i] + now + path[i + 1])
@@ -119,7 +118,7 @@ def _folded(rows: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]).astype({"doc_id": "Int64"})
 
 
-def manifest(docs: DataFrame, text_now: Column | None = None) -> DataFrame:
+def manifest(docs: DataFrame, text_now: Column | None = None, deep: int = LEVELS) -> DataFrame:
     """``doc_id, leaf, subroot, root, proof_sha256, folded_root, verified`` of every row of documents.
 
     Per source, leaves ascend by doc_id; every RUN consecutive nodes (the last ones: fewer, even one) become one while
@@ -127,9 +126,9 @@ def manifest(docs: DataFrame, text_now: Column | None = None) -> DataFrame:
     in the same way. ``proof_sha256`` is the digest of a leaf's siblings level by level, and ``folded_root`` what they
     give with the leaf of ``text_now`` (the text itself, if not given): the root, unless the text has changed.
 
-    Leaves and the outer nodes that their superblock needs are cogrouped by superblock (BLOCK leaves), and one call finishes
+    Leaves and the outer nodes that their superblock needs are cogrouped by superblock (RUN^deep leaves), and one call finishes
     its local reduction, joins the proofs and folds them. Outer nodes come from the same reduction of the superblocks'
-    roots, which shrink BLOCK times in each round, so no task gets a whole tree, source or list of sources.
+    roots, which shrink as many times in each round, so no task gets a whole tree, source or list of sources.
 
     A null source is one of its own, other than the empty string. Null doc_ids come first; rows that repeat a doc_id go by
     leaf, and equal rows are leaves of their own in any order, which gives the same result. Texts of any length are hashed
@@ -141,13 +140,13 @@ def manifest(docs: DataFrame, text_now: Column | None = None) -> DataFrame:
     rows = docs.select(tree.alias("tree"), F.col("doc_id").cast("long").alias("doc_id"), leaf(F.col("text")).alias("digest"), changed.alias("now"), F.monotonically_increasing_id().alias("tie"))
     # equal rows differ by tie, so that they too are dealt over ranges
     leaves = materialize(ranked(materialize(rows, "leaves"), "tree", ["doc_id", "digest", "tie"]).drop("tie"), "leaves")
-    blocks = materialize(_outer(_roots(leaves.select("tree", "pos", "size", "digest"))), "outer-nodes")
+    blocks = materialize(_outer(_roots(leaves.select("tree", "pos", "size", "digest"), deep), deep), "outer-nodes")
     trees = blocks.groupBy("tree").agg(F.first("root").alias("subroot"), F.count("*").alias("n"))
     tops = materialize(ranked(trees.withColumn("top", F.lit("")), "top", ["tree"]), "subroots")
     nodes = tops.select(F.col("top").alias("tree"), "pos", "size", F.col("subroot").alias("digest"))
-    above = nodes.groupBy(*_block()).cogroup(_outer(_roots(nodes)).groupBy("tree", F.col("pos").alias("block"))).applyInPandas(lambda r, rest: _inner_paths(r, rest), PATHS)
+    above = nodes.groupBy(*_block(deep)).cogroup(_outer(_roots(nodes, deep), deep).groupBy("tree", F.col("pos").alias("block"))).applyInPandas(lambda r, rest: _inner_paths(r, rest, deep), PATHS)
     tops = tops.join(above.select("pos", F.col("path").alias("top_path"), F.col("root").alias("top_root")), "pos").select("tree", "subroot", "n", "top_path", "top_root")
     outer = with_lookup(blocks, materialize(tops, "subroots"), "tree", "n")
     outer = outer.select("tree", F.col("pos").alias("block"), F.concat("path", "top_path").alias("path"), "subroot", F.col("top_root").alias("root"))
     schema = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
-    return leaves.groupBy(*_block()).cogroup(outer.groupBy("tree", "block")).applyInPandas(lambda r, rest: _folded(r, rest), schema)
+    return leaves.groupBy(*_block(deep)).cogroup(outer.groupBy("tree", "block")).applyInPandas(lambda r, rest: _folded(r, rest, deep), schema)

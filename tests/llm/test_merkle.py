@@ -63,25 +63,27 @@ def brute(rows):
     return sorted(out, key=repr)
 
 
-@pytest.fixture(params=[6, 1])
-def small_superblocks(request, monkeypatch):
-    """Superblocks of 729 leaves, and of 3, which make outer trees of several rounds."""
-    monkeypatch.setattr(merkle, "LEVELS", request.param)
-    monkeypatch.setattr(merkle, "BLOCK", 3**request.param)
-
-
-def test_levels_of_superblocks(small_superblocks):
+@pytest.mark.parametrize("deep", [6, 2, 1])
+def test_levels_of_superblocks(deep):
     for n in (1, 2, 3, 4, 7, 9, 10, 28, 800):
-        nodes = [sha(str(k)) for k in range(n)]
-        size, level = n, nodes
+        size, level = n, [sha(str(k)) for k in range(n)]
+        nodes = level
         while True:  # superblock by superblock, until one node is left
-            level = [merkle._levels(level[k : k + merkle.BLOCK], size)[-1][0] for k in range(0, size, merkle.BLOCK)]
+            level = [merkle._levels(level[k : k + 3**deep], size, deep)[-1][0] for k in range(0, size, 3**deep)]
             size = len(level)
             if size == 1:
                 break
         assert level[0] == climb(nodes)[0]
 
 
+@pytest.mark.parametrize("deep", [1, 2])
+def test_outer_nodes_in_several_rounds(spark, deep):
+    """Small superblocks, so that sources and the tree of their roots take several rounds of outer nodes."""
+    got = sorted(map(tuple, merkle.manifest(spark.createDataFrame(documents(), DOCS), deep=deep).collect()), key=repr)
+    want = sorted([(*r[:5], r[3], True) for r in brute(documents())], key=repr)
+    assert got == want
+
+
 def test_against_brute_force_and_sql(spark, tmp_path):
     docs = spark.createDataFrame(documents(), DOCS).repartition(4)
     got = query_rows("op12_merkle_manifest", spark, tmp_path, documents=docs)

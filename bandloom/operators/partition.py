@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandloom.functions import kernels
+from bandloom.operators import cuts
 from bandloom.operators.pairwise import matrix_of
 
 SCHEMA = "k int, subset_id int, pos int, band int"
@@ -37,12 +38,12 @@ def _for_each(pairs: DataFrame, ks: list[int], diagonal: float | None, cut: Call
 
 def ocf(pairs: DataFrame, ks: list[int], diagonal: float | None = 1.0) -> DataFrame:
     """Optimal contiguous parts by association within over association to all; the diagonal counts as given."""
-    return _for_each(pairs, ks, diagonal, kernels.best_cuts)
+    return cuts.best_cuts(pairs, ks, diagonal)
 
 
 def asps(pairs: DataFrame, ks: list[int]) -> DataFrame:
     """Equal parts with adapted cuts, from distances."""
-    return _for_each(pairs, ks, 0.0, kernels.adaptive_cuts)
+    return cuts.adapted_cuts(pairs, ks)
 
 
 def gpc(similarity: DataFrame, weights: DataFrame, ks: list[int]) -> DataFrame:
@@ -58,15 +59,7 @@ def gpc(similarity: DataFrame, weights: DataFrame, ks: list[int]) -> DataFrame:
 
 def coarse_cuts(similarity: DataFrame, weights: DataFrame, k: int) -> DataFrame:
     """``pos, cut``: the first cuts between the k best peaks, from which ``gpc`` starts; 0 and the number of bands around them."""
-    both = similarity.select("i", "j", "value", F.lit(0).alias("which")).unionByName(weights.select("i", "j", "value", F.lit(1).alias("which")))
-
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        score = kernels.peak_scores(matrix_of(rows[rows.which == 0], 1.0))
-        peaks = sorted(sorted(range(len(score)), key=lambda b: (-score[b], b))[:k])
-        cuts = kernels.coarse_cuts(np.abs(matrix_of(rows[rows.which == 1])), peaks)
-        return pd.DataFrame({"pos": range(len(cuts)), "cut": cuts}).astype("int32")
-
-    return both.groupBy().applyInPandas(of, "pos int, cut int")
+    return cuts.peak_gap_cuts(similarity, weights, k)
 
 
 def walumi(pairs: DataFrame, ks: list[int]) -> DataFrame:

@@ -5,12 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bandloom.functions import kernels
-from bandloom.operators import bandstats, dependence, evaluate, pairwise, partition, select, spatial
+from bandloom.operators import bandstats, cuts, dependence, evaluate, pairwise, partition, select, spatial
 from bandloom.plans import experiment, oracle
 from bandloom.plans.oracle import BANDS, bin_of, cells, moments
 from bandloom.sources import cubes, sinks
@@ -321,13 +319,7 @@ def asps_k5(spark, sf_dir):
 
 @query(oracle.mssim() + ", sim AS (SELECT i, j, value FROM up UNION ALL SELECT j, i, value FROM up UNION ALL SELECT DISTINCT band, band, 1.0::DOUBLE FROM cells), " + oracle.PEAK_SCORES + " SELECT band, round(value, 6) AS value FROM scores")
 def gpc_score(spark, sf_dir):
-    sim = spatial.mssim(_dn(spark, sf_dir))
-
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        score = kernels.peak_scores(pairwise.matrix_of(rows, 1.0))
-        return pd.DataFrame({"band": range(len(score)), "value": score})
-
-    return _rounded(sim.groupBy().applyInPandas(of, "band int, value double"), digits=6)
+    return _rounded(cuts.peak_scores(spatial.mssim(_dn(spark, sf_dir))), digits=6)
 
 
 COARSE = oracle.mssim() + f""", sim AS (SELECT i, j, value FROM up UNION ALL SELECT j, i, value FROM up UNION ALL SELECT DISTINCT band, band, 1.0::DOUBLE FROM cells), {oracle.PEAK_SCORES},

@@ -1,8 +1,7 @@
 """Contiguous subspaces and peaks by joins and windows over tables of band pairs, ``i, j, value``.
 
 All tables here have at most bands^3 rows, whatever the number of pixels, and no task gets a matrix. ``ranges`` sums what is
-within each range of bands with two windows; what is best for a range is decided for all ranges at once, and a recursive
-query only follows the decisions.
+within each range of bands with two windows; what is best is decided for all ranges at once, layer by layer or step by step.
 """
 
 from __future__ import annotations
@@ -48,13 +47,12 @@ def ranges(square: DataFrame) -> DataFrame:
 def _bands_of(edges: DataFrame) -> DataFrame:
     """``k, subset_id, pos, band`` of parts ``k, subset_id, lo, hi``."""
     band = F.posexplode(F.sequence("lo", F.col("hi") - 1)).alias("pos", "band")
-    return edges.where("lo < hi").select("k", "subset_id", "lo", "hi").select(*(F.col(c).cast("int").alias(c) for c in ("k", "subset_id", "lo", "hi"))).select("k", "subset_id", band)
+    return edges.where("lo < hi").select(*(F.col(c).cast("int").alias(c) for c in ("k", "subset_id", "lo", "hi"))).select("k", "subset_id", band)
 
 
-def _levels(ks: list[int], bands: int) -> int:
+def _check(ks: list[int], bands: int) -> None:
     for k in ks:
         check_count(k, 1, bands)
-    return max(ks) + 1
 
 
 def best_cuts(pairs: DataFrame, ks: list[int], diagonal: float | None = 1.0) -> DataFrame:
@@ -64,7 +62,7 @@ def best_cuts(pairs: DataFrame, ks: list[int], diagonal: float | None = 1.0) ->
     that begin there and keeps the best for each end. Layers are written every ROUNDS of them, so that plans stay small.
     """
     square, bands = _square(pairs, diagonal)
-    _levels(ks, bands)
+    _check(ks, bands)
     value = F.when(F.abs("whole") < EMPTY, 0.0).otherwise(F.try_divide("inner", "whole"))
     scores = temporary(ranges(square).select("lo", "hi", value.alias("value")))
     layer = scores.where("lo = 0").select("hi", F.col("value").alias("total"), F.array("lo", "hi").alias("cuts"))
@@ -74,7 +72,7 @@ def best_cuts(pairs: DataFrame, ks: list[int], diagonal: float | None = 1.0) ->
             total, cut = F.col("total") + F.col("value"), F.array_append("cuts", F.col("hi"))
             ways = layer.withColumnRenamed("hi", "lo").join(scores, "lo").select("hi", F.struct(total.alias("total"), (-F.col("lo")).alias("back"), cut.alias("cuts")).alias("way"))
             layer = ways.groupBy("hi").agg(F.max("way").alias("way")).select("hi", "way.total", "way.cuts")
-            layer = temporary(layer) if k % ROUNDS == 0 else layer
+            layer = temporary(layer) if k % ROUNDS == 0 and k < max(ks) else layer
         if k in ks:
             found.append(layer.where(F.col("hi") == bands).select(F.lit(k).alias("k"), "cuts"))
     every = functools.reduce(DataFrame.unionByName, found)
@@ -86,14 +84,15 @@ def adapted_cuts(pairs: DataFrame, ks: list[int]) -> DataFrame:
     """Equal parts whose cuts move, from left to right, to where the greatest distance across is largest against the mean within.
 
     Where a cut goes follows from the cut before it and the unmoved one after it, so it is found for every place of the
-    former at once; a recursive query then walks from cut to cut. A cut without a choice stays.
+    former at once; the walk from cut to cut then only looks up these places, at most k x bands of them in the one row
+    of a k. A cut without a choice stays.
     """
     spark = pairs.sparkSession
     square, bands = _square(pairs, 0.0)
-    levels = _levels(ks, bands)
+    _check(ks, bands)
     starts = {k: [p * (bands // k) + min(p, bands % k) for p in range(k + 1)] for k in ks}
     steps = spark.createDataFrame([(k, p, s[p + 1], s[p + 2]) for k, s in starts.items() for p in range(k - 1)], "k int, p int, own int, hi int")
-    inner = temporary(ranges(square).select("lo", "hi", "inner"))
+    inner = ranges(square).select("lo", "hi", "inner")
     of, cut = ["k", "p"], F.col("cut")
     ahead = Window.partitionBy(*of, "lo").orderBy(F.desc("cut")).rowsBetween(Window.unboundedPreceding, 0)
     behind = Window.partitionBy(*of, "cut").orderBy(F.desc("lo")).rowsBetween(Window.unboundedPreceding, 0)
@@ -109,17 +108,16 @@ def adapted_cuts(pairs: DataFrame, ks: list[int]) -> DataFrame:
     within = mean("left", cut - F.col("lo")) + mean("right", F.col("hi") - cut)
     score = F.when(within >= EMPTY, F.try_divide("across", within)).otherwise(F.when(F.col("across") > 0, F.lit(math.inf)).otherwise(0.0))
     best = options.withColumn("score", score).where("NOT isnan(score)").groupBy(*of, "lo").agg((-F.max(F.struct("score", (-cut).alias("at")))["at"]).alias("cut"))
-    moves = steps.withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("hi")))).join(best, [*of, "lo"], "left")
-    moves = temporary(moves.select("k", "p", "lo", F.coalesce("cut", "own").alias("cut")))
-    walked = spark.sql(
-        f"""WITH RECURSIVE walk(k, p, lo) MAX RECURSION LEVEL {levels} AS (
-          SELECT k, 0, 0 FROM {{counts}}
-          UNION ALL SELECT w.k, w.p + 1, m.cut FROM walk w JOIN {{moves}} m ON m.k = w.k AND m.p = w.p AND m.lo = w.lo)
-        SELECT k, p AS subset_id, lo, lead(lo, 1, {bands}) OVER (PARTITION BY k ORDER BY p) AS hi FROM walk""",
-        moves=moves,
-        counts=spark.createDataFrame([(k,) for k in ks], "k int"),
-    )
-    return _bands_of(walked)
+    moves = best.withColumn("at", F.struct("p", "lo")).groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("at", "cut"))).alias("moves"))
+    counts = spark.createDataFrame(list(starts.items()), "k int, own array<int>").join(moves, "k", "left")
+
+    def step(walked: Column, p: Column) -> Column:
+        moved = F.element_at("moves", F.struct(p.alias("p"), F.element_at(walked, -1).alias("lo")))
+        return F.array_append(walked, F.coalesce(moved, F.get("own", p + 1)))
+
+    walked = counts.select("k", F.aggregate(F.slice(F.sequence(F.lit(0), F.col("k")), 1, F.col("k") - 1), F.array(F.lit(0)), step).alias("cuts"))
+    parts = walked.select("k", F.posexplode("cuts").alias("subset_id", "lo"), "cuts")
+    return _bands_of(parts.withColumn("hi", F.coalesce(F.get("cuts", F.col("subset_id") + 1), F.lit(bands))))
 
 
 def peak_scores(similarity: DataFrame) -> DataFrame:

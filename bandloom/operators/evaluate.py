@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,8 +20,10 @@ EVALUATIONS = 200
 TOLERANCE = 1e-6
 #: Share of the decrease that a gradient promises which a step must reach.
 DECREASE = 1e-4
-#: Numbers that come to the driver in one step.
-MAX_NUMBERS = 400_000
+#: Entries of Hessians, 8 bytes each, that a task adds up at a time.
+MAX_NUMBERS = 2_000_000
+STATE = "r int, s int, c int, w array<double>, asked array<double>, loss double, step array<double>, slope double, share double, rounds int, done boolean, message string"
+RESULT = "run_id int, method string, n_selected_bands int, test_accuracy double, selected_band_count int, selected_band_idx array<int>, message string"
 
 
 def stratified_split(pixels: DataFrame, runs: int = 10, share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -46,10 +49,12 @@ def svm_evaluation(pixels: DataFrame, selections: DataFrame, runs: int = 10, sha
 
     One linear classifier against the rest for each class, with squared hinge loss, cost COST and a regularized bias, for
     each run and each (method, k) of ``selections(method, k, rank, band)``. Background pixels take no part. Newton steps
-    solve all models together: each task adds gradients and Hessians of its pixels, sums of (bands + 1)^2 numbers for each
-    model come to the driver, and no pixel does. Models are few and of fixed size; selections that name no band of the
-    cube are left out. A line search makes every step lower the loss. A run of a selection with a model that has values that
-    are not finite, or has not converged, gets no accuracy but a message; the others aren't touched by it.
+    solve all models together. Models are rows of a table, written after each step: tasks add losses, gradients and Hessians
+    of their pixels, which are summed by model, and the task that gets a model's sums takes its step. Only weights come to
+    the driver, to be sent to the tasks, at most MAX_NUMBERS of Hessians' entries at a time standing in a task. Selections
+    that name no band of the cube are left out. A line search makes every step lower the loss. A run of a selection with a
+    model that has values that are not finite, or has not converged, gets no accuracy but a message; the others aren't
+    touched by it.
     """
     spark = pixels.sparkSession
     rows = selections.orderBy("method", "k", "rank").toPandas()
@@ -62,11 +67,16 @@ def svm_evaluation(pixels: DataFrame, selections: DataFrame, runs: int = 10, sha
     data = known.join(split, "pixel_id").select("spectrum", "label", F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.element_at("tests", r)).alias("tests"))
     data = temporary(data)
     signs = classes[1:] if len(classes) == 2 else classes
-    found = []
+    found = spark.createDataFrame([], RESULT)
     for part in _batches(chosen, runs * len(signs)):
-        hits = _fitted(data, part, classes, signs, runs, spark)
-        found += [(r, m, len(b), hits[r, s][0], len(b), b, hits[r, s][1]) for r in range(runs) for s, (m, k, b) in enumerate(part) if (r, s) in hits]
-    return spark.createDataFrame(found, "run_id int, method string, n_selected_bands int, test_accuracy double, selected_band_count int, selected_band_idx array<int>, message string")
+        models = _fitted(data, part, signs, runs)
+        failed = models.where("message IS NOT NULL").groupBy("r", "s").agg(F.min(F.struct("c", "message"))["message"].alias("message"))
+        hits = _hits(data, models, part, classes, signs, runs).join(failed, ["r", "s"], "left")
+        names = F.broadcast(spark.createDataFrame([(s, m, b) for s, (m, _, b) in enumerate(part)], "s int, method string, selected_band_idx array<int>"))
+        size, rate = F.size("selected_band_idx"), F.when(F.col("message").isNull(), F.col("hit") / F.col("n"))
+        own = hits.join(names, "s").select(F.col("r").alias("run_id"), "method", size.alias("n_selected_bands"), rate.alias("test_accuracy"), size.alias("selected_band_count"), "selected_band_idx", "message")
+        found = found.unionByName(temporary(own))
+    return found
 
 
 def _batches(chosen: list, models: int) -> Iterator[list]:
@@ -91,6 +101,14 @@ class _Model:
         self.asked = self.w
         self.done, self.message, self.rounds = False, None, 0
 
+    @classmethod
+    def resumed(cls, row) -> _Model:
+        """The model of a row of STATE."""
+        model = cls(len(row.w))
+        model.w, model.asked, model.step = np.array(row.w), np.array(row.asked), np.array(row.step)
+        model.loss, model.slope, model.share, model.rounds = row.loss, row.slope, row.share, row.rounds
+        return model
+
     def told(self, loss: float, gradient: np.ndarray, hessian: np.ndarray) -> None:
         """Loss, gradient and Hessian at ``asked``."""
         self.rounds += 1
@@ -119,22 +137,47 @@ class _Model:
         self.done, self.message = True, message
 
 
-def _fitted(data: DataFrame, chosen: list, classes: list, signs: list, runs: int, spark) -> dict:
-    """(Share of right predictions or null, message) by (run, selection)."""
-    models = {(r, s, c): _Model(len(chosen[s][2]) + 1) for r in range(runs) for s in range(len(chosen)) for c in range(len(signs))}
-    while active := {k for k, m in models.items() if not m.done}:
-        found = _derivatives(data, {k: models[k].asked for k in active}, chosen, signs, spark)
-        for key in active:
-            if key in found:
-                models[key].told(*found[key])
-            else:
-                models[key].ended("no pixel to learn from")
-    failed = {}
-    for (r, s, c), m in models.items():
-        if m.message:
-            failed.setdefault((r, s), f"class {signs[c]}: {m.message}")
-    hits = _hits(data, {k: m.w for k, m in models.items()}, chosen, classes, signs, runs, spark)
-    return {key: (None, failed[key]) if key in failed else (hit, None) for key, hit in hits.items()}
+    def row(self) -> list:
+        return [self.w, self.asked, self.loss, self.step, self.slope, self.share, self.rounds, self.done, self.message]
+
+
+def _fitted(data: DataFrame, chosen: list, signs: list, runs: int) -> DataFrame:
+    """The models when all of them are done, as STATE says."""
+    spark = data.sparkSession
+    sizes = spark.createDataFrame([(s, len(b) + 1) for s, (_, _, b) in enumerate(chosen)], "s int, size int")
+    zeros = F.array_repeat(F.lit(0.0), F.col("size"))
+    models = sizes.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(len(signs) - 1))))
+    models = models.select("r", "s", "c", zeros.alias("w"), zeros.alias("asked"), F.lit(math.inf).alias("loss"), zeros.alias("step"), F.lit(0.0).alias("slope"), F.lit(1.0).alias("share"), F.lit(0).alias("rounds"), F.lit(False).alias("done"), F.lit(None).cast("string").alias("message"))
+    while active := {(m.r, m.s, m.c): np.array(m.asked) for m in models.where("NOT done").select("r", "s", "c", "asked").collect()}:
+        held = spark.sparkContext.broadcast(active)
+        models = temporary(_stepped(models, _derivatives(data, held, chosen, signs), signs))
+        held.destroy()
+    return models
+
+
+def _stepped(models: DataFrame, sums: DataFrame, signs: list) -> DataFrame:
+    """Each model after it was told its sums, in the task that gets them; those that are done stay as they are."""
+    own = sums.groupBy("r", "s", "c").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("sums"))
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for m in batch.itertuples(index=False):
+                if m.done:
+                    out.append(list(m)[:-1])
+                    continue
+                model = _Model.resumed(m)
+                if m.sums is None:
+                    model.ended(f"class {signs[m.c]}: no pixel to learn from")
+                else:
+                    v, w, d = np.array(m.sums), model.asked, len(model.asked)
+                    model.told(v[0] + w @ w / 2, v[1 : d + 1] + w, v[d + 1 :].reshape(d, d) + np.eye(d))
+                    if model.message:
+                        model.message = f"class {signs[m.c]}: {model.message}"
+                out.append([m.r, m.s, m.c, *model.row()])
+            yield pd.DataFrame(out, columns=batch.columns[:-1])
+
+    return models.join(own, ["r", "s", "c"], "left").mapInPandas(of, STATE)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -145,8 +188,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             yield x, np.asarray(b.column(1)), tests.astype(bool)
 
 
-def _derivatives(data: DataFrame, models: dict, chosen: list, signs: list, spark) -> dict:
-    held = spark.sparkContext.broadcast(models)
+def _derivatives(data: DataFrame, held, chosen: list, signs: list) -> DataFrame:
+    """``r, s, c, k, v``: loss, gradient and Hessian of the models at the weights held, flat and summed over all pixels."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
@@ -165,18 +208,12 @@ def _derivatives(data: DataFrame, models: dict, chosen: list, signs: list, spark
         for (r, s, c), v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([r] * len(v), pa.int32()), pa.array([s] * len(v), pa.int32()), pa.array([c] * len(v), pa.int32()), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], ["r", "s", "c", "k", "v"])
 
-    table = data.mapInArrow(of, "r int, s int, c int, k int, v double").groupBy("r", "s", "c", "k").agg(F.sum("v").alias("v")).toPandas().sort_values("k")
-    out = {}
-    for key, g in table.groupby(["r", "s", "c"]):
-        w, v = models[key], g.v.to_numpy()
-        d = len(w)
-        out[key] = (v[0] + w @ w / 2, v[1 : d + 1] + w, v[d + 1 :].reshape(d, d) + np.eye(d))
-    held.destroy()
-    return out
+    return data.mapInArrow(of, "r int, s int, c int, k int, v double").groupBy("r", "s", "c", "k").agg(F.sum("v").alias("v"))
 
 
-def _hits(data: DataFrame, models: dict, chosen: list, classes: list, signs: list, runs: int, spark) -> dict:
-    held = spark.sparkContext.broadcast(models)
+def _hits(data: DataFrame, models: DataFrame, chosen: list, classes: list, signs: list, runs: int) -> DataFrame:
+    """``r, s, hit, n``: right predictions and all of them, over the pixels for testing."""
+    held = data.sparkSession.sparkContext.broadcast({(m.r, m.s, m.c): np.array(m.w) for m in models.select("r", "s", "c", "w").collect()})
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, y, tests in _blocks(batches):
@@ -188,10 +225,10 @@ def _hits(data: DataFrame, models: dict, chosen: list, classes: list, signs: lis
                     good = np.array(classes)[best] == y
                     yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([s], pa.int32()), pa.array([int(good[tests[:, r]].sum())]), pa.array([int(tests[:, r].sum())])], ["r", "s", "hit", "n"])
 
-    table = data.mapInArrow(of, "r int, s int, hit long, n long").groupBy("r", "s").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n")).where("n > 0")
-    found = {(row.r, row.s): row.hit / row.n for row in table.collect()}
+    counts = data.mapInArrow(of, "r int, s int, hit long, n long").groupBy("r", "s").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n")).where("n > 0")
+    counts = temporary(counts)
     held.destroy()
-    return found
+    return counts
 
 
 def summarized(raw: DataFrame) -> DataFrame:

@@ -82,3 +82,36 @@ def test_a_failed_selection_leaves_the_others(spark):
     assert all(got["bad", r].test_accuracy is None and "not finite" in got["bad", r].message for r in range(2))
     base = spark.createDataFrame([], "method string, baseline string")
     assert [r.method for r in evaluate.evaluation(rows, base, runs=2).collect()] == ["good"]
+
+
+def test_accuracies_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    labels = rng.integers(0, 4, 160)  # 0 is background
+    x = np.eye(4)[labels] @ rng.normal(size=(4, 5)) + rng.normal(0, 0.7, (160, 5))
+    pixels = spark.createDataFrame([(k, int(y), [float(v) for v in r]) for k, (y, r) in enumerate(zip(labels, x))], "pixel_id long, label int, spectrum array<double>").repartition(3)
+    bands = {"a": [0, 3], "b": [4, 1, 2]}
+    chosen = spark.createDataFrame([(m, len(b), n, v) for m, b in bands.items() for n, v in enumerate(b)], "method string, k int, rank int, band int")
+    got = {(r.method, r.run_id): r for r in evaluate.svm_evaluation(pixels, chosen, runs=3).collect()}
+    assert len(got) == 6
+    split = evaluate.stratified_split(pixels.where("label <> 0"), 3).collect()
+    for (method, run), row in got.items():
+        own = [r for r in split if r.run_id == run]
+        learn, test = ([r.pixel_id for r in own if r.test == flag] for flag in (False, True))
+        z = np.concatenate((x[:, bands[method]], np.ones((160, 1))), axis=1)
+        scores = np.stack([z[test] @ solved(z[learn], np.where(labels[learn] == c, 1.0, -1.0)) for c in (1, 2, 3)], axis=1)
+        assert row.test_accuracy == pytest.approx((scores.argmax(axis=1) + 1 == labels[test]).mean())
+        assert row.message is None and row.selected_band_idx == bands[method] and row.n_selected_bands == len(bands[method])
+
+
+def test_models_keep_their_own_state(spark):
+    """Of a batch, models that are done wait unchanged for those that need more steps, and one without pixels says so."""
+    state = "r int, s int, c int, k int, v double"
+    zero = [0.0, 0.0]
+    rows = [(0, 0, 0, zero, zero, math.inf, zero, 0.0, 1.0, 0, False, None), (0, 0, 1, [1.0, 2.0], zero, 0.5, zero, 0.0, 1.0, 7, True, None), (1, 0, 0, zero, zero, math.inf, zero, 0.0, 1.0, 0, False, None)]
+    models = spark.createDataFrame(rows, evaluate.STATE)
+    sums = spark.createDataFrame([(0, 0, 0, k, v) for k, v in enumerate([3.0, -2.0, 4.0, 1.0, 0.0, 0.0, 3.0])], state)
+    got = {(m.r, m.c): m for m in evaluate._stepped(models, sums, [1, 2]).collect()}
+    first = got[0, 0]
+    assert first.rounds == 1 and not first.done and first.loss == 3.0 and first.step == [-1.0, 1.0] and first.asked == [1.0, -1.0]
+    assert got[0, 1] == models.where("c = 1").first()
+    assert got[1, 0].done and got[1, 0].message == "class 1: no pixel to learn from"

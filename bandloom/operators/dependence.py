@@ -1,6 +1,6 @@
 """Nonlinear dependence of band pairs on a bounded sample of pixels, and the index made of it.
 
-The sample (1000 pixels unless said otherwise) is the same for all pairs. It is the only thing broadcast, and its size is
+The sample (1000 pixels unless said otherwise) is the same for all pairs, or each pair's own where that is asked for. The former is the only thing broadcast, and its size is
 fixed by its parameter and the number of bands; pairs are dealt over the cluster.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from bandloom.functions import kernels
 from bandloom.operators.bandstats import sampled_pairs, sampled_pixels
 from bandloom.operators.pairwise import pair_domain
+from bandloom.operators.sketches import pair_samples
 from bandloom.sources.cubes import band_count
 from bandloom.sources.sinks import temporary
 
@@ -44,9 +45,21 @@ def _for_pairs(pixels: DataFrame, pairs: DataFrame, kernel: Callable[[np.ndarray
     return pairs.repartition(spark.sparkContext.defaultParallelism * 2, "i", "j").mapInPandas(of, schema)
 
 
-def mic(pixels: DataFrame, pairs: DataFrame, n: int = SAMPLE) -> DataFrame:
-    """The pairs with ``value``, their maximal information coefficient."""
-    return _for_pairs(pixels, pairs, lambda x, i, j: kernels.mic(x[:, i], x[:, j]), n)
+def _for_own_samples(pixels: DataFrame, pairs: DataFrame, kernel: Callable[[np.ndarray, int, int], float], n: int) -> DataFrame:
+    """As ``_for_pairs``, with a sample for each pair that doesn't depend on those of the others; a task gets one of n rows."""
+
+    def of(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pixel_id")
+        return pd.DataFrame({"i": rows.i.iloc[:1], "j": rows.j.iloc[:1], "value": kernel(rows[["x", "y"]].to_numpy(), 0, 1)})
+
+    found = pair_samples(pixels, pairs, n).groupBy("i", "j").applyInPandas(of, "i int, j int, value double")
+    return pairs.join(found, ["i", "j"]).select(*pairs.columns, "value")
+
+
+def mic(pixels: DataFrame, pairs: DataFrame, n: int = SAMPLE, independent: bool = False) -> DataFrame:
+    """The pairs with ``value``, their maximal information coefficient; with ``independent``, each from a sample of its own."""
+    of = _for_own_samples if independent else _for_pairs
+    return of(pixels, pairs, lambda x, i, j: kernels.mic(x[:, i], x[:, j]), n)
 
 
 def mic_adjacent(pixels: DataFrame, n: int = SAMPLE) -> DataFrame:
@@ -68,14 +81,17 @@ def mic_by_lag(pixels: DataFrame, max_lag: int = 50, max_pairs: int = 500, n: in
     return mic(pixels, sampled_pairs(pairs, max_pairs, within=["lag"]), n).groupBy("lag").agg(F.avg("value").alias("value"))
 
 
-def nmi(pixels: DataFrame, pairs: DataFrame, n: int = SAMPLE) -> DataFrame:
-    """The pairs with ``value``: 2 I(x;y) / (I(x;x) + I(y;y)) by nearest neighbours, 0 if that is undefined."""
+def nmi(pixels: DataFrame, pairs: DataFrame, n: int = SAMPLE, independent: bool = False) -> DataFrame:
+    """The pairs with ``value``: 2 I(x;y) / (I(x;x) + I(y;y)) by nearest neighbours, 0 if that is undefined.
+
+    With ``independent``, each pair has a sample of its own.
+    """
 
     def kernel(x: np.ndarray, i: int, j: int) -> float:
         own = kernels.ksg(x[:, i], x[:, i]) + kernels.ksg(x[:, j], x[:, j])
         return 2 * kernels.ksg(x[:, i], x[:, j]) / own if own else 0.0
 
-    return _for_pairs(pixels, pairs, kernel, n)
+    return (_for_own_samples if independent else _for_pairs)(pixels, pairs, kernel, n)
 
 
 def conditional_nmi(pixels: DataFrame, pairs: DataFrame, n: int = SAMPLE) -> DataFrame:

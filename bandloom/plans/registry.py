@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bandloom.operators import bandstats, cuts, dependence, evaluate, pairwise, partition, select, spatial
+from bandloom.operators import bandstats, cuts, dependence, evaluate, pairwise, partition, select, sketches, spatial
 from bandloom.plans import experiment, oracle
 from bandloom.plans.oracle import BANDS, bin_of, cells, moments
 from bandloom.sources import cubes, sinks
@@ -115,6 +115,20 @@ def pair_sample(spark, sf_dir):
     return bandstats.sampled_pairs(pairwise.pair_domain(spark, bands, "nonadjacent"), 1000).select("i", "j")
 
 
+def _coefficient(name: str) -> str:
+    return f"('0x' || substr(md5('42:{name}:' || i::VARCHAR || ':' || j::VARCHAR), 1, 7))::BIGINT AS {name}"
+
+
+@query(cells() + f""", p AS (SELECT i, i + 1 AS j FROM (SELECT unnest(range({BANDS - 1})) AS i)), q AS (SELECT i, j, {", ".join(map(_coefficient, "abc"))} FROM p),
+  o AS (SELECT i, j, pixel_id, row_number() OVER (PARTITION BY i, j ORDER BY (a * (u * u % 2147483647) % 2147483647 + b * u % 2147483647 + c) % 2147483647, pixel_id) AS n
+    FROM q, (SELECT vec_id AS pixel_id, vec_id::BIGINT % 2147483647 AS u FROM embeddings))
+  SELECT i::INTEGER AS i, j::INTEGER AS j, pixel_id, round(x.v, 8) AS x, round(y.v, 8) AS y FROM o JOIN cells x USING (pixel_id) JOIN cells y USING (pixel_id) WHERE n <= 1000 AND x.band = i AND y.band = j""")
+def pair_samples(spark, sf_dir):
+    """Each adjacent pair's own sample of pixels."""
+    pixels = _raw(spark, sf_dir)
+    return _rounded(sketches.pair_samples(pixels, pairwise.pair_domain(spark, cubes.band_count(pixels), "adjacent")), "x", "y")
+
+
 @query(cells() + ", p AS (SELECT band, row_number() OVER (ORDER BY md5('42:' || band::VARCHAR), band) - 1 AS t FROM (SELECT DISTINCT band FROM cells)) SELECT pixel_id, t::INTEGER AS band, round(v, 8) AS v FROM cells JOIN p USING (band)")
 def band_permute(spark, sf_dir):
     return _rounded(bandstats.permuted(_cells(spark, sf_dir)).select("pixel_id", "band", "v"), "v")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 EULER_GAMMA = 0.5772156649015329
@@ -244,16 +246,20 @@ def digamma(n: np.ndarray) -> np.ndarray:
     return table[n]
 
 
-def ksg(x: np.ndarray, y: np.ndarray, k: int = 3, seed: int = 0) -> float:
-    """Mutual information in nats by k nearest neighbours (Kraskov et al. 2004, first estimator), at least 0."""
-    n = len(x)
+def _gaps(values: tuple[np.ndarray, ...], seed: int) -> Iterator[np.ndarray]:
+    """Distances of all rows in each value, scaled to unit deviation, with a little noise that tells ties apart."""
     random = np.random.RandomState(seed)
-    scaled = []
-    for v in (x, y):
+    for v in values:
         std = v.std()
         v = v / std if std > 0 else v
-        scaled.append(v + 1e-10 * max(1.0, np.abs(v).mean()) * random.standard_normal(n))
-    dx, dy = (np.abs(v[:, None] - v[None, :]) for v in scaled)
+        v = v + 1e-10 * max(1.0, np.abs(v).mean()) * random.standard_normal(len(v))
+        yield np.abs(v[:, None] - v[None, :])
+
+
+def ksg(x: np.ndarray, y: np.ndarray, k: int = 3, seed: int = 0) -> float:
+    """Mutual information in nats by k nearest neighbours (Kraskov et al. 2004, first estimator), at least 0."""
+    n = len(x)
+    dx, dy = _gaps((x, y), seed)
     joint = np.maximum(dx, dy)
     np.fill_diagonal(joint, np.inf)
     radius = np.nextafter(np.partition(joint, k - 1, axis=1)[:, k - 1], 0)[:, None]
@@ -262,6 +268,22 @@ def ksg(x: np.ndarray, y: np.ndarray, k: int = 3, seed: int = 0) -> float:
     return max(0.0, float(value))
 
 
+def conditional_ksg(x: np.ndarray, y: np.ndarray, z: np.ndarray, k: int = 3, seed: int = 0) -> float:
+    """Information of x and y given z in nats, at least 0, by k nearest neighbours in all three together (Frenzel and Pompe 2007).
+
+    The distance to the k-th of them bounds the neighbours that are counted in (x, z), in (y, z) and in z.
+    """
+    if len(x) <= k:
+        return 0.0
+    dx, dy, dz = _gaps((x, y, z), seed)
+    joint = np.maximum(np.maximum(dx, dy), dz)
+    np.fill_diagonal(joint, np.inf)
+    radius = np.partition(joint, k - 1, axis=1)[:, k - 1][:, None]
+    near_x, near_y, near_z = dx < radius, dy < radius, dz < radius  # each with the row itself
+    nxz, nyz, nz = (v.sum(axis=1) for v in (near_x & near_z, near_y & near_z, near_z))
+    return max(0.0, float(digamma(np.array([k]))[0] - (digamma(nxz) + digamma(nyz) - digamma(nz)).mean()))
+
+
 def _equal_rows(v: np.ndarray, bins: int) -> np.ndarray:
     """Row of each value when values, ties together, are dealt by rank to rows of equal size."""
     order = np.argsort(v, kind="stable")

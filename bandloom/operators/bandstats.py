@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandloom.functions.binning import EPS, entropy, equal_width_bin, quantile_bin
 from bandloom.operators.quantiles import quantile_edges
+from bandloom.sources.cubes import band_count
 
 
 def variances(cells: DataFrame) -> DataFrame:
@@ -116,3 +119,9 @@ def permuted(cells: DataFrame, seed: int = 42) -> DataFrame:
     bands = cells.select("band").distinct()
     place = F.row_number().over(Window.orderBy(hash_order(seed, "band"), "band")) - 1
     return cells.join(bands.withColumn("to", place), "band").withColumn("band", F.col("to")).select(cells.columns)
+
+
+def permuted_spectra(pixels: DataFrame, seed: int = 42) -> DataFrame:
+    """As ``permuted``, with the values of each spectrum put in that order in place, so no cell moves."""
+    order = sorted(range(band_count(pixels)), key=lambda b: (hashlib.md5(f"{seed}:{b}".encode()).hexdigest(), b))
+    return pixels.withColumn("spectrum", F.transform(F.array(*map(F.lit, order)), lambda b: F.get("spectrum", b)))

@@ -106,6 +106,13 @@ def _conditional(x: np.ndarray, i: int, j: int) -> float:
     return 2 * max(ixy - izy, 0.0) / (max(hx - izx, 0.0) + max(hy - izy, 0.0) + 1e-8)
 
 
+def joint_conditional(pixels: DataFrame, pairs: DataFrame, n: int = SAMPLE) -> DataFrame:
+    """The pairs with ``value``, the information in nats of bands i and j given the left neighbour of i, estimated in all three
+    bands together; ``conditional_nmi`` is made of pairs' information instead. Band 0 has no left neighbour, and a pair whose j is
+    that neighbour nothing left to tell: such pairs are left out."""
+    return _for_pairs(pixels, pairs.where("i > 0 AND j <> i - 1"), lambda x, i, j: kernels.conditional_ksg(x[:, i], x[:, j], x[:, i - 1]), n)
+
+
 def conditional_independence(pixels: DataFrame, n: int = SAMPLE) -> DataFrame:
     """``band, value`` of the inner bands: 1 - mean conditional NMI / mean NMI with all bands two or more away, in 0 .. 1.
 

@@ -43,11 +43,7 @@ def statistics(pixels: DataFrame, config: Config = Config()) -> dict[str, Callab
     long = cubes.cells(pixels)
     standard = lambda: bandstats.standardized(long)
 
-    def shuffled() -> DataFrame:
-        order = bandstats.permuted(long.select("pixel_id", "band", "v"), config.seed)
-        spectra = order.groupBy("pixel_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("band", "v"))), lambda x: x["v"]).alias("spectrum"))
-        return pixels.drop("spectrum").join(spectra, "pixel_id")
-
+    shuffled = lambda: bandstats.permuted_spectra(pixels, config.seed)
     span = lambda: pixels.agg(F.max(F.array_max("spectrum")) - F.min(F.array_min("spectrum"))).first()[0]
     made: dict[str, Callable[[], DataFrame]] = {
         "ssim": lambda: spatial.mssim(pixels, level=config.level),

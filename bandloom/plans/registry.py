@@ -536,6 +536,13 @@ def cnmi(spark, sf_dir):
     return _rounded(dependence.conditional_nmi(pixels, pairwise.pair_domain(spark, cubes.band_count(pixels), "lag", 2)))
 
 
+@query()
+def cmi_joint(spark, sf_dir):
+    """Information of bands two apart given the left neighbour of the first."""
+    pixels = _smooth(spark, sf_dir)
+    return _rounded(dependence.joint_conditional(pixels, pairwise.pair_domain(spark, cubes.band_count(pixels), "lag", 2)))
+
+
 @query()
 def cis(spark, sf_dir):
     return _rounded(dependence.conditional_independence(_smooth(spark, sf_dir)))

@@ -54,7 +54,7 @@ def shared_folder(spark: SparkSession) -> str:
     this machine; a cluster's executors would not see such, so there it is an error."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return _own_folder()
 

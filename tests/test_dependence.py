@@ -10,7 +10,7 @@ from bandloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
 #: Pairs of 64 bands that each query rates.
-PAIRS = {"mic_adj": [63], "mic_nonadj": [1000], "mic_vs_lag": [1925], "nmi": [63], "cnmi": [61], "cis": [64 * 64], "smi_mic": [63, 1000, 64 * 64]}
+PAIRS = {"mic_adj": [63], "mic_nonadj": [1000], "mic_vs_lag": [1925], "nmi": [63], "cnmi": [61], "cmi_joint": [61], "cis": [64 * 64], "smi_mic": [63, 1000, 64 * 64]}
 
 
 @pytest.mark.parametrize("name", sorted(PAIRS))
@@ -39,3 +39,11 @@ def test_conditional_independence_matches_pairs(spark):
         want[i] = 1 - (min(max(given / free, 0), 1) if free else 1.0)
     got = {r.band: r.value for r in dependence.conditional_independence(pixels).collect()}
     assert got == pytest.approx(want)
+
+
+def test_joint_conditional_takes_the_left_neighbour(spark):
+    x = np.random.default_rng(6).normal(size=(90, 5)).cumsum(axis=1)
+    pixels = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "pixel_id long, spectrum array<double>")
+    pairs = spark.createDataFrame([(0, 3), (1, 0), (1, 3), (2, 4), (4, 1)], "i int, j int")
+    got = {(r.i, r.j): r.value for r in dependence.joint_conditional(pixels, pairs).collect()}
+    assert got == pytest.approx({(i, j): kernels.conditional_ksg(x[:, i], x[:, j], x[:, i - 1]) for i, j in [(1, 3), (2, 4), (4, 1)]})

@@ -103,3 +103,18 @@ def test_ksg_of_gaussians():
     assert kernels.ksg(x, y) == pytest.approx(-0.5 * np.log(1 - r * r), abs=0.08)
     assert kernels.ksg(x, RNG.normal(size=1000)) < 0.08
     assert kernels.digamma(np.array([1, 2, 5])) == pytest.approx([-0.5772156649, 0.4227843351, 1.5061176684])
+
+
+@pytest.mark.parametrize("a, b, c", [(0.0, 1.0, 1.0), (0.9, 0.5, -0.5), (0.5, 0.0, 2.0)])
+def test_conditional_information_of_gaussians(a, b, c):
+    """x = b z + e, y = a e + c z + f: given z, only a couples them."""
+    z, e, f = np.random.default_rng(4).normal(size=(3, 1000))
+    got = kernels.conditional_ksg(b * z + e, a * e + c * z + f, z)
+    assert got == pytest.approx(0.5 * np.log(1 + a * a), abs=0.08)
+
+
+def test_conditional_information_at_the_edges():
+    x, y = RNG.normal(size=(2, 400))
+    assert kernels.conditional_ksg(x, y, np.zeros(400)) == pytest.approx(kernels.ksg(x, y), abs=0.08)  # nothing is given
+    assert kernels.conditional_ksg(x, x + y, x) < 0.08  # all of x is given
+    assert kernels.conditional_ksg(x[:3], y[:3], y[:3]) == 0.0

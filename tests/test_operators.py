@@ -175,3 +175,13 @@ def test_entry_without_the_corpus_subpackage(tmp_path):
     code = "import sys; sys.modules['bandloom.llm'] = None; import __spark_entry__ as e; assert e.queries() and e.oracle_sql() and 'pipeline' not in e.queries()"
     root = __file__.rsplit("/tests/", 1)[0]
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True).returncode == 0
+
+
+def test_spectra_permuted_in_place(spark):
+    rows = [(p, [float(10 * p + b) for b in range(13)]) for p in range(3)]
+    pixels = spark.createDataFrame(rows, "pixel_id long, spectrum array<double>")
+    cells = pixels.select("pixel_id", F.posexplode("spectrum").alias("band", "v"))
+    want = {(r.pixel_id, r.band): r.v for r in bandstats.permuted(cells).collect()}
+    got = bandstats.permuted_spectra(pixels).collect()
+    assert {(r.pixel_id, b): v for r in got for b, v in enumerate(r.spectrum)} == want
+    assert all(sorted(r.spectrum) == dict(rows)[r.pixel_id] for r in got)

@@ -1,16 +1,32 @@
-"""Structural similarity of band images, over tiles of image rows with the halo that windows need."""
+"""Structural similarity of band images, over square tiles of the image with the halo that windows need on every side."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Image rows in one tile.
-TILE = 32
+#: Rows and columns of a tile; a task holds (TILE + 2 halos)^2 spectra of any image.
+TILE = 64
+
+
+@dataclass(frozen=True)
+class Span:
+    """A tile along one axis: the first line held, the lines [start, stop) that are the tile's own, the image's lines."""
+
+    held: int
+    start: int
+    stop: int
+    size: int
+
+    def inside(self, half: int) -> slice:
+        """Places, among windows that lie wholly in what is held, of the own lines whose windows lie in the image."""
+        first, last = max(self.start, half), min(self.stop, self.size - half)
+        return slice(first - self.held - half, max(first, last) - self.held - half)
 
 
 def gaussian_taps(size: int = 11, sigma: float = 1.5) -> np.ndarray:
@@ -20,28 +36,38 @@ def gaussian_taps(size: int = 11, sigma: float = 1.5) -> np.ndarray:
     return g / g.sum()
 
 
-def _tiles(pixels: DataFrame, halo: int) -> tuple[DataFrame, int, int]:
-    """Pixels with each ``tile`` whose rows, or halo, they are in; the image's height and width."""
-    height, width = pixels.agg(F.max("row") + 1, F.max("col") + 1).first()
-    first, last = F.floor((F.col("row") - halo) / TILE), F.floor((F.col("row") + halo) / TILE)
-    low, high = F.greatest(first, F.lit(0)), F.least(last, F.lit((height - 1) // TILE))
-    return pixels.withColumn("tile", F.explode(F.sequence(low, high))), height, width
+def _spread(line: Column, halo: int, size: int) -> Column:
+    """The tiles along one axis that a line is in, or in the halo of."""
+    low = F.greatest(F.floor((line - halo) / TILE), F.lit(0))
+    return F.explode(F.sequence(low, F.least(F.floor((line + halo) / TILE), F.lit((size - 1) // TILE))))
+
 
+def _tiles(pixels: DataFrame, halo: int, height: int, width: int) -> DataFrame:
+    """Pixels once for each tile (``down, across``) that they, or its halo, are in."""
+    return pixels.withColumn("down", _spread(F.col("row"), halo, height)).withColumn("across", _spread(F.col("col"), halo, width))
 
-def _per_tile(pixels: DataFrame, halo: int, kernel: Callable[[np.ndarray, int, int, int], np.ndarray]) -> DataFrame:
-    """``i, j, value``: the mean of the kernel's sums of values over pixels; kernels return (pairs, 2) sums and counts."""
-    tiled, height, width = _tiles(pixels, halo)
+
+def _per_tile(pixels: DataFrame, halo: int, kernel: Callable[[np.ndarray, Span, Span], np.ndarray]) -> DataFrame:
+    """``i, j, value``: the mean of the kernel's sums of values over pixels; kernels return (pairs, 2) sums and counts.
+
+    Pixels that the image lacks are NaN. An image without pixels gives an empty result.
+    """
+    height, width = pixels.agg(F.max("row") + 1, F.max("col") + 1).first()
+    tiled = _tiles(pixels, halo, height or 0, width or 0)
 
     def of(rows: pd.DataFrame) -> pd.DataFrame:
-        tile = int(rows.tile.iloc[0])
-        top = max(tile * TILE - halo, 0)
-        image = np.full((int(rows.row.max()) - top + 1, width, len(rows.spectrum.iloc[0])), np.nan)
-        image[rows.row - top, rows.col] = np.stack(rows.spectrum.to_numpy())
-        sums = kernel(image, top, tile * TILE, min((tile + 1) * TILE, height))
+        def span(tile: int, size: int) -> Span:
+            return Span(max(tile * TILE - halo, 0), tile * TILE, min((tile + 1) * TILE, size), size)
+
+        down, across = span(int(rows.down.iloc[0]), height), span(int(rows.across.iloc[0]), width)
+        shape = [min(s.stop + halo, s.size) - s.held for s in (down, across)]
+        image = np.full((*shape, len(rows.spectrum.iloc[0])), np.nan)
+        image[rows.row - down.held, rows.col - across.held] = np.stack(rows.spectrum.to_numpy())
+        sums = kernel(image, down, across)
         i, j = np.triu_indices(image.shape[2], 1)
         return pd.DataFrame({"i": i, "j": j, "s": sums[:, 0], "n": sums[:, 1]})
 
-    parts = tiled.select("tile", "row", "col", "spectrum").groupBy("tile").applyInPandas(of, "i int, j int, s double, n double")
+    parts = tiled.select("down", "across", "row", "col", "spectrum").groupBy("down", "across").applyInPandas(of, "i int, j int, s double, n double")
     sums = parts.groupBy("i", "j").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     return sums.select("i", "j", F.coalesce(F.try_divide("s", "n"), F.lit(0.0)).alias("value"))
 
@@ -54,26 +80,27 @@ def ssim(pixels: DataFrame, data_range: float, window: int = 3) -> DataFrame:
     """
     half, k = window // 2, window * window
     c1, c2 = (0.01 * data_range) ** 2, (0.03 * data_range) ** 2
-    last = pixels.agg(F.max("row")).first()[0]
 
     def box(x: np.ndarray) -> np.ndarray:
         view = np.lib.stride_tricks.sliding_window_view(x, (window, window), axis=(0, 1))
         return view.mean(axis=(-2, -1))
 
-    def kernel(image: np.ndarray, top: int, start: int, stop: int) -> np.ndarray:
-        rows = slice(max(start, half) - top - half, min(stop, last + 1 - half) - top - half)
-        image = np.trunc(image)
+    def kernel(image: np.ndarray, down: Span, across: Span) -> np.ndarray:
+        own = down.inside(half), across.inside(half)
         bands = image.shape[2]
-        mean = box(image)[rows]
-        var = k / (k - 1) * (box(image * image)[rows] - mean * mean)
+        if min(image.shape[:2]) < window:
+            return np.zeros((bands * (bands - 1) // 2, 2))
+        image = np.trunc(image)
+        mean = box(image)[own]
+        var = k / (k - 1) * (box(image * image)[own] - mean * mean)
         out = []
         for i in range(bands):
             for j in range(i + 1, bands):
-                cov = k / (k - 1) * (box(image[:, :, i] * image[:, :, j])[rows] - mean[:, :, i] * mean[:, :, j])
+                cov = k / (k - 1) * (box(image[:, :, i] * image[:, :, j])[own] - mean[:, :, i] * mean[:, :, j])
                 a, b = mean[:, :, i], mean[:, :, j]
                 value = (2 * a * b + c1) * (2 * cov + c2) / ((a * a + b * b + c1) * (var[:, :, i] + var[:, :, j] + c2))
                 out.append((value.sum(), value.size))
-        return np.array(out)
+        return np.array(out).reshape(-1, 2)
 
     return _per_tile(pixels, half, kernel)
 
@@ -86,17 +113,17 @@ def mssim(pixels: DataFrame, size: int = 11, sigma: float = 1.5, level: float =
     half, taps = size // 2, gaussian_taps(size, sigma)
     c1, c2 = (0.01 * level) ** 2, (0.03 * level) ** 2
     c3 = c2 / 2
-    last = pixels.agg(F.max("row")).first()[0]
 
-    def kernel(image: np.ndarray, top: int, start: int, stop: int) -> np.ndarray:
-        bottom = top + len(image) - 1
-        above, below = max(0, half - (start - top)), max(0, half - (bottom - stop + 1))
-        assert (not above or top == 0) and (not below or bottom == last)
+    def kernel(image: np.ndarray, down: Span, across: Span) -> np.ndarray:
+        edges, own = [], []  # what the image's mirrored edges add, and the lines that the windows of own lines need
+        for span, held in zip((down, across), image.shape):
+            before, after = (max(0, half - n) for n in (span.start - span.held, span.held + held - span.stop))
+            edges.append((before, after))
+            own.append(slice(span.start - span.held + before - half, span.stop - span.held + before + half))
 
         def blur(x: np.ndarray) -> np.ndarray:
-            x = np.pad(x, [(above, below), (half, half)] + [(0, 0)] * (x.ndim - 2), mode="symmetric")
-            x = x[start - top + above - half : stop - top + above + half]
-            x = sum(t * x[k : k + stop - start] for k, t in enumerate(taps))
+            x = np.pad(x, edges + [(0, 0)] * (x.ndim - 2), mode="symmetric")[tuple(own)]
+            x = sum(t * x[k : x.shape[0] - size + 1 + k] for k, t in enumerate(taps))
             return sum(t * x[:, k : x.shape[1] - size + 1 + k] for k, t in enumerate(taps))
 
         mean, square = blur(image), blur(image * image)
@@ -111,6 +138,6 @@ def mssim(pixels: DataFrame, size: int = 11, sigma: float = 1.5, level: float =
                     product = np.sqrt(clipped[:, :, i] * clipped[:, :, j])
                     value = (2 * a * b + c1) / (a * a + b * b + c1) * (2 * product + c2) / (clipped[:, :, i] + clipped[:, :, j] + c2) * (cov + c3) / (product + c3)
                     out.append((np.nansum(value), np.isfinite(value).sum()))
-        return np.array(out)
+        return np.array(out).reshape(-1, 2)
 
     return _per_tile(pixels, half, kernel)

@@ -71,15 +71,29 @@ def test_errors(spark, ties):
     assert select.first_of_subsets(ranking, subsets).count() == 1
 
 
-def test_images_span_tiles(spark, monkeypatch):
-    image = RNG.integers(0, 200, (70, 12, 3)).astype(float)
-    table = pixels(spark, image.reshape(-1, 3), width=12)
-    whole = [pairwise.to_matrix(spatial.mssim(table)), pairwise.to_matrix(spatial.ssim(table, 200.0))]
+@pytest.mark.parametrize("shape", [(70, 12), (9, 75), (40, 37)])
+def test_images_span_tiles(spark, monkeypatch, shape):
+    image = RNG.integers(0, 200, (*shape, 3)).astype(float)
+    table = pixels(spark, image.reshape(-1, 3), width=shape[1])
     monkeypatch.setattr(spatial, "TILE", 100)
+    whole = [pairwise.to_matrix(spatial.mssim(table)), pairwise.to_matrix(spatial.ssim(table, 200.0))]
+    monkeypatch.setattr(spatial, "TILE", 16)
     assert pairwise.to_matrix(spatial.mssim(table)) == pytest.approx(whole[0])
     assert pairwise.to_matrix(spatial.ssim(table, 200.0)) == pytest.approx(whole[1])
 
 
+def test_tiles_of_a_wide_image_are_bounded(spark):
+    wide = spark.range(32 * 100_000).select((F.col("id") / 100_000).cast("int").alias("row"), (F.col("id") % 100_000).cast("int").alias("col"))
+    tiles = spatial._tiles(wide, 5, 32, 100_000).groupBy("down", "across").agg(F.count("*").alias("n"))
+    assert tiles.agg(F.max("n"), F.count("*")).first() == (32 * 74, 1563)
+
+
+def test_images_without_windows(spark):
+    table = pixels(spark, RNG.integers(0, 9, (2, 3)).astype(float), width=1)
+    assert [r.value for r in spatial.ssim(table, 9.0).collect()] == [0.0] * 3
+    assert spatial.ssim(table.limit(0), 9.0).count() == spatial.mssim(table.limit(0)).count() == 0
+
+
 def test_summed_area_of_similarity_to_itself(spark):
     table = pixels(spark, np.repeat(RNG.integers(0, 99, (24, 1)), 2, axis=1).astype(float))
     assert pairwise.to_matrix(spatial.ssim(table, 99.0))[0, 1] == pytest.approx(1.0)

@@ -3,10 +3,15 @@
 Grammar, over the tokens of ``TOKEN`` (white space between them is left out, comments are skipped):
 
     assignment = targets ("=" | ":" | "=>" | ":=" | "+=") values | "#define" name values | "<name ...>" text "</name>"
+               | targets "=" "{" [key (":" | "=>" | "=")] string {"," ...} "}"      a name for each key, "target.key"
+               | "set" name "(" (string | name) ")" | setter "(" string "," (string | name) ")"
+               | "<... (key | name)=name value=text>" | "<... (key | name)=name>" text "</" | "<name>" name "</name> <value>" text "</value>"
+               | scheme "://" user ":" password "@"
     targets    = target {"," target}            several only where a statement starts
     target     = name [":" type] | string | operand "[" (name | string) "]"
     values     = sum {("," | "or" | "||" | "??" | "?" | ":" | "if" | "else") sum}
     sum        = operand {["+" | ".." | "." | "&"] operand}
+                                                a string may stand on the next line
     operand    = string | name | "${" name "}" | call | "(" values ")" | "[" values "]"
     block      = "name:" ("|" | ">") and the lines below that are indented further
     bare       = the rest of a line that starts with its target, or one word
@@ -57,6 +62,13 @@ _REST = re.compile(r"""[ \t]+([^\s"'`#(){}\[\]<>=&|,;][^"'`#(){}\[\]<>=&|\n]*?)[
 _BLOCK = re.compile(r"[ \t]*[|>][+\-\d]*[ \t]*(?:#[^\n]*)?\n")
 _KEY_LINE = re.compile(r"([ \t]*(?:-[ \t]+)*)")
 _ELEMENT = re.compile(r"<([A-Za-z][\w.:\-]*)(?:[ \t][^<>\n]*)?>([^<>]+)</")
+_TAG = re.compile(r"""<[A-Za-z][\w.:\-]*+((?:\s++[\w.:\-]++\s*+=\s*+(?:"[^"<>]*+"|'[^'<>]*+'))++)\s*+(?:/?>)([^<>]*+)""")
+_ATTRIBUTE = re.compile(r"""([\w.:\-]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)')""")
+_NAME_VALUE = re.compile(r"<name>\s*+([^<>\s]++)\s*+</name>\s*+<value>([^<>]++)</value>")
+_LOGIN = re.compile(r"""(?<=\w)://[^\s/:@"'<>]*+:([^\s/@"'<>]++)@(?=[\w\[$])""")
+_SETTER = re.compile(r"(?:set|with|Set|With)_?(?=[A-Z_]|(?<=_)[a-z])")
+#: Functions that set what their first argument names to their second.
+SETTERS = set("set put setProperty setdefault setDefault setenv putenv setItem setAttribute setParameter define".split())
 _NAMED = re.compile(r"[\w$.\- /]+\Z")
 
 
@@ -154,9 +166,31 @@ def assignments(text: str) -> Iterator[tuple[str, Value | Either]]:
     to which its readers refer."""
     yield from _Parser(text).run()
     for m in _ELEMENT.finditer(text):
-        if text.startswith(f"{m.group(1)}>", m.end()) and (value := m.group(2).strip()):
-            start = m.start(2) + m.group(2).index(value)
-            yield m.group(1), _leaf(text, start, start + len(value))
+        if text.startswith(f"{m.group(1)}>", m.end()):
+            yield from _stripped(text, m.group(1), *m.span(2))
+    for m in _NAME_VALUE.finditer(text):
+        yield from _stripped(text, m.group(1), *m.span(2))
+    for m in _TAG.finditer(text):
+        found = {a.group(1).lower(): a for a in _ATTRIBUTE.finditer(text, *m.span(1))}
+        name = found.get("key") or found.get("name")
+        if name:
+            name = text[slice(*name.span(name.lastindex))]
+            if value := found.get("value"):
+                yield from _stripped(text, name, *value.span(value.lastindex))
+            elif text.startswith("</", m.end()):
+                yield from _stripped(text, name, *m.span(2))
+
+
+def logins(text: str) -> Iterator[tuple[str, Value]]:
+    """Passwords inside URLs; time is linear in the text."""
+    for m in _LOGIN.finditer(text):
+        yield "password", _leaf(text, *m.span(1))
+
+
+def _stripped(text: str, name: str, start: int, end: int) -> Iterator[tuple[str, Value]]:
+    if value := text[start:end].strip():
+        start += text[start:end].index(value)
+        yield name, _leaf(text, start, start + len(value))
 
 
 class _Parser:
@@ -191,6 +225,8 @@ class _Parser:
                 continue
             if kind == DEFINE and self.kind(i + 1) == NAME:
                 yield from self.assigned([self.word(i + 1)], i + 1, "#define")
+            if kind == NAME and self.kind(i + 1) == OP and self.word(i + 1) == "(":
+                yield from self.setter(i)
             if kind != OP:
                 continue
             op = self.word(i)
@@ -204,6 +240,48 @@ class _Parser:
                         skip += 1
                 else:
                     yield from self.assigned(targets, i, op)
+                    if self.kind(i + 1) == OP and self.word(i + 1) == "{":
+                        yield from self.mapping(targets[-1], i + 1, op)
+
+    def setter(self, i: int) -> Iterator[tuple[str, Value]]:
+        """A call that sets what its name, or its first argument, says."""
+        name = self.word(i).rpartition(".")[2]
+        if name in SETTERS and self.kind(i + 2) == STRING and self.kind(i + 3) == OP and self.word(i + 3) == ",":
+            start, end = self.inside(i + 2)
+            at, name = i + 4, self.text[start:end]
+        elif prefix := _SETTER.match(name):
+            at, name = i + 2, name[prefix.end() :]
+        else:
+            return
+        while self.kind(at) == LINE and at < len(self.kinds):
+            at += 1
+        if self.kind(at + 1) == OP and self.word(at + 1) in (")", ",") and _NAMED.match(name):
+            value = _leaf(self.text, *self.inside(at)) if self.kind(at) == STRING else self.known.get(self.word(at).lstrip("$")) if self.kind(at) == NAME else None
+            if value:
+                yield name, value
+
+    def mapping(self, target: str, i: int, op: str) -> Iterator[tuple[str, Value]]:
+        """Strings that stand in a mapping or set itself; those of mappings and calls in it are theirs."""
+        end, at, before = self.closing.get(i, len(self.kinds)), i + 1, i
+        while at < end:
+            kind, word = self.kinds[at], self.word(at) if self.kinds[at] == OP else ""
+            if kind == OP and word in ("(", "[", "{"):
+                before, at = at, self.closing.get(at, end) + 1
+                continue
+            after = at + 1
+            while kind == STRING and after < end and self.kinds[after] == LINE:
+                after += 1
+            if kind == STRING and self.kind(after) == OP and self.word(after) in (",", "}", ";"):
+                lead = self.word(before) if self.kinds[before] == OP else ""
+                if lead in ("{", ","):
+                    yield target, _leaf(self.text, *self.inside(at))
+                elif lead == "=>" or lead in (":", "=") and op != "=>":
+                    if self.kind(before - 1) in (NAME, STRING):
+                        start, stop = self.inside(before - 1)
+                        yield f"{target}.{self.text[start:stop]}", _leaf(self.text, *self.inside(at))
+            if kind != LINE:
+                before = at
+            at += 1
 
     def targets(self, i: int, op: str, depth: int) -> list[str]:
         at = i - 1
@@ -266,6 +344,8 @@ class _Parser:
                 start, end = self.inside(i)
                 operands.append([_leaf(self.text, start, end)])
                 joined = False
+            elif kind == OTHER and word == "\\" and self.kind(i + 1) == LINE:
+                i += 1  # the line goes on
             elif kind in (NAME, REF) and word not in EITHER:
                 if not (joined or open_):
                     break
@@ -293,7 +373,7 @@ class _Parser:
                     break
             elif kind == OP and word in ("==", "!=", "<=", ">=", "===", "!==", "<", ">"):
                 lost = True
-            elif kind == LINE and (open_ or joined and i > first):
+            elif kind == LINE and (open_ or joined and i > first or i == first and self.below(i)):
                 pass
             elif i == first and kind != LINE and (bare := self.bare(i, op)):
                 return [[bare]]
@@ -307,6 +387,10 @@ class _Parser:
         close()
         return items
 
+    def below(self, i: int) -> bool:
+        """Whether a string that is no target stands on the next line."""
+        return self.kind(i + 1) == STRING and not (self.kind(i + 2) == OP and (self.word(i + 2) in ASSIGN or self.word(i + 2) == "["))
+
     def bare(self, i: int, op: str) -> Value | None:
         """A literal without quotes: the rest of a line that its target starts, or one word."""
         at = self.ends[i - 1]

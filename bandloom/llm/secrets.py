@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from bandloom.llm.lexer import MARKS, PEM, PROSE, Either, Summary, assignments
+from bandloom.llm.lexer import MARKS, PEM, PROSE, Either, Summary, assignments, logins
 
 KINDS = ("assign", "access", "hex", "lexed")
 
@@ -29,7 +30,7 @@ SENSITIVE = {
 #: Words before "key" that make it one to keep.
 KEY_OWNERS = {"api", "access", "private", "signing", "encryption", "client", "account", "master", "service", "auth", "shared", "ssh", "secret"}
 #: Words after which a name is about a secret rather than one, and words that say so anywhere.
-ABOUT = {"name", "count", "id", "hint", "length", "len", "url", "uri", "path", "file", "type", "field", "label", "size", "limit", "expiry", "ttl", "policy", "prompt", "regex"}
+ABOUT = {"name", "count", "id", "hint", "length", "len", "url", "uri", "path", "file", "type", "field", "label", "size", "limit", "expiry", "ttl", "policy", "prompt", "regex", "username", "user", "host", "method", "provider", "algorithm", "issuer", "audience", "scope", "email"}
 PUBLIC = {"public", "max", "min", "num", "example"}
 _FILLER = r"(?:example|change.?me|placeholder|your|dummy|redacted|todo|insert)(?:api|secret|password|passwd|token|key|value)*\d*"
 #: Whole values that stand for one: plain words around a filler, and whole references to variables.
@@ -108,23 +109,23 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
     """
     found: set[tuple[int, int]] = set()
     low = text.lower()
-    if any(hint in low for hint in HINTS):
-        for name, node in assignments(text):
-            if not (score := name_score(name)):
+    named = assignments(text) if any(hint in low for hint in HINTS) else iter(())
+    for name, node in itertools.chain(named, logins(text)):
+        if not (score := name_score(name)):
+            continue
+        ahead = [node]
+        while ahead:
+            value = ahead.pop()
+            if value.tried >= score:  # as sensitive a name has asked for all of it before
                 continue
-            ahead = [node]
-            while ahead:
-                value = ahead.pop()
-                if value.tried >= score:  # as sensitive a name has asked for all of it before
-                    continue
-                value.tried = score
-                if isinstance(value, Either):
-                    ahead += value.options
-                elif not value.reported:
-                    if value.score is None:
-                        value.score = literal_score(value.text) if value.text is not None else long_score(value.summary())
-                    if score * value.score >= THRESHOLD:
-                        found.update(value.spans())
+            value.tried = score
+            if isinstance(value, Either):
+                ahead += value.options
+            elif not value.reported:
+                if value.score is None:
+                    value.score = literal_score(value.text) if value.text is not None else long_score(value.summary())
+                if score * value.score >= THRESHOLD:
+                    found.update(value.spans())
     return sorted(found)
 
 

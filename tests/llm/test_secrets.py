@@ -158,6 +158,30 @@ def test_syntaxes(text, want):
     assert literals(text) == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        (f'password =\n    "{KEY}"\ntoken = \\\n  "{KEY}1"\nsecret:\n  "{KEY}2"\n', [KEY, KEY + "1", KEY + "2"]),
+        (f'password =\n\nname = "{KEY}"', []),
+        (f'{{"password":\n"user": "{KEY}"}}', []),
+        (f'<add key="DbPassword" value="{KEY}"/><add value=\'{KEY}1\' key=\'token\' />', [KEY, KEY + "1"]),
+        (f'<add key="Color" value="{KEY}"/><add key="DbPassword"/><a name="token" id="{KEY}">', []),
+        (f'<entry key="db.password">\n {KEY} </entry><name>fs.secret.key</name>\n<value>{KEY}1</value>', [KEY, KEY + "1"]),
+        (f'<server password="{KEY}" port="1"/>', [KEY]),
+        (f'password = {{"a": "{KEY}", "b":\n "{KEY}1"\n}}', [KEY, KEY + "1"]),
+        (f'secrets: {{ "{KEY}", "{KEY}1" }}\n\'credentials\' => {{ \'a\' => \'{KEY}2\' }}', [KEY, KEY + "1", KEY + "2"]),
+        (f'password = {{"path": "{KEY}", "inner": {{"id": "{KEY}1"}}, "f": g("{KEY}2"), "{KEY}3": 1}}', []),
+        (f'cfg.setPassword("{KEY}"); set_token(\n "{KEY}1")', [KEY, KEY + "1"]),
+        (f'k = "{KEY}"\nuser.setApiKey(k)\nsetColor("{KEY}1"); settings("{KEY}2")', [KEY]),
+        (f'System.setProperty("javax.keyStorePassword", "{KEY}"); define(\'DB_PASSWORD\', \'{KEY}1\'); m.put("color", "{KEY}2")', [KEY, KEY + "1"]),
+        (f"postgres://admin:{KEY}@db.example.org:5432/x and redis://:{KEY}1@cache", [KEY, KEY + "1"]),
+        ("http://example.org:8080/a@b https://user@host/ ssh://git:${PASSWORD}@host", []),
+    ],
+)
+def test_other_places_of_values(text, want):
+    assert literals(text) == want
+
+
 def program(rng):
     """A program of random assignments in several syntaxes, and the literals that reach a sensitive name, plainly run."""
     lines, env, want = [], {}, set()
@@ -204,6 +228,7 @@ def test_against_plain_interpretation():
     [
         "a = a + a\n" * 20_000 + "secret = a", "secret = " + "(" * 100_000, "a=" * 50_000 + "secret", '"' * 100_001 + " secret", "secret /*" * 100_000, "x, " * 60_000 + "secret = 1",
         "secret = 'abcdefgh1234' + " * 10_000, "k = k + 'abcd'\n" * 10_000 + "secret = k", "secret: |\n" * 20_000, "f(secret = (" * 20_000, "`secret" * 150_001, "x: a" * 40_000 + " = secret", "<secret>" * 100_000, "secret" + "[" * 500_000 + "=",
+        "secret = {" * 40_000, "secret = {'a': " * 40_000, "secret = {'a'" + "\n" * 200_000 + "}", "setSecret(" * 50_000, "<a" + " b='c'" * 60_000 + " secret", "<a " * 60_000 + "secret", "://a:b" * 60_000, "://" + "a" * 200_000, "<name>secret</name><value>" * 20_000, "secret =\n" * 50_000,
     ],
 )
 def test_long_texts_take_linear_time(text):

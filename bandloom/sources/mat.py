@@ -1,7 +1,12 @@
-"""A Spark data source for MATLAB 5 files with an image cube and, in another file, its labels.
+"""MATLAB 5 files with an image cube and, in another file, its labels.
 
-``spark.read.format("mat").option("path", ...).option("variable", ...)`` gives ``row, col, spectrum`` for a 3-D variable
-and ``row, col, value`` (in a spectrum of one) for a 2-D one; a partition is a range of rows.
+``images`` reads whatever Spark's file systems open: each file is inflated once, as a stream, in the task that has it, and
+leaves it in pieces of ranges of rows, which other tasks make pixels of.
+
+``spark.read.format("mat").option("path", ...).option("variable", ...)`` reads ranges of rows of a file on a mounted path, without
+a task that has the whole file; a compressed variable is inflated up to its range's end for each column there.
+
+Both give ``row, col, spectrum``; a 2-D variable's values are spectra of one.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from collections.abc import Iterator
 from typing import BinaryIO
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +38,9 @@ DATASETS = {
 }
 
 
+#: Bytes of a range of rows, as doubles, that a task makes pixels of; and of the piece that is cut into such ranges at a time.
+SLAB = 16 << 20
+PIECE = 4 << 20
 #: Bytes of a variable that hold its name and shape.
 HEAD = 4096
 
@@ -73,7 +82,7 @@ def _found(file: BinaryIO, variable: str) -> tuple[tuple[int, ...], str, int, in
         file.seek(at)
         tag = file.read(8)
         if len(tag) < 8:
-            raise ValueError(f"{file.name} has no variable {variable}")
+            raise ValueError(f"no variable {variable} in {getattr(file, 'name', 'a file')}")
         kind, size = struct.unpack("<II", tag)
         packed = kind == COMPRESSED
         head = zlib.decompressobj().decompress(file.read(min(size, HEAD)), HEAD) if packed else tag + file.read(min(size, HEAD - 8))
@@ -155,12 +164,64 @@ class _Reader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(cols), spectra], ["row", "col", "spectrum"])
 
 
+def _pieces(variable: str):
+    """Cuts a file's variable, columns by columns as they stand in it, into pieces of ranges of rows."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, content in ((p, c) for b in batches for p, c in zip(b.column(0).to_pylist(), b.column(1))):
+            file = pa.BufferReader(content.as_buffer())
+            shape, kind, start, at, packed = _found(file, variable)
+            height, width, bands = shape[0], shape[1], int(np.prod(shape[2:]))
+            item, columns = np.dtype(kind).itemsize, width * bands
+            if packed:
+                file.seek(at + 8)
+                stream = _Inflated(file)
+                stream.take(start)
+            else:
+                file.seek(at + start)
+            lines, some = max(1, SLAB // max(1, 8 * columns)), max(1, PIECE // max(1, item * height))
+            firsts = list(range(0, height, lines))
+            for c in range(0, columns, some):
+                size = min(some, columns - c) * height * item
+                values = np.frombuffer(stream.take(size) if packed else file.read(size), kind).reshape(-1, height)
+                parts = [np.ascontiguousarray(values[:, f : f + lines]).tobytes() for f in firsts]
+                same = {"path": path, "at": c, "lines": lines, "width": width, "height": height, "kind": kind}
+                rows = [same | {"first": f, "values": part} for f, part in zip(firsts, parts)]
+                yield pa.RecordBatch.from_pylist(rows, _PIECES)
+
+    return cut
+
+
+_PIECES = pa.schema([("path", pa.string()), ("first", pa.int32()), ("at", pa.int64()), ("lines", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("kind", pa.string()), ("values", pa.binary())])
+
+
+def _pixels(pieces: pd.DataFrame) -> pd.DataFrame:
+    """The pixels of a range of rows from all its pieces."""
+    head = pieces.iloc[0]
+    lines, width, first = min(head.lines, head.height - head["first"]), int(head.width), int(head["first"])
+    grid = np.concatenate([np.frombuffer(v, head.kind).reshape(-1, lines) for v in pieces.sort_values("at")["values"]])
+    spectra = grid.reshape(-1, width, lines).transpose(2, 1, 0).astype(float).reshape(lines * width, -1)
+    return pd.DataFrame({"path": head.path, "row": np.repeat(np.arange(first, first + lines), width), "col": np.tile(np.arange(width), lines), "spectrum": list(spectra)})
+
+
+def images(spark: SparkSession, path: str, variable: str) -> DataFrame:
+    """``path, row, col, spectrum`` of a variable of every file at ``path``, which may be a folder or a pattern, on any of Spark's file systems.
+
+    A file's own bytes, which its format keeps near 2 GB, stand in one task, as what is compressed can only be read from
+    its start; nothing else does: what is inflated leaves in pieces of PIECE bytes, and a task makes pixels of SLAB bytes.
+    A file without the variable is an error.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    kinds = {pa.string(): "string", pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
+    pieces = files.mapInArrow(_pieces(variable), ", ".join(f"{f.name} {kinds[f.type]}" for f in _PIECES))
+    return pieces.groupBy("path", "first").applyInPandas(_pixels, "path string, row int, col int, spectrum array<double>")
+
+
 def load(spark: SparkSession, dataset: str, cube_path: str, label_path: str) -> DataFrame:
-    """The pixels of a known image; another name is an error."""
+    """The pixels of a known image, from any of Spark's file systems; another name is an error."""
     if dataset not in DATASETS:
         raise ValueError(f"unknown image {dataset!r}; known are {', '.join(DATASETS)}")
-    spark.dataSource.register(MatDataSource)
-    cube, labels = (spark.read.format("mat").option("path", p).option("variable", v).load() for p, v in zip((cube_path, label_path), DATASETS[dataset]))
-    width = cube.agg(F.max("col")).first()[0] + 1
+    cube, labels = (images(spark, p, v).drop("path") for p, v in zip((cube_path, label_path), DATASETS[dataset]))
+    width = (labels.agg(F.max("col")).first()[0] or 0) + 1
     labels = labels.select("row", "col", F.element_at("spectrum", 1).cast("int").alias("label"))
     return cube.join(labels, ["row", "col"]).select((F.col("row").cast("long") * width + F.col("col")).alias("pixel_id"), "row", "col", "label", "spectrum")

@@ -4,6 +4,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +169,54 @@ def test_mat_files(spark, tmp_path, pack):
     assert [r.label for r in rows] == labels.ravel().tolist()
 
 
+@pytest.mark.parametrize("pack", [True, False])
+def test_mat_format_reads_ranges_of_rows(spark, tmp_path, pack):
+    cube = RNG.integers(0, 999, (70, 4, 3))
+    (tmp_path / "cube.mat").write_bytes(_mat("pavia", cube, pack))
+    spark.dataSource.register(mat.MatDataSource)
+    rows = spark.read.format("mat").option("path", f"{tmp_path}/cube.mat").option("variable", "pavia").load().orderBy("row", "col").collect()
+    assert np.array([r.spectrum for r in rows]).reshape(70, 4, 3).tolist() == cube.tolist()
+
+
+@pytest.mark.parametrize("pack", [True, False])
+def test_mat_images_on_other_file_systems(spark, tmp_path, monkeypatch, pack):
+    """A path that Python can't open, several images at once, and pieces far smaller than they."""
+    monkeypatch.setattr(mat, "SLAB", 8 * 12 * 5)
+    monkeypatch.setattr(mat, "PIECE", 300)
+    cubes_ = [RNG.integers(0, 999, shape) for shape in ((13, 4, 3), (7, 3, 4), (1, 1, 1))]
+    for n, cube in enumerate(cubes_):
+        (tmp_path / f"{n}.mat").write_bytes(_mat("pavia", cube, pack, [_mat("other", RNG.integers(0, 9, (9, 3)), not pack)]))
+    spark._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.images{pack:d}.link./all", f"file://{tmp_path}")
+    found = mat.images(spark, f"viewfs://images{pack:d}/all/*.mat", "pavia").collect()
+    for n, cube in enumerate(cubes_):
+        rows = sorted((r.row, r.col, r.spectrum) for r in found if r.path.endswith(f"/{n}.mat"))
+        assert found[0].path.startswith("viewfs:") and np.array([r[2] for r in rows]).reshape(cube.shape).tolist() == cube.tolist()
+    with pytest.raises(Exception, match="no variable absent"):
+        mat.images(spark, f"viewfs://images{pack:d}/all/0.mat", "absent").collect()
+
+
+def test_mat_bytes_are_inflated_once(monkeypatch):
+    data = _mat("pavia", RNG.integers(0, 999, (500, 20, 9)))
+    out = []
+    real = zlib.decompressobj
+
+    class Counted:
+        def __init__(self):
+            self.own = real()
+
+        def decompress(self, *args):
+            out.append(len(got := self.own.decompress(*args)))
+            return got
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+    monkeypatch.setattr(mat.zlib, "decompressobj", Counted)
+    batch = pa.RecordBatch.from_arrays([pa.array(["p"]), pa.array([data])], ["path", "content"])
+    size = sum(len(v) for b in mat._pieces("pavia")([batch]) for v in b.column(7).to_pylist())
+    assert size == 2 * 500 * 20 * 9 and sum(out) < size + 2 * mat.HEAD
+
+
 def test_sinks(spark, tmp_path, ties):
     table, _ = ties
     calls = []

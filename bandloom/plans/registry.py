@@ -506,6 +506,13 @@ def svm_eval(spark, sf_dir):
     return _rounded(evaluate.svm_evaluation(pixels, chosen.unionByName(spread)), "test_accuracy")
 
 
+@query()
+def experiment_summary(spark, sf_dir):
+    """Statistics, all 32 methods, ten runs of classification and paired tests, for the fewest and the most bands."""
+    found = experiment.run(_dn(spark, sf_dir), sinks.new_path(spark, "experiment"), experiment.Config(ks=(5, 30)))
+    return found.select("method", "n_selected_bands", *(F.round(c, 6).alias(c) for c in ("mean_test_accuracy", "std_test_accuracy", "p_value_vs_baseline")), "significance_mark")
+
+
 # ---- dependence -------------------------------------------------------------------------------------------------------
 
 

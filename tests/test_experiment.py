@@ -1,8 +1,11 @@
 import numpy as np
+import pytest
 
 from bandloom.plans import experiment, registry
 from bandloom.sources import cubes
 
+from .test_evaluate import tail
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -32,6 +35,18 @@ def test_small_run(spark, tmp_path):
     config = experiment.Config(ks=(3,), samples=60, pairs=10, lag_pairs=2, max_lag=5, entropy_bins=8, runs=10)
     summary = experiment.run(pixels, str(tmp_path), config).collect()
     assert len(summary) >= 25 and all(0 <= r.mean_test_accuracy <= 1 for r in summary)
+    raw = {}
+    for r in spark.read.parquet(f"{tmp_path}/raw").collect():
+        raw.setdefault(r.method, {})[r.run_id] = r.test_accuracy
+    for r in summary:
+        own = np.array([raw[r.method][k] for k in sorted(raw[r.method])])
+        assert len(own) == 10 and r.mean_test_accuracy == pytest.approx(own.mean()) and r.std_test_accuracy == pytest.approx(own.std(ddof=1))
+        base = raw.get(r.method.partition("_")[0], {}) if r.method not in experiment.BASELINES else {}
+        d = own - np.array([base[k] for k in sorted(base)]) if base and "_" in r.method else np.zeros(2)
+        if d.std(ddof=1) > 1e-9:
+            assert r.p_value_vs_baseline == pytest.approx(tail(d.mean() / (d.std(ddof=1) / 10**0.5), 9), abs=1e-6)
+        else:
+            assert r.p_value_vs_baseline is None
     again = experiment.run(pixels, str(tmp_path), config).collect()
     assert [r.mean_test_accuracy for r in again] == [r.mean_test_accuracy for r in summary]
     catalog = experiment.Catalog(pixels, f"{tmp_path}/statistics", config)

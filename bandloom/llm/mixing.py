@@ -59,7 +59,8 @@ def mix(docs: DataFrame, seed: str = SEED, range_rows: int = RANGE_ROWS, carry:
     rows need, so a source that holds a third of all rows is spread over them. Windows see sizes and keys alone, never
     texts. What a source gets in a pass is a prefix of its order, so each row is told by its source's last key in each
     pass. Only the last copy taken, one row, comes to the driver. Targets need one order over all sources: one task
-    sorts a row for each source.
+    sorts a row for each source. The budget needs one over all slots of virtual time: one task sums a row for each, at
+    most 32 for every RANGE_ROWS documents.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text))

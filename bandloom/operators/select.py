@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bandloom.functions import kernels
 from bandloom.operators.bandstats import hash_order
 from bandloom.operators.pairwise import matrix_of
+from bandloom.sources.sinks import temporary
 
 RANKED = "rank int, band int"
 
@@ -31,13 +32,14 @@ def density_peaks(distances: DataFrame, sigma: float | None = None) -> DataFrame
     """``band, rho, delta, value``: density times distance to the nearest denser band, from distances in both orders and i = i.
 
     Density is the sum of exp(-d / (2 sigma^2)) over all bands, sigma^2 a thirtieth of the mean distance if not given. The
-    densest band takes its greatest distance; others without a denser one take 0.
+    densest band takes its greatest distance; others without a denser one take 0. Densities are summed once and written: a
+    second sum of the same numbers in another order can differ in its last bit, and a band would be denser than itself.
     """
     if sigma is None:
         sigma2 = distances.agg(F.avg("value")).first()[0] / 30
     else:
         sigma2 = sigma**2
-    rho = distances.groupBy("i").agg(F.sum(F.exp(-F.col("value") / (2 * sigma2))).alias("rho"))
+    rho = temporary(distances.groupBy("i").agg(F.sum(F.exp(-F.col("value") / (2 * sigma2))).alias("rho")))
     pairs = distances.join(rho, "i").join(rho.select(F.col("i").alias("j"), F.col("rho").alias("rho_j")), "j")
     near = pairs.groupBy("i", "rho").agg(F.min(F.when(F.col("rho_j") > F.col("rho"), F.col("value"))).alias("near"), F.max("value").alias("far"))
     top = F.row_number().over(Window.orderBy(F.col("rho").desc(), "i")) == 1

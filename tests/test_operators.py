@@ -100,6 +100,21 @@ def test_summed_area_of_similarity_to_itself(spark):
     assert pairwise.to_matrix(spatial.ssim(table, 99.0))[0, 1] == pytest.approx(1.0)
 
 
+def test_a_band_is_not_denser_than_itself(spark):
+    at = np.cumsum(RNG.uniform(0.5, 1.5, 40)) / 20
+    d = np.sqrt(abs(at[:, None] - at))
+    rows = spark.createDataFrame([(i, j, float(d[i, j])) for i in range(40) for j in range(40)], "i int, j int, value double").coalesce(1)
+    shuffled = rows.mapInPandas(lambda batches: (b.sample(frac=1) for b in batches), rows.schema)  # in another order each time, as a cluster's rows are
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = {r.band: r.delta for r in select.density_peaks(shuffled, 0.5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    rho = np.exp(-d / 0.5).sum(axis=1)
+    want = [d[i].max() if i == rho.argmax() else d[i][rho > rho[i]].min() for i in range(40)]
+    assert [got[i] for i in range(40)] == pytest.approx(want)
+
+
 def test_separable_classes(spark):
     labels = np.arange(120) % 4
     x = RNG.normal(0, 0.05, (120, 5))

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import heapq
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,6 +29,10 @@ ID_TYPE = "<u4"
 #: More than any rank.
 NEVER = 1 << 62
 
+UNKNOWN = object()
+#: Below it, Unicode's letters are the same in all versions.
+STABLE = "\u0250"
+
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _MARK = "\x1e"  # other white space to Python, so no text without such holds it
@@ -65,9 +70,15 @@ class ChunkIds:
             self.asked += len(parts)
             return found
         gaps = [k for k, ids in enumerate(found) if ids is None]
-        lost = {parts[k] for k in gaps}
-        split = {part: own for part in lost if (part[-1] in ".," or part[0] == "\n") and len(own := self._pieces(part)) > 1}
-        new = list({p for part in lost for p in split.get(part, (part,)) if p not in known})
+        fresh, split = {}, {}
+        for k in gaps:
+            part = parts[k]
+            if (part[-1] in ".," or part[0] == "\n") and len(own := self._pieces(part)) > 1:
+                split[part] = own
+                fresh.update((p, None) for p in own if p not in known)
+            else:
+                fresh[part] = None
+        new = list(fresh)
         fresh = dict(zip(new, self.encode_all(new)))
         for part, own in split.items():
             fresh[part] = b"".join([fresh.get(p) or known[p] for p in own])
@@ -110,10 +121,12 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.bytes = ranks, {rank: token for token, rank in ranks.items()}
+        self.digits = {rank: str(rank) for rank in self.bytes}
         self.pattern = regex.compile(pattern)
-        self.chunk_ids = ChunkIds(lambda new: [np.array([i for m in self.pattern.findall(c) for i in self._match(m)], ID_TYPE).tobytes() for c in new])
-        self.pairs: dict[tuple[int, int], list[int]] = {}
-        self.halves: dict[bytes, list[int]] = {bytes([b]): [ranks[bytes([b])]] for b in range(256) if bytes([b]) in ranks}
+        self.has_words = r"| ?\p{L}+|" in pattern
+        self.chunk_ids = ChunkIds(lambda new: [struct.pack(f"<{len(ids)}I", *ids) for ids in map(self._chunk, new)])
+        self.pairs: dict[int, tuple[int, ...] | None] = {}  # tuples of numbers, unlike lists, are nothing that garbage collection walks through
+        self.halves: dict[bytes, tuple[int, ...]] = {bytes([b]): (ranks[bytes([b])],) for b in range(256) if bytes([b]) in ranks}
         self.single = dict(self.halves)
 
     def encode(self, text: str) -> np.ndarray:
@@ -156,31 +169,43 @@ class Codec:
         ids += more_ids
         return head, ids, more_tail
 
-    def _match(self, match: str) -> list[int]:
+    def _chunk(self, chunk: str) -> tuple[int, ...]:
+        """Ids of a chunk. One of letters, perhaps after a space, is a match by itself; the others are split by the pattern."""
+        word = chunk[1:] if chunk[0] == " " else chunk
+        if self.has_words and word.isalpha() and max(word) < STABLE:
+            return self._match(chunk)
+        matches = self.pattern.findall(chunk)
+        return self._match(matches[0]) if len(matches) == 1 else tuple(i for m in matches for i in self._match(m))
+
+    def _match(self, match: str) -> tuple[int, ...]:
         token = match.encode()
-        return [self.ranks[token]] if token in self.ranks else self._halves(token)
+        return (rank,) if (rank := self.ranks.get(token)) is not None else self.halves.get(token) or self._of_halves(token)
 
-    def _halves(self, token: bytes) -> list[int]:
-        """Ids of bytes by merges alone, as a tree of halves down to single bytes."""
-        if (found := self.halves.get(token)) is not None:
-            return found
-        middle = _middle(len(token))
-        found = self._joined(self._halves(token[:middle]), self._halves(token[middle:]))
+    def _of_halves(self, token: bytes) -> tuple[int, ...]:
+        """Ids of bytes by merges alone, as a tree of halves down to single bytes; the halves are remembered."""
+        middle = 1 << (len(token) - 1).bit_length() - 1  # as in _middle
+        left, right = token[:middle], token[middle:]
+        known = self.halves.get
+        return self._joined(known(left) or self._half(left), known(right) or self._half(right))
+
+    def _half(self, token: bytes) -> tuple[int, ...]:
+        found = self._of_halves(token)
         if len(token) <= HALF:
             if len(self.halves) >= CACHE:
                 self.halves = dict(self.single)
             self.halves[token] = found
         return found
 
-    def _joined(self, left: list[int], right: list[int]) -> list[int]:
+    def _joined(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """Ids of two halves' bytes together.
 
         A sequence of ids is the encoding of its bytes if and only if each two neighbours are the encoding of theirs:
         the first merge across a border would come first among the two neighbours alone, too. So a window at the border
         is encoded anew, and grows at an end until that end agrees with the id beside it: ids beyond are proved to stay.
         """
-        window = self._pair(left[-1], right[0])
-        if len(window) == 2 and window[0] == left[-1]:
+        if (window := self.pairs.get(left[-1] << 32 | right[0], UNKNOWN)) is UNKNOWN:
+            window = self._pair(left[-1], right[0])
+        if window is None:
             return left + right
         a = b = 1
         while True:
@@ -191,17 +216,20 @@ class Codec:
             a, b = a * (1 + wide_left), b * (1 + wide_right)
             window = self._merged(b"".join(map(self.bytes.__getitem__, left[-a:] + right[:b])))
 
-    def _pair(self, a: int, b: int) -> list[int]:
-        if (found := self.pairs.get((a, b))) is None:
-            if len(self.pairs) >= CACHE:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self._merged(self.bytes[a] + self.bytes[b])
-        return found
-
     def _neighbours(self, a: int, b: int) -> bool:
-        return self._pair(a, b) == [a, b]
+        if (beside := self.pairs.get(a << 32 | b, UNKNOWN)) is UNKNOWN:
+            beside = self._pair(a, b)
+        return beside is None
+
+    def _pair(self, a: int, b: int) -> tuple[int, ...] | None:
+        """Ids of the bytes of two ids together; none if they are these two, so that they stay beside each other."""
+        if len(self.pairs) >= CACHE:
+            self.pairs.clear()
+        found = self._merged(self.bytes[a] + self.bytes[b])
+        found = self.pairs[a << 32 | b] = None if found == (a, b) else found
+        return found
 
-    def _merged(self, token: bytes) -> list[int]:
+    def _merged(self, token: bytes) -> tuple[int, ...]:
         """Merges the pair of lowest rank, leftmost first, until there is none; many pairs wait in a heap."""
         ranks, n = self.ranks, len(token)
         if n <= PLAIN:
@@ -215,7 +243,7 @@ class Codec:
                     pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], NEVER)
                 if i < len(pairs):
                     pairs[i] = ranks.get(parts[i] + parts[i + 1], NEVER)
-            return [ranks[p] for p in parts]
+            return tuple([ranks[p] for p in parts])
         ends = list(range(1, n + 1))
         before = list(range(-1, n - 1))
         heap = [(rank, i, i + 1, i + 2) for i in range(n - 1) if (rank := ranks.get(token[i : i + 2])) is not None]
@@ -235,7 +263,7 @@ class Codec:
         while at < n:
             out.append(ranks[token[at : ends[at]]])
             at = ends[at]
-        return out
+        return tuple(out)
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= LEAF_IDS:
@@ -272,7 +300,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
                 ids = codec.encode(text.as_py() or "")
                 numbers = ids.tolist()
                 columns[0].append(len(numbers))
-                columns[1].append(hashlib.sha256(" ".join(map(str, numbers)).encode()).hexdigest())
+                columns[1].append(hashlib.sha256(" ".join(map(codec.digits.__getitem__, numbers)).encode()).hexdigest())
                 columns[2].append(hashlib.sha256(codec.decode(numbers)).hexdigest())
                 columns[3].append(numbers if with_ids else None)
             arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())]

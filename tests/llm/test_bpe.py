@@ -77,6 +77,14 @@ def test_ordinary_documents_are_joined_from_halves(ranks, library, monkeypatch):
     assert joins["texts"] == -(-len(text) // bpe.LEAF_CHARS) - 1 and joins["matches"] > 15
 
 
+def test_only_halves_are_remembered(ranks, library):
+    codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
+    text = " errehablentqzxv nïxqvëzk ⅷxqzwk ᏸqxzv aͅqxzvw ǅqxzvkw ɐqxzvk"
+    assert codec.encode(text).tolist() == library.encode_ordinary(text)
+    words = [m.encode() for m in codec.pattern.findall(text)]
+    assert not any(w in codec.halves for w in words if len(w) > 1) and b" erreh"[:4] in codec.halves
+
+
 @pytest.mark.parametrize("unit", ["a", "abc", "qxjzkvwy", " ", "the"])
 def test_one_match_of_a_million_characters(ranks, unit):
     codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
